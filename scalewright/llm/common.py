@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows in an Arrow batch at most; with texts of 100 kB this stays near 50 MB.
@@ -108,9 +109,10 @@ def blocks(sizes: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, i
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column, and the offsets of its rows; nulls count as empty."""
+    """UTF-8 bytes of a string column with a newline behind each row, and the offsets of its rows; nulls count as empty."""
     column = column.cast(pa.large_string()).fill_null("")
+    column = pc.binary_join_element_wise(column, pa.scalar("", pa.large_string()), pa.scalar("\n", pa.large_string()))
+    if not len(column):
+        return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     offsets = np.frombuffer(column.buffers()[1], dtype=np.int64, count=len(column) + 1 + column.offset)[column.offset :]
-    raw = column.buffers()[2]
-    data = np.frombuffer(raw, dtype=np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
-    return data, offsets
+    return np.frombuffer(column.buffers()[2], dtype=np.uint8), offsets
