@@ -19,32 +19,36 @@ from pyspark.sql import functions as F
 from ..functions.kernels import HighOrder, Kernel, TopHat, check_scale
 from ..sources.grids import Grid
 from ..sources.points import Points
+from . import tiles
 
 ZEROFILL, DEFORMABLE = "zerofill", "deformable"
-#: Offsets above which a top-hat takes prefix sums instead of a scatter.
-WIDE = 1500
+#: Radius in cells above which a plane is filtered by tiles instead of a scatter of its footprint.
+WIDE = 8
+#: Cells of a plane from which separable kernels take tiles too.
+TILED_CELLS = 1 << 15
 #: Weights of footprints and axes that are broadcast at most, 24 bytes each.
 BROADCAST_WEIGHTS = 2_000_000
-ENGINES = ("banded", "separable", "prefix", "ball")
+ENGINES = ("banded", "separable", "prefix", "tiled", "ball")
 
 
 def choose_engine(space: Grid | Points, kernel: Kernel, scale: float) -> str:
-    """The engine for a space and a kernel: separable passes, prefix sums, a scatter of the footprint, or a ball join."""
+    """The engine for a space and a kernel: separable passes, tiles, a scatter of the footprint, or a ball join."""
     check_scale(scale)
     if isinstance(space, Points):
         if not kernel.radial:
             raise ValueError("a product kernel needs a rectilinear Cartesian grid")
         return "ball"
     if kernel.separable and not space.spherical:
-        return "separable"
+        large = math.prod(space.shape) >= TILED_CELLS and tiles.fits(space, kernel, scale)
+        return "tiled" if large else "separable"
     if not kernel.radial:
         raise ValueError("a product kernel needs a rectilinear Cartesian grid")
     if space.spherical:
         return "banded" if space.rank == 2 and space.uniform else "ball"
     if not space.uniform:
         return "ball"
-    if isinstance(kernel, TopHat) and space.rank == 2 and all(a.period is None for a in space.axes) and len(footprint(space, kernel, scale)) > WIDE:
-        return "prefix"
+    if kernel.radius(scale) / min(a.spacing for a in space.axes) > WIDE and tiles.fits(space, kernel, scale):
+        return "tiled"
     return "banded"
 
 
@@ -276,9 +280,11 @@ def filter_exprs(df: DataFrame, space: Grid | Points, kernel: Kernel, scale: flo
         return _ball(df, space, kernel, scale, exprs, list(batch), strategy, active, edges)
     if isinstance(space, Points):
         raise ValueError("point sets are filtered by the ball engine")
-    run = {"banded": _banded, "separable": _separable, "prefix": _prefix}[chosen]
+    run = {"banded": _banded, "separable": _separable, "prefix": _prefix}.get(chosen)
     if chosen == "separable" and (not kernel.separable or space.spherical):
         raise ValueError("separable passes need a separable kernel on a Cartesian grid")
+    if chosen == "tiled":
+        return tiles.tiled_filter(df, space, kernel, scale, exprs, batch=batch, strategy=strategy, active=active)
     if chosen == "banded" and not space.uniform:
         raise ValueError("a footprint of offsets needs a uniform grid")
     return run(df, space, kernel, scale, exprs, list(batch), strategy, active)
