@@ -42,8 +42,10 @@ def component_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     if not tried.isEmpty():
         edges = stored(setjoin.links(rows, units, tried, table, False), "links")
         labels = setjoin.components(edges)
+        apart = shared
         for last in (False, True):
-            apart = stored(_apart(shared, labels), "apart")
+            # Tokens that lie in one component stay so.
+            apart = stored(_apart(apart.select("token", "node", "at"), labels), "apart")
             one = apart.filter("label <> main").withColumnsRenamed({"node": "b", "at": "b_at"})
             if last:
                 other = apart.select("token", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("label").alias("a_label"))

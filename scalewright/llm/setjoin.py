@@ -32,6 +32,8 @@ COUNTERS = 1 << 17
 _CHUNK = 1 << 12
 #: Fragments into which the order of the infrequent tokens is cut; the frequent ones are one more.
 FRAGMENTS = 8
+#: Partners of a hub that one task takes at most.
+HUB = 500
 #: Rows of ids that are broadcast at most, 16 bytes each.
 BROADCAST_ROWS = 500_000
 _PART = stream(11, WIDTH) | np.uint64(1)
@@ -257,38 +259,83 @@ def few(df: DataFrame) -> bool:
 def links(docs: DataFrame, units: DataFrame, pairs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
     """Those pairs (a, b) that link, by partial overlaps of the fragments of the global order.
 
-    The order of tokens is cut into fragments by hash, and one of frequent tokens. A
-    set's part in a fragment is a row; the overlap of a pair is counted in each fragment
-    by itself and summed. One unit stands for each node; the rows of text that hold
-    these are found by id, then by their signature.
+    The order of tokens is cut into fragments by hash, and one of frequent tokens. Of a
+    pair, the node with more pairs is the hub; each set's part in a fragment goes to its
+    hubs, so the parts of a hub's partners meet it fragment by fragment and are counted
+    one after another; the counts are summed by pair. A hub of many partners is dealt to
+    several tasks. One unit stands for each node, and only its document is read again.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(table)
-    wanted = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct().join(units, "node").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_key", "line")).alias("u")).select("u.doc_id", "node"), "wanted")
-    ids = wanted.select("doc_id").distinct()
-    near = docs.join(F.broadcast(ids) if few(ids) else ids, docs["doc_id"].eqNullSafe(ids["doc_id"]), "left_semi")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
+    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
+    with_degree = pairs.join(degree.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
+    a_leads = (F.col("ka") > F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
+    led = with_degree.select(F.when(a_leads, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_leads, F.col("b")).otherwise(F.col("a")).alias("node"), (F.ceil(F.greatest("ka", "kb") / HUB)).alias("salts"))
+    roles = led.select("node", "hub", F.pmod(F.hash("node"), F.col("salts")).cast("int").alias("salt")).unionAll(led.select("hub", "salts").distinct().select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt")))
+    # One unit for each node: the first of the least document.
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
+    chosen = units.join(degree.select("node"), "node", "left_semi").groupBy("node").agg(F.min(place).alias("u"))
+    wanted = stored(roles.join(chosen, "node").groupBy(F.col("u.doc_id").alias("_doc"), F.col("u.text_key").alias("_key")).agg(F.collect_list(F.struct("node", "hub", "salt")).alias("roles")), "roles")
+    near = docs.join(F.broadcast(wanted) if few(wanted) else wanted, docs["doc_id"].eqNullSafe(wanted["_doc"]) & (docs["text_key"] == wanted["_key"])).select("doc_id", "text", "roles")
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, _, s in sets_of(batch, by_line):
+            given = batch.column(2).to_pylist()
+            for first, _, s in sets_of(batch, by_line):
                 token, _, kind = _ordered(s, shared.value)
                 fragment = np.where(kind > 0, FRAGMENTS, (token >> np.uint64(61)).astype(np.int64))
-                cut = np.ones(len(token), bool)
-                cut[1:] = (fragment[1:] != fragment[:-1]) | (s.unit[1:] != s.unit[:-1])
-                starts = np.flatnonzero(cut)
-                ends = np.append(starts, len(token)).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(s.node[s.unit[starts]]), pa.array(fragment[starts].astype(np.int32)), pa.array(s.size[s.unit[starts]].astype(np.int64)), pa.ListArray.from_arrays(pa.array(ends), pa.array(token.view(np.int64)))], names=["node", "fragment", "n", "tokens"])
-
-    parts = near.mapInArrow(run, "node long, fragment int, n long, tokens array<long>")
-    nodes = wanted.select("node")
-    parts = stored(parts.join(F.broadcast(nodes) if few(nodes) else nodes, "node", "left_semi").dropDuplicates(["node", "fragment"]), "fragments")
-    left = parts.select(F.col("node").alias("a"), "fragment", F.col("tokens").alias("ta"))
-    right = parts.select(F.col("node").alias("b"), "fragment", F.col("tokens").alias("tb"))
-    sizes = parts.select("node", "n").distinct()
-    partial = pairs.join(right, "b").join(left, ["a", "fragment"]).select("a", "b", F.size(F.array_intersect("ta", "tb")).cast("long").alias("both"))
-    summed = partial.groupBy("a", "b").agg(F.sum("both").alias("both"))
-    with_sizes = summed.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    return with_sizes.filter(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
+                begin = s.first
+                hubs, salts, fragments, nodes, sizes, tokens = [], [], [], [], [], []
+                of: dict[int, tuple[int, dict[int, list]]] = {}
+                done: set[tuple[int, int]] = set()
+                for u in range(len(s.node)):
+                    row, node = int(s.row[u]), int(s.node[u])
+                    if row not in of:
+                        here: dict[int, list] = {}
+                        for r in given[first + row]:
+                            here.setdefault(r["node"], []).append((r["hub"], r["salt"]))
+                        of[row] = (row, here)
+                    mine = of[row][1].get(node)
+                    if not mine or (row, node) in done:
+                        continue
+                    done.add((row, node))
+                    part = slice(begin[u], begin[u] + s.size[u])
+                    values, where = token[part].view(np.int64), fragment[part]
+                    bounds = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
+                    for x, y in zip(bounds, bounds[1:], strict=False):
+                        data = np.sort(values[x:y]).tobytes()
+                        for hub, salt in mine:
+                            hubs.append(hub)
+                            salts.append(salt)
+                            fragments.append(int(where[x]))
+                            nodes.append(node)
+                            sizes.append(int(s.size[u]))
+                            tokens.append(data)
+                yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(salts, pa.int32()), pa.array(fragments, pa.int32()), pa.array([n != h for n, h in zip(nodes, hubs, strict=True)], pa.bool_()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())], names=["hub", "salt", "fragment", "partner", "node", "n", "tokens"])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of sorted parts: a hub's own comes first, then those of its partners."""
+        key, own, size, last = None, np.zeros(0, np.int64), 0, None
+        for batch in batches:
+            out = []
+            for hub, salt, fragment, partner, node, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not partner:
+                    key, own, size = (hub, salt, fragment), np.frombuffer(data, np.int64), n
+                elif key == (hub, salt, fragment) and last != (key, node):
+                    last = (key, node)
+                    both = len(own) + len(data) // 8 - len(np.union1d(own, np.frombuffer(data, np.int64)))
+                    out.append((hub, node, size, n, both))
+            columns = list(zip(*out, strict=True)) or [()] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["hub", "node", "nh", "nn", "both"])
+
+    parts = near.mapInArrow(cut, "hub long, salt int, fragment int, partner boolean, node long, n long, tokens binary")
+    n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partial = parts.repartition(n_parts, "hub", "salt", "fragment").sortWithinPartitions("hub", "salt", "fragment", "partner", "node").mapInArrow(count, "hub long, node long, nh long, nn long, both long")
+    summed = partial.groupBy("hub", "node").agg(F.sum("both").alias("both"), F.max("nh").alias("nh"), F.max("nn").alias("nn"))
+    linked = summed.filter(100 * F.col("both") >= PERCENT * (F.col("nh") + F.col("nn") - F.col("both")))
+    as_given = pairs.join(linked.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionAll(linked.select("node", "hub")), ["a", "b"], "left_semi")
+    return as_given.select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
