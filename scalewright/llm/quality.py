@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 ENDS = r"[.!?:;,…\"”»’')\]][ \t]*$"
+INNER_END = r"[.!?…][ \t]"
 SEPARATORS = "|»›•·"
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "javascript is disabled", "lorem ipsum", "click here to", "subscribe to our newsletter", "skip to content")
 
@@ -17,6 +18,8 @@ MAX_REPEATED_PERCENT = 50
 MAX_LOST_PERCENT = 50
 MAX_SYMBOL_PERCENT = 8
 MIN_SEPARATORS = 3
+#: Characters from which a line with a sentence end inside may lack one at its end.
+LONG_LINE = 200
 #: Words up to which a position fits beside a 43-bit hash prefix.
 _PACKED = 1 << 20
 
@@ -82,7 +85,7 @@ def _count(col: Column, characters: str) -> Column:
 def line_fails(line: Column) -> Column:
     """Whether a line breaks a rule.
 
-    Punctuation: it ends without a mark, or symbols exceed MAX_SYMBOL_PERCENT of its
+    Punctuation: it ends without a mark, unless it is long and has sentences; or symbols exceed MAX_SYMBOL_PERCENT of its
     characters. Navigation: MIN_SEPARATORS separators or more. Boilerplate: it holds
     one of the phrases.
     """
@@ -90,7 +93,8 @@ def line_fails(line: Column) -> Column:
     phrases = F.lit(False)
     for phrase in BOILERPLATE:
         phrases = phrases | F.contains(low, F.lit(phrase))
-    return ~F.rlike(line, F.lit(ENDS)) | (100 * _count(line, SYMBOLS) > MAX_SYMBOL_PERCENT * F.length(line)) | (_count(line, SEPARATORS) >= MIN_SEPARATORS) | phrases
+    unended = ~F.rlike(line, F.lit(ENDS)) & ((F.length(line) < LONG_LINE) | ~F.rlike(line, F.lit(INNER_END)))
+    return unended | (100 * _count(line, SYMBOLS) > MAX_SYMBOL_PERCENT * F.length(line)) | (_count(line, SEPARATORS) >= MIN_SEPARATORS) | phrases
 
 
 def assess(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -127,7 +131,6 @@ def _sql_list(values) -> str:
     return ", ".join("'" + v.replace("'", "''") + "'" for v in values)
 
 
-_BS = "\\"
 #: Column expressions over ``documents`` for DuckDB.
 ORACLE = rf"""
 WITH t AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
@@ -136,7 +139,7 @@ g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELE
 d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT r, count(DISTINCT i + k) AS n FROM d, (VALUES (0), (1), (2)) AS x(k) GROUP BY r),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t),
-f AS (SELECT r, line, NOT regexp_matches(line, '[.!?:;,…"”»’'')\]][ \t]*$')
+f AS (SELECT r, line, (NOT regexp_matches(line, '[.!?:;,…"”»’'')\]][ \t]*$') AND (length(line) < {LONG_LINE} OR NOT regexp_matches(line, '[.!?…][ \t]')))
     OR 100 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {MAX_SYMBOL_PERCENT} * length(line)
     OR length(regexp_replace(line, '[^{SEPARATORS}]', '', 'g')) >= {MIN_SEPARATORS}
     OR len(list_filter([{_sql_list(BOILERPLATE)}], lambda p: contains(lower(line), p))) > 0 AS failed
