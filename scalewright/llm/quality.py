@@ -89,12 +89,9 @@ def line_fails(line: Column) -> Column:
     characters. Navigation: MIN_SEPARATORS separators or more. Boilerplate: it holds
     one of the phrases.
     """
-    low = F.lower(line)
-    phrases = F.lit(False)
-    for phrase in BOILERPLATE:
-        phrases = phrases | F.contains(low, F.lit(phrase))
     unended = ~F.rlike(line, F.lit(ENDS)) & ((F.length(line) < LONG_LINE) | ~F.rlike(line, F.lit(INNER_END)))
-    return unended | (100 * _count(line, SYMBOLS) > MAX_SYMBOL_PERCENT * F.length(line)) | (_count(line, SEPARATORS) >= MIN_SEPARATORS) | phrases
+    signs = F.when(F.rlike(line, F.lit(f"[{SYMBOLS}{SEPARATORS}]")), (100 * _count(line, SYMBOLS) > MAX_SYMBOL_PERCENT * F.length(line)) | (_count(line, SEPARATORS) >= MIN_SEPARATORS)).otherwise(False)
+    return unended | signs | F.rlike(line, F.lit(f"(?i){'|'.join(BOILERPLATE)}"))
 
 
 def assess(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -111,18 +108,25 @@ def assess(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     text = _text(F.col(text_col))
 
     def lines(parts: Column) -> Column:
-        with_word = F.filter(parts, lambda x: F.btrim(x, F.lit(SPACE)) != "")
-        failed = F.filter(parts, lambda x: (F.btrim(x, F.lit(SPACE)) != "") & line_fails(x))
-        passed = F.filter(parts, lambda x: (F.btrim(x, F.lit(SPACE)) == "") | ~line_fails(x))
-        total = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-        return let(with_word, lambda w: let(failed, lambda f: F.struct(F.size(w).cast("long").alias("n_lines"), (F.size(w) - F.size(F.array_distinct(w))).cast("long").alias("n_dup_lines"), F.size(f).cast("long").alias("n_failed_lines"), total(w).alias("n_line_chars"), total(f).alias("n_lost_chars"), F.when(F.size(f) == 0, text).otherwise(F.array_join(passed, "\n")).alias("clean_text"))))
+        def judged(x: Column) -> Column:
+            word = F.btrim(x, F.lit(SPACE)) != ""
+            return F.struct(x.alias("line"), word.alias("word"), F.when(word, line_fails(x)).otherwise(False).alias("bad"))
 
-    counted = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeated_words(w).alias("n_repeat_words")))
+        def summed(f: Column) -> Column:
+            with_word = F.transform(F.filter(f, lambda x: x["word"]), lambda x: x["line"])
+            size = lambda keep: F.aggregate(f, F.lit(0).cast("long"), lambda a, x: a + F.when(x[keep], F.length(x["line"])).otherwise(0))
+            number = lambda keep: F.size(F.filter(f, lambda x: x[keep])).cast("long")
+            passed = F.array_join(F.transform(F.filter(f, lambda x: ~x["bad"]), lambda x: x["line"]), "\n")
+            return F.struct(number("word").alias("n_lines"), (number("word") - F.size(F.array_distinct(with_word))).cast("long").alias("n_dup_lines"), number("bad").alias("n_failed_lines"), size("word").alias("n_line_chars"), size("bad").alias("n_lost_chars"), F.when(number("bad") == 0, text).otherwise(passed).alias("clean_text"))
+
+        return let(F.transform(parts, judged), summed)
+
+    counted = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_failed_lines", "n_line_chars", "n_lost_chars", "kept", "clean_text"]
     rest = [c for c in docs.columns if c.lower() not in names]
-    got = docs.select(*rest, counted.alias("_words"), let(F.split(text, "\n", -1), lines).alias("_lines"), F.length(F.translate(text, SPACE, "")).cast("long").alias("word_chars"), _count(text, SYMBOLS).cast("long").alias("n_symbols"))
+    got = docs.select(*rest, counted.alias("_words"), let(F.split(text, "\n", -1), lines).alias("_lines"), F.when(F.rlike(text, F.lit(f"[{SYMBOLS}]")), _count(text, SYMBOLS)).otherwise(0).cast("long").alias("n_symbols"))
     failed = (F.col("_words.n_words") < MIN_WORDS) | (100 * F.col("_words.n_repeat_words") > MAX_REPEATED_PERCENT * F.col("_words.n_words"))
-    got = got.select(*rest, "word_chars", "n_symbols", "_words.*", "_lines.*", failed.alias("base_failed"))
+    got = got.select(*rest, "n_symbols", "_words.*", "_lines.*", failed.alias("base_failed"))
     kept = ~F.col("base_failed") & (100 * F.col("n_lost_chars") <= MAX_LOST_PERCENT * F.col("n_line_chars"))
     return got.withColumn("kept", kept).select(*rest, *names)
 
