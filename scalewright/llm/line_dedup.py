@@ -25,18 +25,21 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
     first = stored(units.groupBy("node").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("k")), "first_lines")
     shared = setjoin.prefixes(rows, table, True)
-    placed = stored(shared.join(first.select("node", "first"), "node"), "placed")
+    nodes = shared.select("node").distinct()
+    few_first = stored(first.select("node", "first").join(nodes, "node", "left_semi"), "placed_lines")
+    placed = stored(shared.join(F.broadcast(few_first) if setjoin.few(few_first) else few_first, "node"), "placed")
 
-    lead = placed.groupBy("token").agg(F.min(F.struct("first", "node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
-    joined = placed.select("token", F.col("node").alias("b"), F.col("at").alias("b_at")).join(lead, "token")
+    dealt = setjoin.by_token(placed)
+    lead = dealt.groupBy("token").agg(F.min(F.struct("first", "node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
+    joined = dealt.select("token", F.col("node").alias("b"), F.col("at").alias("b_at")).join(lead, "token")
     tried = stored(setjoin.candidates(joined), "pairs")
     matched = None
     if not tried.isEmpty():
         matched = stored(setjoin.links(rows, units, tried, table, True).select(F.col("b").alias("node")).distinct(), "matched")
-        late = placed.join(matched, "node", "left_anti").join(lead.select("token", F.col("a").alias("lead")), "token").filter("node <> lead")
-        one = late.select("token", F.col("node").alias("b"), F.col("at").alias("b_at"), F.col("first").alias("b_first"), "lead")
+        late = placed.join(F.broadcast(matched) if setjoin.few(matched) else matched, "node", "left_anti")
+        one = late.select("token", F.col("node").alias("b"), F.col("at").alias("b_at"), F.col("first").alias("b_first"))
         other = placed.select("token", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("first").alias("a_first"))
-        found = setjoin.candidates(one.join(other, (one["token"] == other["token"]) & (F.col("a") != F.col("lead")) & (F.col("a_first") < F.col("b_first")) & setjoin.may_link(F.col("a_at"), F.col("b_at"))))
+        found = setjoin.counted_candidates(one.join(other, (one["token"] == other["token"]) & (F.col("a_first") < F.col("b_first")) & setjoin.same_length(F.col("a_at"), F.col("b_at"))))
         new = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
         if not new.isEmpty():
             matched = matched.union(setjoin.links(rows, units, new, table, True).select("b")).distinct()

@@ -9,12 +9,10 @@ from . import setjoin
 from .common import stored
 
 
-def _apart(shared: DataFrame, labels: DataFrame | None) -> DataFrame:
+def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     """Rows of tokens whose nodes lie in several components, with the component and the token's largest one."""
-    if labels is None:
-        with_label = shared.withColumn("label", F.col("node"))
-    else:
-        with_label = shared.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    known = F.broadcast(labels) if setjoin.few(labels) else labels
+    with_label = setjoin.by_token(shared.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")))
     counted = with_label.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
     largest = counted.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main"))
     return with_label.join(largest, "token")
@@ -36,8 +34,9 @@ def component_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     units, table = setjoin.profile(rows, False)
     shared = setjoin.prefixes(rows, table, False)
 
-    first = shared.groupBy("token").agg(F.min(F.struct("node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
-    tried = stored(setjoin.candidates(shared.withColumnsRenamed({"node": "b", "at": "b_at"}).join(first, "token")), "pairs")
+    dealt = setjoin.by_token(shared)
+    first = dealt.groupBy("token").agg(F.min(F.struct("node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
+    tried = stored(setjoin.candidates(dealt.withColumnsRenamed({"node": "b", "at": "b_at"}).join(first, "token")), "pairs")
     labels = edges = None
     if not tried.isEmpty():
         edges = stored(setjoin.links(rows, units, tried, table, False), "links")
@@ -49,7 +48,7 @@ def component_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             one = apart.filter("label <> main").withColumnsRenamed({"node": "b", "at": "b_at"})
             if last:
                 other = apart.select("token", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("label").alias("a_label"))
-                found = setjoin.candidates(one.join(other, (one["token"] == other["token"]) & (F.col("label") != F.col("a_label")) & ((F.col("a_label") == F.col("main")) | (F.col("a") < F.col("b"))) & setjoin.may_link(F.col("a_at"), F.col("b_at"))))
+                found = setjoin.counted_candidates(one.join(other, (one["token"] == other["token"]) & (F.col("label") != F.col("a_label")) & ((F.col("a_label") == F.col("main")) | (F.col("a") < F.col("b"))) & setjoin.same_length(F.col("a_at"), F.col("b_at"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_at")).otherwise(F.col("b_at")).alias("a_at"), F.when(F.col("a") < F.col("b"), F.col("b_at")).otherwise(F.col("a_at")).alias("b_at")))
             else:
                 some = apart.filter("label = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("node", "token"), "node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
                 found = setjoin.candidates(one.join(some, "token"))

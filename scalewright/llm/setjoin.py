@@ -17,6 +17,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -26,10 +28,10 @@ from .common import blocks, bound_batches, buffers, hash_words, mix, stored, str
 
 WIDTH = 5
 PERCENT = 75
-#: Counters for tokens: their size is fixed, so is what is broadcast (512 kB).
-COUNTERS = 1 << 17
+#: Counters for tokens: their number is fixed, so is what is broadcast (4 MB).
+COUNTERS = 1 << 22
 #: Counters that are summed together.
-_CHUNK = 1 << 12
+_CHUNK = 1 << 16
 #: Fragments into which the order of the infrequent tokens is cut; the frequent ones are one more.
 FRAGMENTS = 8
 #: Partners of a hub that one task takes at most.
@@ -136,17 +138,17 @@ def profile(docs: DataFrame, by_line: bool) -> tuple[DataFrame, np.ndarray]:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int64)
+        counts = np.zeros(COUNTERS, np.int32)
         names = ["doc_id", "text_key", "line", "n", "node", "chunk", "counts"]
         for batch in batches:
             doc, key = batch.column(0), batch.column(2)
             for a, rows_here, s in sets_of(batch, by_line):
-                counts += np.bincount((s.token & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+                np.add.at(counts, (s.token & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
                 bare = np.setdiff1d(np.arange(rows_here), s.row)
                 at = pa.array(np.append(s.row, bare) + a)
                 zero = np.zeros(len(bare), np.int64)
                 yield pa.RecordBatch.from_arrays([doc.take(at), key.take(at), pa.array(np.append(s.line, zero)), pa.array(np.append(s.size.astype(np.int64), zero)), pa.array(np.append(s.node, zero), mask=np.append(s.size == 0, zero == 0)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=names)
-        parts = [counts[i : i + _CHUNK].astype("<i8").tobytes() for i in range(0, COUNTERS, _CHUNK)]
+        parts = [_packed(counts[i : i + _CHUNK]) for i in range(0, COUNTERS, _CHUNK)]
         none = pa.nulls(len(parts), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
@@ -156,20 +158,29 @@ def profile(docs: DataFrame, by_line: bool) -> tuple[DataFrame, np.ndarray]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(data, "<i8")
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+                sums[chunk] = sums.get(chunk, 0) + _unpacked(data)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
     counted = rows.filter("chunk IS NOT NULL").select("chunk", "counts").mapInArrow(add, "chunk int, counts binary").repartition(8, "chunk").mapInArrow(add, "chunk int, counts binary")
     counts = np.zeros(COUNTERS, np.int64)
     for r in counted.collect():  # COUNTERS numbers
-        counts[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] += np.frombuffer(r["counts"], "<i8")
+        counts[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] += _unpacked(r["counts"])
     return rows.filter("chunk IS NULL").drop("chunk", "counts"), classes(counts)
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Small counts compress to about a byte each."""
+    return zlib.compress(counts.astype("<i8").reshape(-1, 1).view(np.uint8).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1).T.tobytes(), "<i8")
+
+
 def classes(counts: np.ndarray) -> np.ndarray:
     """0 for counters that chance explains, else 1 + log2 of the excess: rarer tokens have lower classes."""
     usual = np.median(counts)
-    excess = counts - usual - 6 * np.sqrt(max(usual, 1.0)) - 8
+    excess = counts - usual - 4 * np.sqrt(max(usual, 1.0)) - 4
     return np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)).astype(np.int64), 0).astype(np.uint8)
 
 
@@ -237,6 +248,17 @@ def prefixes(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
     return stored(rows.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(runs, "token long, node long, at long"), "shared_tokens")
 
 
+def by_token(rows: DataFrame) -> DataFrame:
+    """Rows dealt by token once, for the groups and joins by token that follow."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
+
+
+def same_length(a: Column, b: Column) -> Column:
+    """The length filter for two rows of a token."""
+    na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
+    return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+
+
 def may_link(a: Column, b: Column) -> Column:
     """Length and positional filters for two rows of a token, taken as the first that they share."""
     na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
@@ -252,6 +274,19 @@ def candidates(rows: DataFrame, *conditions: Column) -> DataFrame:
     return passed.select("a", "b").distinct()
 
 
+def counted_candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows with all shared prefix tokens of a and b, by the length, positional and count filters.
+
+    With prefixes of p of n tokens, sets that link share at least what they must share
+    less the larger n - p.
+    """
+    na, nb = F.shiftright("a_at", 32), F.shiftright("b_at", 32)
+    close = rows.filter(same_length(F.col("a_at"), F.col("b_at"))).select("a", "b", na.alias("na"), nb.alias("nb"), may_link(F.col("a_at"), F.col("b_at")).alias("may"))
+    pairs = close.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("may").alias("may"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    beyond = F.greatest("na", "nb") - F.floor(F.greatest("na", "nb") / 4) - 1
+    return pairs.filter(F.col("may") & ((100 + PERCENT) * (F.col("c") + beyond) >= PERCENT * (F.col("na") + F.col("nb")))).select("a", "b")
+
+
 def few(df: DataFrame) -> bool:
     return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
