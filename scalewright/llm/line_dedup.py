@@ -9,6 +9,10 @@ from . import setjoin
 from .common import stored
 
 
+#: Leaders that a line is tried with before all earlier lines of its tokens.
+LEADERS = 2
+
+
 def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, text_key, lines): the numbers, from 0, of each document's lines that match an earlier line; and the prepared rows.
 
@@ -32,7 +36,7 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     dealt = setjoin.by_token(placed)
     lead = dealt.groupBy("token").agg(F.min(F.struct("first", "node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
     joined = dealt.select("token", F.col("node").alias("b"), F.col("at").alias("b_at")).join(lead, "token")
-    tried = stored(setjoin.candidates(joined), "pairs")
+    tried = stored(setjoin.leading(joined, LEADERS), "pairs")
     matched = None
     if not tried.isEmpty():
         matched = stored(setjoin.links(rows, units, tried, table, True).select(F.col("b").alias("node")).distinct(), "matched")

@@ -21,7 +21,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import blocks, bound_batches, buffers, hash_words, mix, stored, stream
@@ -266,12 +266,15 @@ def may_link(a: Column, b: Column) -> Column:
     return (100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)) & ((100 + PERCENT) * F.least(left_a, left_b) >= PERCENT * (na + nb))
 
 
-def candidates(rows: DataFrame, *conditions: Column) -> DataFrame:
-    """Distinct pairs (a, b) of rows with a, a_at, b, b_at that pass the conditions and the filters."""
+def leading(rows: DataFrame, most: int) -> DataFrame:
+    """Of rows a, a_at, b, b_at that pass the filters, pairs (a, b): for each b those ``most`` a that have most rows.
+
+    So a node is tried with few leaders of its tokens; what it links to besides is left
+    for later rounds, the last of which tries all pairs that still matter.
+    """
     passed = rows.filter((F.col("a") != F.col("b")) & may_link(F.col("a_at"), F.col("b_at")))
-    for c in conditions:
-        passed = passed.filter(c)
-    return passed.select("a", "b").distinct()
+    ranked = passed.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c")).withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a")))
+    return ranked.filter(F.col("k") <= most).select("a", "b")
 
 
 def counted_candidates(rows: DataFrame) -> DataFrame:
@@ -296,8 +299,8 @@ def links(docs: DataFrame, units: DataFrame, pairs: DataFrame, table: np.ndarray
 
     The order of tokens is cut into fragments by hash, and one of frequent tokens. Of a
     pair, the node with more pairs is the hub; each set's part in a fragment goes to its
-    hubs, so the parts of a hub's partners meet it fragment by fragment and are counted
-    one after another; the counts are summed by pair. A hub of many partners is dealt to
+    hubs, so the parts of a hub's partners meet it fragment by fragment, are counted one
+    after another, and the counts are summed by pair. A hub of many partners is dealt to
     several tasks. One unit stands for each node, and only its document is read again.
     """
     spark = docs.sparkSession
@@ -350,24 +353,37 @@ def links(docs: DataFrame, units: DataFrame, pairs: DataFrame, table: np.ndarray
                 yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(salts, pa.int32()), pa.array(fragments, pa.int32()), pa.array([n != h for n, h in zip(nodes, hubs, strict=True)], pa.bool_()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())], names=["hub", "salt", "fragment", "partner", "node", "n", "tokens"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted parts: a hub's own comes first, then those of its partners."""
-        key, own, size, last = None, np.zeros(0, np.int64), 0, None
+        """Of sorted parts: in each fragment a hub's own comes first, then those of its partners; overlaps are summed by partner."""
+        names = ["hub", "node", "nh", "nn", "both"]
+        key, at, own, size, last = None, -1, np.zeros(0, np.int64), 0, None
+        sums: dict[int, list[int]] = {}  # HUB partners or so
+
+        def send() -> pa.RecordBatch:
+            columns = list(zip(*((key[0], node, size, n, both) for node, (n, both) in sums.items()), strict=True)) or [()] * 5
+            sums.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
+
         for batch in batches:
-            out = []
             for hub, salt, fragment, partner, node, n, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if key != (hub, salt):
+                    if sums:
+                        yield send()
+                    key, at = (hub, salt), -1
                 if not partner:
-                    key, own, size = (hub, salt, fragment), np.frombuffer(data, np.int64), n
-                elif key == (hub, salt, fragment) and last != (key, node):
-                    last = (key, node)
+                    at, own, size = fragment, np.frombuffer(data, np.int64), n
+                elif at == fragment and last != (key, fragment, node):
                     both = len(own) + len(data) // 8 - len(np.union1d(own, np.frombuffer(data, np.int64)))
-                    out.append((hub, node, size, n, both))
-            columns = list(zip(*out, strict=True)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["hub", "node", "nh", "nn", "both"])
+                    if node in sums:
+                        sums[node][1] += both
+                    else:
+                        sums[node] = [n, both]
+                last = (key, fragment, node)
+        if sums:
+            yield send()
 
     parts = near.mapInArrow(cut, "hub long, salt int, fragment int, partner boolean, node long, n long, tokens binary")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    partial = parts.repartition(n_parts, "hub", "salt", "fragment").sortWithinPartitions("hub", "salt", "fragment", "partner", "node").mapInArrow(count, "hub long, node long, nh long, nn long, both long")
-    summed = partial.groupBy("hub", "node").agg(F.sum("both").alias("both"), F.max("nh").alias("nh"), F.max("nn").alias("nn"))
+    summed = parts.repartition(n_parts, "hub", "salt").sortWithinPartitions("hub", "salt", "fragment", "partner", "node").mapInArrow(count, "hub long, node long, nh long, nn long, both long")
     linked = summed.filter(100 * F.col("both") >= PERCENT * (F.col("nh") + F.col("nn") - F.col("both")))
     as_given = pairs.join(linked.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionAll(linked.select("node", "hub")), ["a", "b"], "left_semi")
     return as_given.select("a", "b")
