@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from .common import BATCH_ROWS, bound_batches
 
 #: Words kept with their ids in a worker; beyond, the memory starts anew.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 150_000
 #: Characters of text whose new words are merged together.
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 4_000_000
 #: White space other than space and newline.
 _OTHER_SPACE = re.compile("[\t\r\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]").search
 
@@ -60,7 +60,7 @@ class MergeReplay:
 
     def look(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Keys of token pairs, and their ranks or -1; a negative token is no token."""
-        key = np.where((left >= 0) & (right >= 0), left * self.width + right, -1)
+        key = np.where((left >= 0) & (right >= 0), left.astype(np.int64) * self.width + right, -1)
         at = np.searchsorted(self.keys, key)
         return key, np.where(self.keys[at] == key, self.rank_of[at], -1)
 
@@ -74,15 +74,14 @@ class MergeReplay:
             return done  # type: ignore[return-value]
         sizes = np.array([len(words[i]) for i in todo])
         # Before, between and behind the words stands a -2.
-        starts = 1 + np.cumsum(sizes + 1) - (sizes + 1)
-        owner = np.repeat(np.arange(len(todo)), sizes)
-        spot = np.arange(len(owner)) + 1 + owner
+        owner = np.repeat(np.arange(len(todo), dtype=np.int32), sizes)
+        spot = np.arange(1, len(owner) + 1, dtype=np.int32) + owner
         n = len(owner) + len(todo) + 1
-        token = np.full(n, -2, dtype=np.int64)
+        token = np.full(n, -2, dtype=np.int32)
         token[spot] = self.single[np.frombuffer(b"".join(words[i] for i in todo), dtype=np.uint8)]
-        word = np.full(n, -1, dtype=np.int64)
+        word = np.full(n, -1, dtype=np.int32)
         word[spot] = owner
-        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        after, before = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         index: defaultdict[int, list[tuple[np.ndarray, np.ndarray]]] = defaultdict(list)
         heap: list[int] = []
 
@@ -102,7 +101,7 @@ class MergeReplay:
                 index[r].append((at[a:b], key[a:b]))
 
         key, rank = self.look(token[:-1], token[1:])
-        at = np.flatnonzero(rank >= 0)
+        at = np.flatnonzero(rank >= 0).astype(np.int32)
         add(key[at], rank[at], at)
         while heap:
             rank_now = heappop(heap)
@@ -112,7 +111,7 @@ class MergeReplay:
                 order = np.argsort(at, kind="stable")
                 at, key = at[order], key[order]
             follow = after[at]
-            good = (token[at] * self.width + token[follow] == key) & (token[at] >= 0) & (token[follow] >= 0)
+            good = (token[at].astype(np.int64) * self.width + token[follow] == key) & (token[at] >= 0) & (token[follow] >= 0)
             if len(at) > 1:
                 good[1:] &= at[1:] != at[:-1]
             if not good.all():
