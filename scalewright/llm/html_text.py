@@ -20,7 +20,9 @@ MIN_SUPPORT = 3
 MIN_CLASS = 2
 #: Share of a slot's text tokens that are of the template, from which the slot is.
 TEMPLATE_SHARE = 0.5
-#: Rows of (host, slot) that are broadcast at most, about 40 bytes each.
+#: Share of a host's pages that hold a block at least, for the block itself to be of the template: a quote stays.
+HOST_SHARE = 0.5
+#: Rows of (host, slot, token) that are broadcast at most, about 40 bytes each.
 BROADCAST_SLOTS = 200_000
 #: Tokens whose counts a task holds before it sends them.
 HELD_TOKENS = 200_000
@@ -34,6 +36,7 @@ SKIPPED = frozenset("nav footer aside form head script style title noscript ifra
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SKIPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer foot gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets".split())
 MAIN = frozenset(("article", "main"))
+ROOTS = frozenset(("html", "body"))
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
@@ -64,6 +67,11 @@ def _hash(text: str) -> int:
     return int.from_bytes(blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
+def _bit(k: int) -> int:
+    """A signed 64-bit integer with bit k set."""
+    return 1 << k if k < 63 else -(1 << 63)
+
+
 class Element:
     """An open element: its place in the page's skeleton, and what is known of it."""
 
@@ -81,6 +89,7 @@ class Element:
 
 
 _SLOTS: dict[str, int] = {}
+_ROOT = Element("html", None, "", False, _SLOTS)
 
 
 def blocks_of(page: str) -> Iterator[tuple[Element, str, tuple[int, ...]]]:
@@ -168,11 +177,13 @@ def _host(url) -> object:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, slot, token, pages, occurrences, vector) of the tokens of all pages, summed per task.
+    """(host, slot, token, pages, occurrences, vector, seen, also_seen) of the tokens of all pages, summed per task.
 
     A token is a text block at its slot, or an element. ``vector`` joins, by exclusive
     or, a hash of each page with the number of its occurrences there: tokens of equal
-    occurrence vectors have equal ones.
+    occurrence vectors have equal ones. ``seen`` and ``also_seen`` have a bit set for each
+    content of its pages, by two hashes: copies of a page set the same, so there are at
+    least as many different pages as bits.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,8 +192,8 @@ def tokens(pages: DataFrame) -> DataFrame:
         def send() -> pa.RecordBatch:
             keys, sums = list(held), list(held.values())
             held.clear()
-            columns = [*(list(c) for c in zip(*keys, strict=True)), *(list(c) for c in zip(*sums, strict=True))] if keys else [[]] * 6
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "slot", "token", "pages", "occurrences", "vector"])
+            columns = [*(list(c) for c in zip(*keys, strict=True)), *(list(c) for c in zip(*sums, strict=True))] if keys else [[]] * 8
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "slot", "token", "pages", "occurrences", "vector", "seen", "also_seen"])
 
         for batch in batches:
             for host, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -192,43 +203,59 @@ def tokens(pages: DataFrame) -> DataFrame:
                     for s in slots:
                         count[s, 0] = count.get((s, 0), 0) + 1
                 if count:
+                    places, blocks = (np.array(c, np.int64).view(np.uint64) for c in zip(*count, strict=True))
+                    content = int(mix(mix(places) + blocks * np.uint64(0x9E3779B97F4A7C15) + np.fromiter(count.values(), np.uint64, len(count))).sum())
+                    seen, also = (_bit(content >> k & 63) for k in (0, 32))
                     marks = mix(np.fromiter(count.values(), np.uint64, len(count)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(page & 0xFFFFFFFFFFFFFFFF)).view(np.int64).tolist()
                     for ((slot, token), n), mark in zip(count.items(), marks, strict=True):
                         if (sums := held.get((host, slot, token))) is None:
-                            held[host, slot, token] = [1, n, mark]
+                            held[host, slot, token] = [1, n, mark, seen, also]
                         else:
                             sums[0] += 1
                             sums[1] += n
                             sums[2] ^= mark
+                            sums[3] |= seen
+                            sums[4] |= also
                 if len(held) > HELD_TOKENS:
                     yield send()
         yield send()
 
-    got = pages.select(F.xxhash64("host").alias("host"), F.xxhash64("page_id", "url", F.length("html")).alias("page"), "html").mapInArrow(run, "host long, slot long, token long, pages long, occurrences long, vector long")
-    return got.groupBy("host", "slot", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.bit_xor("vector").alias("vector"))
+    got = pages.select(F.xxhash64("host").alias("host"), F.xxhash64("page_id", "url", F.length("html")).alias("page"), "html").mapInArrow(run, "host long, slot long, token long, pages long, occurrences long, vector long, seen long, also_seen long")
+    return got.groupBy("host", "slot", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.bit_xor("vector").alias("vector"), F.bit_or("seen").alias("seen"), F.bit_or("also_seen").alias("also_seen"))
 
 
 def template_slots(pages: DataFrame) -> DataFrame:
-    """(host, slot) of the slots that belong to a host's template.
+    """(host, slot, token) of what belongs to a host's template: whole slots have token 0, the others are single blocks.
 
     Tokens of a host with equal occurrence vectors form a class; it is valid with
-    MIN_CLASS tokens or more on MIN_SUPPORT pages or more. A slot whose text tokens, each
-    as often as it occurs, are to TEMPLATE_SHARE in valid classes is of the template, and
-    all slots nested in it with it.
+    MIN_CLASS tokens or more on MIN_SUPPORT different pages or more. A slot whose text
+    tokens, each as often as it occurs, are to TEMPLATE_SHARE in valid classes is of the
+    template. So is a block of a valid class that stands on HOST_SHARE of the host's pages.
     """
     counted = stored(tokens(pages), "tokens")
-    often = counted.filter(F.col("pages") >= MIN_SUPPORT)
+    often = counted.filter((F.col("pages") >= MIN_SUPPORT) & (F.greatest(F.bit_count("seen"), F.bit_count("also_seen")) >= MIN_SUPPORT))
     valid = often.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= MIN_CLASS).select("host", "vector")
-    fixed = often.filter("token <> 0").join(valid, ["host", "vector"], "left_semi").groupBy("host", "slot").agg(F.sum("occurrences").alias("fixed"))
+    fixed = often.filter("token <> 0").join(valid, ["host", "vector"], "left_semi")
     total = counted.filter("token <> 0").groupBy("host", "slot").agg(F.sum("occurrences").alias("total"))
-    return fixed.join(total, ["host", "slot"]).filter(F.col("fixed") >= TEMPLATE_SHARE * F.col("total")).select("host", "slot")
+    filled = fixed.groupBy("host", "slot").agg(F.sum("occurrences").alias("fixed")).join(total, ["host", "slot"]).filter(F.col("fixed") >= TEMPLATE_SHARE * F.col("total"))
+    whole = counted.filter((F.col("slot") == _ROOT.slot) & (F.col("token") == 0)).select("host", F.col("pages").alias("all_pages"))
+    single = fixed.join(whole, "host").filter(F.col("pages") >= HOST_SHARE * F.col("all_pages"))
+    return filled.select("host", "slot", F.lit(0).cast("long").alias("token")).union(single.select("host", "slot", "token"))
 
 
-def main_text(page: str, template: set[int]) -> str:
-    """Blocks outside the template and outside parts that aren't main text; of an article or a main part, if there is one."""
-    found = [(e, text, slots) for e, text, slots in blocks_of(page) if not e.skip]
-    inside = [x for x in found if x[0].inside]
-    return "\n\n".join(text for e, text, slots in inside or found if e.inside or template.isdisjoint(slots))
+def main_text(page: str, slots: set[int], blocks: set[int] | None = None) -> str:
+    """Blocks outside the template and outside parts that aren't main text.
+
+    ``slots`` are the template's, ``blocks`` its single blocks (slot and token by
+    exclusive or). In an article or a main element, and right in html or body, only a
+    block itself can be of the template. Without ``blocks`` the page stands alone, with
+    no host to deduce from: then an article or a main element, if there is one, is all.
+    """
+    found = [(e, text) for e, text, _ in blocks_of(page) if not e.skip]
+    if blocks is None:
+        inside = [x for x in found if x[0].inside]
+        return "\n\n".join(text for e, text in inside or found if e.inside or e.slot not in slots)
+    return "\n\n".join(text for e, text in found if not (e.slot in slots and not e.inside and e.name not in ROOTS) and (not blocks or e.slot ^ _hash(text) not in blocks))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -236,8 +263,9 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Each host's template is deduced from all its pages (``template_slots``); what varies
     is kept, unless its element is a menu, a footer, a form, comments or the like by name.
-    Within an article or a main element nothing is dropped for being repeated, since
-    pages may quote each other. White space in a block becomes one space, blocks are
+    Text beside an article is judged like any other, and a notice that a host repeats
+    within its articles goes; what less than HOST_SHARE of its pages repeat stays there,
+    since pages may quote each other. White space in a block becomes one space, blocks are
     joined by two newlines. Null or empty html gives an empty text; a null url has the
     empty host; repeated rows are taken each; other columns are ignored; an empty table
     gives no rows. Pages are parsed where they lie: only counts of tokens are shuffled,
@@ -246,13 +274,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("host", _host(F.col("url")))
     slots = stored(template_slots(rows), "slots")
-    by_host = slots.groupBy("host").agg(F.collect_set("slot").alias("slots")).withColumnRenamed("host", "_host")
+    by_host = slots.groupBy("host").agg(F.collect_set(F.when(F.col("token") == 0, F.col("slot"))).alias("slots"), F.collect_set(F.when(F.col("token") != 0, F.col("slot").bitwiseXOR(F.col("token")))).alias("blocks")).withColumnRenamed("host", "_host")
     small = slots.limit(BROADCAST_SLOTS + 1).count() <= BROADCAST_SLOTS
-    joined = rows.join(F.broadcast(by_host) if small else by_host, F.xxhash64("host") == F.col("_host"), "left").select("page_id", "url", "html", "slots")
+    joined = rows.join(F.broadcast(by_host) if small else by_host, F.xxhash64("host") == F.col("_host"), "left").select("page_id", "url", "html", "slots", "blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, set(slots or ())) for page, slots in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = [main_text(page, set(slots or ()), set(blocks or ())) for page, slots, blocks in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

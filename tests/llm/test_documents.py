@@ -102,3 +102,25 @@ def test_template_of_a_host_is_deduced(spark):
         assert got[k].text == f"Story {k} begins here.\n\nIt has a second part {k * 7}." and got[k].n_chars == len(got[k].text)
     assert "Story 9 begins here." in got[100].text and got[101].text == "" and got[102].text == ""
     assert html_text.extract(df.limit(0)).count() == 0
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(k, f"http://host.org/{k}", p) for k, p in enumerate(pages)], "page_id long, url string, html string")
+    return {r.page_id: r.text for r in html_text.extract(df).collect()}
+
+
+def test_text_beside_an_article_is_judged_by_the_template(spark):
+    page = lambda k: f"<body><div class='top'><a>Home</a><a>About</a></div><div class='story'><p>Story {k} begins.</p><p>It ends at {k * 7}.</p></div><article>Teaser {k}</article></body>"
+    got = texts_of(spark, [page(k) for k in range(6)])
+    assert got == {k: f"Story {k} begins.\n\nIt ends at {k * 7}.\n\nTeaser {k}" for k in range(6)}
+
+
+def test_repeated_notices_in_articles_go_and_quotes_stay(spark):
+    page = lambda k: f"<body>Loose words<article><h1>Title {k}</h1><p>Body {k} here.</p><p>{'A quoted line.' if k < 3 else f'Own line {k}.'}</p><p>Get our app today.</p><p class='x'>Prices may change.</p></article></body>"
+    got = texts_of(spark, [page(k) for k in range(8)])
+    assert got == {k: f"Title {k}\n\nBody {k} here.\n\n{'A quoted line.' if k < 3 else f'Own line {k}.'}" for k in range(8)}
+
+
+def test_copies_of_a_page_are_no_template(spark):
+    page = "<body><article><h1>Title</h1><p>Same body.</p></article><div class='s'><p>One.</p><p>Two.</p></div></body>"
+    assert set(texts_of(spark, [page] * 5).values()) == {"Title\n\nSame body.\n\nOne.\n\nTwo."}
