@@ -24,18 +24,8 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return with_label.join(largest, "token")
 
 
-def component_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_shingles, node, component_id for every row.
-
-    The set of a document, and when two link, is said in ``setjoin``. Components are
-    those of the links: first each token's least node is tried with the token's other
-    nodes; then nodes outside a token's largest component with a node of it chosen by
-    hash; then all pairs that still lie in different components. ``component_id`` is the
-    smallest id in the component. Texts without a word have size 0 and stay alone; ids
-    may be null (ignored for the smallest) or repeat (each row is judged by its text);
-    an empty table gives no rows. Equal sets are one node; sets and tokens are known by
-    64-bit hashes.
-    """
+def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The units of ``docs`` with the label of their component, null for texts without a word."""
     rows = setjoin.input_of(docs, id_col, text_col)
     units, table = setjoin.profile(rows, False)
     shared = setjoin.prefixes(rows, table, False)
@@ -73,15 +63,46 @@ def component_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
             else:
                 edges = edges.union(more)
                 labels = setjoin.components(edges)
-    known = units.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else units.withColumn("label", F.col("node"))
+    return units.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else units.withColumn("label", F.col("node"))
+
+
+def component_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_shingles, node, component_id for every row.
+
+    The set of a document, and when two link, is said in ``setjoin``. Components are
+    those of the links: first each token's least node is tried with the token's other
+    nodes; then nodes outside a token's largest component with a node of it chosen by
+    hash; then all pairs that still lie in different components. ``component_id`` is the
+    smallest id in the component. Texts without a word have size 0 and stay alone; ids
+    may be null (ignored for the smallest) or repeat (each row is judged by its text);
+    an empty table gives no rows. Equal sets are one node; sets and tokens are known by
+    64-bit hashes.
+    """
+    known = _grouped(docs, id_col, text_col)
     least = known.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
     return known.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those rows whose component has a smaller id. Of rows that repeat an id of theirs, one stays."""
-    groups = stored(component_rows(docs, id_col=id_col, text_col=text_col), "components")
-    gone = groups.filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
-    kept = docs.join(F.broadcast(gone) if setjoin.few(gone) else gone, docs[id_col].cast("long") == gone["doc_id"], "left_anti")
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1")
-    return kept if repeated.isEmpty() else kept.dropDuplicates([id_col])
+    """One row of each component of ``docs``, and every row of a text without a word.
+
+    The one is that of the smallest id, then of the smallest text hash; rows without an
+    id come last, so one of them stays where all lack it. Rows are known by id and text:
+    an id may stand for several texts, each judged on its own. Of rows that repeat both,
+    one stays, but without an id and a word all do.
+    """
+    units = stored(_grouped(docs, id_col, text_col), "components")
+    pair = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+    least = units.filter("label IS NOT NULL").groupBy("label").agg(F.min(pair).alias("least"))
+    rows = units.groupBy("doc_id", "text_key", "label").agg(F.count(F.lit(1)).alias("k"))
+    judged = stored(rows.join(least, "label", "left").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.coalesce(pair == F.col("least"), F.lit(True)).alias("stays"), F.expr("k > 1 AND (label IS NOT NULL OR doc_id IS NOT NULL)").alias("repeats")), "judged")
+    gone, repeated = judged.filter("NOT stays").select("_id", "_key"), judged.filter("stays AND repeats").select("_id", "_key")
+    named = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_text": F.xxhash64(F.col(text_col).cast("string"))})
+
+    def matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
+        return left.join(F.broadcast(right) if setjoin.few(right) else right, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), how)
+
+    kept = matched(named, gone, "left_anti")
+    if not repeated.isEmpty():
+        kept = matched(kept, repeated, "left_anti").union(matched(kept, repeated, "left_semi").dropDuplicates(["_doc", "_text"]))
+    return kept.drop("_doc", "_text")

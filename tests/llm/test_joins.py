@@ -93,3 +93,14 @@ def test_awkward_lines(spark):
     assert line_dedup.dedup(frame(spark, [])).count() == 0
     got = line_dedup.dedup(frame(spark, [(None, "a b\nc"), (1, "a b\n\nd"), (1, "a b\n\nd"), (2, None)])).collect()
     assert sorted((repr(r.doc_id), r.text, r.n_removed) for r in got if r.text is not None) == [("1", "a b\n\nd", 0), ("1", "a b\n\nd", 0), ("None", "c", 1)]
+
+
+def test_keep_one_judges_rows_not_ids(spark):
+    rng = random.Random(8)
+    a, b, c, d = (prose(rng, 60, 5000) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, b), (None, a), (None, c), (None, c + " more"), (None, c), (None, d), (7, c.upper() + " x"), (None, ""), (None, ""), (8, ""), (8, ""), (8, None)]
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(1, a), (5, b), (7, c.upper() + " x"), (None, d), (None, ""), (None, ""), (8, ""), (8, None)], key=repr)
+    lost = [(None, c), (None, c), (None, c + " more"), (2, d)]
+    got = [(r.doc_id, r.text) for r in ngram_join.keep_one(frame(spark, lost)).collect()]
+    assert len(got) == 2 and (2, d) in got and got[0] != got[1] and {i for i, _ in got} == {None, 2}
