@@ -30,6 +30,34 @@ SENTENCES = {
     "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution": "bsd-binary",
     "all rights reserved": "reserved",
 }
+#: More sentences, which the SQL below doesn't know.
+MORE_SENTENCES = {
+    "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied": "apache2-warranty",
+    "apache license version 2 0 january 2004": "apache2-title",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version": "gpl2-free",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation version 3": "gpl3-free",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license version 2 as published by the free software foundation": "gpl2-free",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version": "lgpl21-free",
+    "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-free",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license or at your option any later version": "lgpl3-free",
+    "this library is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose": "lgpl-warranty",
+    "this program is free software you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation either version 3 of the license or at your option any later version": "agpl3-free",
+    "this source code form is subject to the terms of the mozilla public license v 2 0": "mpl2-notice",
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies": "isc-grant",
+    "this is free and unencumbered software released into the public domain": "unlicense-head",
+    "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "all advertising materials mentioning features or use of this software must display the following acknowledgement": "bsd-advert",
+    "the name of the author may not be used to endorse or promote products derived from this software without specific prior written permission": "bsd-endorse",
+    "licensed under the bsd 3 clause license": "bsd3-short",
+    "licensed under the bsd 2 clause license": "bsd2-short",
+    "licensed under the isc license": "isc-short",
+    "licensed under the mozilla public license version 2 0": "mpl2-short",
+    "licensed under the gnu general public license version 2": "gpl2-short",
+    "licensed under the gnu lesser general public license version 3": "lgpl3-short",
+    "licensed under the gnu lesser general public license version 2 1": "lgpl21-short",
+    "licensed under the gnu affero general public license version 3": "agpl3-short",
+}
 #: Licence rules: identifiers that follow one another, without regard to other sentences between.
 RULES = (
     ("Apache-2.0", ("apache2-short",)),
@@ -44,31 +72,76 @@ RULES = (
     ("BSD-2-Clause", ("bsd-head", "bsd-source", "bsd-binary")),
     ("LicenseRef-reserved", ("reserved",)),
 )
+#: And their rules.
+MORE_RULES = (
+    ("Apache-2.0", ("apache2-title",)),
+    ("GPL-2.0", ("gpl2-free", "gpl-warranty")),
+    ("GPL-2.0", ("gpl2-short",)),
+    ("LGPL-2.1", ("lgpl21-free", "lgpl-warranty")),
+    ("LGPL-2.1", ("lgpl21-short",)),
+    ("LGPL-3.0", ("lgpl3-free", "lgpl-warranty")),
+    ("LGPL-3.0", ("lgpl3-free", "gpl-warranty")),
+    ("LGPL-3.0", ("lgpl3-short",)),
+    ("AGPL-3.0", ("agpl3-free", "gpl-warranty")),
+    ("AGPL-3.0", ("agpl3-short",)),
+    ("MPL-2.0", ("mpl2-notice",)),
+    ("MPL-2.0", ("mpl2-short",)),
+    ("ISC", ("isc-grant",)),
+    ("ISC", ("isc-short",)),
+    ("Unlicense", ("unlicense-head",)),
+    ("BSD-3-Clause", ("bsd-head", "bsd-source", "bsd-binary", "bsd-endorse")),
+    ("BSD-3-Clause", ("bsd3-short",)),
+    ("BSD-4-Clause", ("bsd-head", "bsd-source", "bsd-binary", "bsd-advert", "bsd-endorse")),
+    ("BSD-2-Clause", ("bsd2-short",)),
+)
+#: Identifiers of which none may follow at once, for a rule to match.
+UNLESS = {("bsd-head", "bsd-source", "bsd-binary"): ("bsd-endorse", "bsd-advert")}
 #: Every sentence holds one of these; other sentences are not looked up.
 MARKS = "licens|permission|copyright|software|redistribut|reserved|warrant"
-BREAK = r"\n|[.!?;]+[ \t]+"
+#: Rewritings of a text in lower case, in turn. At the end "|" stands where a sentence ends for sure (a mark or a blank
+#: line), a newline where it may, and all else is a-z, 0-9 and single spaces; comment signs go with the other signs.
+NORMAL = (
+    (r"\|", " "),
+    (r"\r\n?", "\n"),
+    (r"(?m)^[ \t]*(?:dnl|rem)\b", " "),
+    (r"neither\W+the\W+names?\W+of\W+[^;|]{1,160}?\W+nor\W+the\W+names\W+of\W+(?:(?:its|any)\W+)?contributors", "neither the name of the copyright holder nor the names of its contributors"),
+    (r"\bv\.\s+(?=[0-9])", "v "),
+    (r"without\W+any\W+warranty\W+without\W+even", "without any warranty without even"),
+    (r"(?m)^[^a-z0-9\n]*(?:[0-9]{1,2}|[a-z])[.)](?=\s)", "|"),
+    (r"[.!?;]+(?=\s)", "|"),
+    (r"[^a-z0-9\n|]+", " "),
+    (r" ?\n ?", "\n"),
+    (r" ?\|[ |\n]*|\n\n+", "|"),
+    (r"\A[ \n]+|[ \n]+\z", ""),
+)
 
 
 def identifiers(text: Column) -> Column:
-    """Identifiers of the known sentences of a text, in order."""
-    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(k)) for s, k in SENTENCES.items()))
-    found = F.filter(F.split(F.lower(text), BREAK, -1), lambda s: F.rlike(s, F.lit(MARKS)))
-    normal = F.transform(found, lambda s: F.btrim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    return F.filter(F.transform(normal, lambda s: F.try_element_at(known, s)), lambda k: k.isNotNull())
+    """Identifiers of the known sentences of a text, in order; where several begin, of the longest."""
+    table = {**SENTENCES, **MORE_SENTENCES}
+    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(k)) for s, k in table.items()))
+    normal = F.lower(text)
+    for what, by in NORMAL:
+        normal = F.regexp_replace(normal, what, by)
+    any_of = "|".join(s.replace(" ", "[ \\n]") for s in sorted(table, key=len, reverse=True))
+    found = F.regexp_extract_all(normal, F.lit(f"(?<![^|\\n])(?:{any_of})(?![^|\\n])"), F.lit(0))
+    return F.transform(found, lambda s: F.try_element_at(known, F.translate(s, "\n", " ")))
 
 
 def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     """``docs`` with sentence_ids, licenses and rules.
 
-    Sentences end at a newline or at a mark before white space; in normal form they have
-    lower case and single spaces for all that is neither a-z nor 0-9. ``sentence_ids``
+    Sentences end at a mark before white space or at a blank line, and may begin and end at
+    any newline, so wrapped ones, in comments too, are known as well as those in one line;
+    in normal form they have lower case and single spaces for all that is neither a-z nor
+    0-9. ``sentence_ids``
     holds the identifiers of the known ones in order, ``licenses`` the distinct licences
-    in order of RULES, ``rules`` the number of rules that match. A rule matches where its
-    identifiers follow one another. A null or empty text has none; repeated rows are
+    in order of RULES and MORE_RULES, ``rules`` the number of rules that match. A rule matches where its
+    identifiers follow one another and none of UNLESS comes next. A null or empty text has none; repeated rows are
     scanned each; columns of these names are replaced; an empty table gives no rows.
     One pass without a shuffle.
     """
-    missing = [s for s in SENTENCES if not any(m in s for m in MARKS.split("|"))]
+    missing = [s for s in (*SENTENCES, *MORE_SENTENCES) if not any(m in s for m in MARKS.split("|"))]
     if missing:
         raise ValueError(f"sentences without a mark: {missing}")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
@@ -76,7 +149,12 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     ids = F.when(F.rlike(F.lower(text), F.lit(MARKS)), identifiers(text)).otherwise(F.array().cast("array<string>"))
     seen = docs.select(*rest, ids.alias("sentence_ids"))
     sequence = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
-    hits = F.array(*(F.when(F.contains(F.col("_seq"), F.lit(f",{','.join(rule)},")), F.lit(name)) for name, rule in RULES))
+
+    def match(rule: tuple[str, ...]) -> Column:
+        run = f",{','.join(rule)},"
+        return F.rlike("_seq", F.lit(f"{run}(?!(?:{'|'.join(UNLESS[rule])}),)")) if rule in UNLESS else F.contains(F.col("_seq"), F.lit(run))
+
+    hits = F.array(*(F.when(match(rule), F.lit(name)) for name, rule in (*RULES, *MORE_RULES)))
     return seen.withColumn("_seq", sequence).withColumn("_hits", F.array_compact(hits)).select(*rest, "sentence_ids", F.array_distinct("_hits").alias("licenses"), F.size("_hits").alias("rules"))
 
 
@@ -84,6 +162,7 @@ def _q(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
+# Of the tables as they were at first, and of sentences in one line: it says less where licences are wrapped or in MORE_SENTENCES.
 ORACLE = rf"""
 WITH known(s, k) AS (VALUES {", ".join(f"({_q(s)}, {_q(k)})" for s, k in SENTENCES.items())}),
 rules(n, name, seq) AS (VALUES {", ".join(f"({n}, {_q(name)}, {_q(',' + ','.join(rule) + ',')})" for n, (name, rule) in enumerate(RULES))}),

@@ -81,3 +81,65 @@ def test_sql_says_the_same(spark, which):
         got = [(r.doc_id, len(r.sentence_ids), ",".join(r.licenses), r.rules) for r in licenses.scan(frame(spark, rows)).collect()]
     fix = lambda r: tuple(None if isinstance(x, float) and x != x else int(x) if isinstance(x, float) else x for x in r)
     assert sorted(map(fix, got), key=repr) == sorted(map(fix, want), key=repr)
+
+
+BSD = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice,
+   this list of conditions and the following disclaimer.
+2. Redistributions in binary form must reproduce the above copyright
+   notice, this list of conditions and the following disclaimer in the
+   documentation and/or other materials provided with the distribution.
+"""
+ENDORSE = """3. Neither the name of Foo, Inc. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GNU = """This {0} is free software: you can redistribute it and/or modify
+it under the terms of the GNU {1} as published by
+the Free Software Foundation, either version {2} of the License, or
+(at your option) any later version.
+
+This {0} is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+GNU {1} for more details.
+"""
+MIT = """Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+"""
+MPL = """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+"""
+ISC = """Copyright 2020 Someone
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+WRAPPED = {
+    "MIT": MIT, "Apache-2.0": APACHE, "BSD-2-Clause": BSD, "BSD-3-Clause": BSD + ENDORSE, "MPL-2.0": MPL, "ISC": ISC,
+    "GPL-3.0": GNU.format("program", "General Public License", "3"), "GPL-2.0": GNU.format("program", "General Public License", "2"), "AGPL-3.0": GNU.format("program", "Affero General Public License", "3"),
+    "LGPL-2.1": GNU.format("library", "Lesser General Public License", "2.1"), "LGPL-3.0": GNU.format("program", "Lesser General Public License", "3"),
+    "Unlicense": "This is free and unencumbered software released into\nthe public domain.\n",
+}
+
+
+@pytest.mark.parametrize("lead, end", [("", ""), (" * ", ""), ("# ", ""), ("// ", "\r"), ("dnl ", "")])
+def test_wrapped_licences(spark, lead, end):
+    rows = [(i, "Some code here\n" + "\n".join((lead + x).rstrip() + end for x in t.split("\n")) + "\nmore code") for i, t in enumerate(WRAPPED.values())]
+    got = {r.doc_id: r.licenses for r in licenses.scan(frame(spark, rows)).collect()}
+    assert [got[i] for i in range(len(rows))] == [[name] for name in WRAPPED]
