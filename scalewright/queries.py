@@ -66,6 +66,24 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
     return df.withColumn("active", ~(F.col("i").between(12, 18) & F.col("j").between(4, 6)) & (F.col("i") != 1))
 
 
+def sphere_cells(spark: SparkSession, sf: str, n: int) -> DataFrame:
+    """One row for each cell of 2n - 1 longitudes and n latitudes: quantity and discount by remainder, so every row of lineitem counts."""
+    return _fields(_sums(_read(spark, sf, "lineitem"), (F.pmod(F.col("l_quantity").cast("int") - 1, F.lit(2 * n - 1)) + 1).alias("i"), (F.pmod(F.round(F.col("l_discount") * 100).cast("int"), F.lit(n)) + 1).alias("j")))
+
+
+def _sphere_sql(n: int, scale: float) -> str:
+    """Least squares by harmonics below degree n, order by order, each degree times exp(-k (k + 1) scale^2 / 24)."""
+    x = np.sin(math.pi / 2 - math.pi * (np.arange(n) + 0.5) / n)
+    rows = []
+    for m in range(n):
+        p = np.array([(1 - x * x) ** (m / 2) * np.polynomial.Legendre.basis(k).deriv(m)(x) for k in range(m, n)]).T
+        p /= np.linalg.norm(p, axis=0)
+        w = p @ np.diag([math.exp(-k * (k + 1) * scale * scale / 24) for k in range(m, n)]) @ np.linalg.pinv(p)
+        rows += [f"({m}, {a + 1}, {b + 1}, {float((1 if m == 0 else 2) * w[a, b] / (2 * n - 1))!r}::DOUBLE)" for a in range(n) for b in range(n)]
+    sums = f"SELECT (CAST(l_quantity AS INT) - 1) % {2 * n - 1} + 1 AS i, CAST(round(l_discount * 100) AS INT) % {n} + 1 AS j, sum(l_linenumber * 3 + l_suppkey % 7)::BIGINT AS a FROM lineitem GROUP BY 1, 2"
+    return f"WITH k(m, j, b, w) AS (VALUES {", ".join(rows)}), cells AS (SELECT i, j, (a % 41 - 20)::DOUBLE AS u FROM ({sums}) x), f AS (SELECT t.i, t.j, sum(k.w * cos(2 * pi() * k.m * (t.i - c.i) / {2 * n - 1}) * c.u) AS u FROM cells t JOIN k ON k.j = t.j JOIN cells c ON c.j = k.b GROUP BY 1, 2) SELECT i, j, {_rs('u')} FROM f"
+
+
 def _r(df: DataFrame, *names: str, keys=("i", "j")) -> DataFrame:
     return df.select(*keys, *((F.round(n, 6) + 0.0).alias(n) for n in names))
 
@@ -485,10 +503,9 @@ def _build_transforms() -> None:
     harmonic = Grid((Axis.of((2 * math.pi * np.arange(2 * n - 1) / (2 * n - 1)).tolist()), Axis.of((math.pi / 2 - math.pi * (np.arange(n) + 0.5) / n).tolist())), geometry="spherical", radius=1.0)
 
     def sht(spark, sf):
-        df = cells(spark, sf).filter(f"i <= {2 * n - 1} AND j <= {n}")
-        return _r(S.sphere_grid_filter(df, harmonic, Gaussian(), [1.0], {"u": F.col("u")}), "u")
+        return _r(S.sphere_grid_filter(sphere_cells(spark, sf, n), harmonic, Gaussian(), [1.0], {"u": F.col("u")}), "u")
 
-    add("spectral_sht", sht, None)
+    add("spectral_sht", sht, _sphere_sql(n, 1.0))
 
     def nusht(spark, sf):
         df = cells(spark, sf).withColumns({"lon": F.col("i") * (2 * math.pi / NX), "lat": F.asin((F.col("j") - 6) / 6.0)})

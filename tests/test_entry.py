@@ -26,3 +26,10 @@ def test_query_equals_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_spherical_transform_takes_all_rows(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM read_parquet('{SF}/lineitem.parquet')")
+    got = [tuple(r) for r in fields.QUERIES["spectral_sht"](spark, SF).select("i", "j", "u").collect()]
+    assert len(got) == 66 and sorted(got) == sorted(con.execute(fields.ORACLES["spectral_sht"]).fetchall())
