@@ -35,6 +35,15 @@ ENDS_P = BLOCKS - {"html", "body"}
 SKIPPED = frozenset("nav footer aside form head script style title noscript iframe template textarea button select option dialog menu svg object canvas audio video map".split())
 SKIPPED_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 SKIPPED_NAMES = frozenset("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist cookie cookies consent disqus footer foot gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted promotion related replies reply respond search share sharing sidebar signup skip social sponsor sponsored sponsors subscribe subscription tags toolbar topbar widget widgets".split())
+#: Names of comments: these go wherever they stand, a nested article too.
+COMMENT_NAMES = frozenset("comment comments commentlist disqus replies reply".split())
+#: Names that an article's own parts have as well: within one, and on headings and paragraphs, they only vote.
+VOTING_NAMES = frozenset("banner consent foot footer header login masthead notice notices promo promoted promotion respond search social tags".split())
+#: First words of names that say what a part has, lacks or is beside.
+MODIFIERS = frozenset("has hide hides is no not show shows with without".split())
+#: Last words of names that say no more than that a part is one.
+CONTAINERS = frozenset("area bar block body bottom box container content form group inner item items left links list main outer panel right section thread top wrap wrapper".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 p blockquote pre".split())
 MAIN = frozenset(("article", "main"))
 ROOTS = frozenset(("html", "body"))
 
@@ -43,24 +52,35 @@ _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden)\s*(?:=\s*(\"[^\"]*\"|
 _SPLIT = re.compile(r"[^a-z0-9]+")
 
 
-def _attributes(text: str) -> tuple[str, bool]:
-    """Class, id and role as a sorted key, and whether they name a part that isn't main text."""
+def _named(token: str) -> str | None:
+    """The skipped name that a whole class token or id stands for: itself, its last word, or its first before words for containers."""
+    words = [w for w in _SPLIT.split(token) if w]
+    if not words or words[0] in MODIFIERS:
+        return None
+    if words[-1] in SKIPPED_NAMES:
+        return words[-1]
+    rest = [w for w in words[1:] if not w.isdigit()]
+    return words[0] if words[0] in SKIPPED_NAMES and all(w in CONTAINERS for w in rest) else None
+
+
+def _attributes(text: str) -> tuple[str, bool, frozenset[str]]:
+    """Class, id and role as a sorted key, whether role or hiding rule out main text, and the skipped names among classes and id."""
     if not text or text.isspace():
-        return "", False
-    key, skip = [], False
+        return "", False, frozenset()
+    key, skip, names = [], False, set()
     for name, value in _NAMES.findall(text):
         name, value = name.lower(), value.strip("\"'").lower()
         words = [w for w in _SPLIT.split(value) if w]
         if name in ("class", "id"):
             key.append(f"{name}={' '.join(re.sub(r'[0-9]+', '0', w) for w in words)}")
-            skip |= not SKIPPED_NAMES.isdisjoint(words)
+            names.update(n for n in map(_named, value.split()) if n)
         elif name == "role":
             skip |= not SKIPPED_ROLES.isdisjoint(words)
         elif name == "hidden":
             skip = True
         elif value == "true":
             skip = True
-    return ";".join(key), skip
+    return ";".join(key), skip, frozenset(names)
 
 
 def _hash(text: str) -> int:
@@ -75,14 +95,19 @@ def _bit(k: int) -> int:
 class Element:
     """An open element: its place in the page's skeleton, and what is known of it."""
 
-    __slots__ = ("inside", "name", "path", "skip", "slot")
+    __slots__ = ("hint", "inside", "name", "path", "skip", "slot")
 
-    def __init__(self, name: str, above: Element | None, key: str, skip: bool, slots: dict[str, int]) -> None:
+    def __init__(self, name: str, above: Element | None, key: str, skip: bool, slots: dict[str, int], names: frozenset[str] = frozenset()) -> None:
         self.name = name
         self.path = f"{above.path if above else ''}/{name}{'[' + key + ']' if key else ''}"
         self.inside = bool(above and above.inside) or name in MAIN
-        own = skip or name in SKIPPED or (name == "header" and not (above and above.inside))
-        self.skip = (above.skip if above else False) or (own and name not in MAIN and name not in ("html", "body"))
+        within = bool(above and above.inside)
+        votes = names and (within or name in HEADINGS)
+        by_name = not VOTING_NAMES.issuperset(names) if votes else bool(names)
+        own = skip or name in SKIPPED or by_name or (name == "header" and not within)
+        exempt = name in ("html", "body") or (name in MAIN and COMMENT_NAMES.isdisjoint(names))
+        self.skip = (above.skip if above else False) or (own and not exempt)
+        self.hint = bool(votes) or (above.hint if above else False)
         if self.path not in slots:
             slots[self.path] = _hash(self.path)
         self.slot = slots[self.path]
@@ -142,7 +167,7 @@ def blocks_of(page: str) -> Iterator[tuple[Element, str, tuple[int, ...]]]:
                 del stack[k:]
         elif opened:
             name = opened.lower()
-            key, skip = _attributes(m[3])
+            key, skip, names = _attributes(m[3])
             if name in VOID:
                 if name in BLOCKS:
                     yield from flush()
@@ -151,7 +176,7 @@ def blocks_of(page: str) -> Iterator[tuple[Element, str, tuple[int, ...]]]:
                 continue
             if name in ("html",):
                 continue
-            if name in BLOCKS or name in SKIPPED or skip:
+            if name in BLOCKS or name in SKIPPED or skip or names:
                 yield from flush()
                 if name in ENDS_P:
                     closes = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}.get(name, ()) + ("p",)
@@ -163,7 +188,7 @@ def blocks_of(page: str) -> Iterator[tuple[Element, str, tuple[int, ...]]]:
                             break
             if m[3].rstrip().endswith("/") and name not in BLOCKS and name not in RAW:
                 continue
-            element = Element(name, stack[-1], key, skip, _SLOTS)
+            element = Element(name, stack[-1], key, skip, _SLOTS, names)
             if name in RAW:
                 end = re.compile(rf"</{re.escape(name)}\b[^>]*(?:>|$)", re.I).search(page, at)
                 at = end.end() if end else size
@@ -225,12 +250,14 @@ def tokens(pages: DataFrame) -> DataFrame:
 
 
 def template_slots(pages: DataFrame) -> DataFrame:
-    """(host, slot, token) of what belongs to a host's template: whole slots have token 0, the others are single blocks.
+    """(host, slot, token, sure) of what belongs to a host's template: whole slots have token 0, the others are single blocks.
 
     Tokens of a host with equal occurrence vectors form a class; it is valid with
     MIN_CLASS tokens or more on MIN_SUPPORT different pages or more. A slot whose text
     tokens, each as often as it occurs, are to TEMPLATE_SHARE in valid classes is of the
-    template. So is a block of a valid class that stands on HOST_SHARE of the host's pages.
+    template. So is a block of a valid class that stands on HOST_SHARE of the host's pages;
+    another block of a valid class is not ``sure``, and only goes where its element's name
+    says so too.
     """
     counted = stored(tokens(pages), "tokens")
     often = counted.filter((F.col("pages") >= MIN_SUPPORT) & (F.greatest(F.bit_count("seen"), F.bit_count("also_seen")) >= MIN_SUPPORT))
@@ -239,30 +266,32 @@ def template_slots(pages: DataFrame) -> DataFrame:
     total = counted.filter("token <> 0").groupBy("host", "slot").agg(F.sum("occurrences").alias("total"))
     filled = fixed.groupBy("host", "slot").agg(F.sum("occurrences").alias("fixed")).join(total, ["host", "slot"]).filter(F.col("fixed") >= TEMPLATE_SHARE * F.col("total"))
     whole = counted.filter((F.col("slot") == _ROOT.slot) & (F.col("token") == 0)).select("host", F.col("pages").alias("all_pages"))
-    single = fixed.join(whole, "host").filter(F.col("pages") >= HOST_SHARE * F.col("all_pages"))
-    return filled.select("host", "slot", F.lit(0).cast("long").alias("token")).union(single.select("host", "slot", "token"))
+    single = fixed.join(whole, "host").select("host", "slot", "token", (F.col("pages") >= HOST_SHARE * F.col("all_pages")).alias("sure"))
+    return filled.select("host", "slot", F.lit(0).cast("long").alias("token"), F.lit(True).alias("sure")).union(single)
 
 
-def main_text(page: str, slots: set[int], blocks: set[int] | None = None) -> str:
+def main_text(page: str, slots: set[int], blocks: set[int] | None = None, unsure: set[int] = frozenset()) -> str:
     """Blocks outside the template and outside parts that aren't main text.
 
     ``slots`` are the template's, ``blocks`` its single blocks (slot and token by
     exclusive or). In an article or a main element, and right in html or body, only a
-    block itself can be of the template. Without ``blocks`` the page stands alone, with
+    block itself can be of the template; ``unsure`` ones are where a name votes for it.
+    Without ``blocks`` the page stands alone, with
     no host to deduce from: then an article or a main element, if there is one, is all.
     """
     found = [(e, text) for e, text, _ in blocks_of(page) if not e.skip]
     if blocks is None:
         inside = [x for x in found if x[0].inside]
         return "\n\n".join(text for e, text in inside or found if e.inside or e.slot not in slots)
-    return "\n\n".join(text for e, text in found if not (e.slot in slots and not e.inside and e.name not in ROOTS) and (not blocks or e.slot ^ _hash(text) not in blocks))
+    return "\n\n".join(text for e, text in found if not (e.slot in slots and not e.inside and e.name not in ROOTS) and (not (blocks or (e.hint and unsure)) or ((key := e.slot ^ _hash(text)) not in blocks and not (e.hint and key in unsure))))
 
 
 def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text, n_chars (code points) of every page.
 
     Each host's template is deduced from all its pages (``template_slots``); what varies
-    is kept, unless its element is a menu, a footer, a form, comments or the like by name.
+    is kept, unless its element is a menu, a footer, a form, comments or the like by name
+    (whole class tokens; VOTING_NAMES within an article only add to the evidence).
     Text beside an article is judged like any other, and a notice that a host repeats
     within its articles goes; what less than HOST_SHARE of its pages repeat stays there,
     since pages may quote each other. White space in a block becomes one space, blocks are
@@ -274,13 +303,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("host", _host(F.col("url")))
     slots = stored(template_slots(rows), "slots")
-    by_host = slots.groupBy("host").agg(F.collect_set(F.when(F.col("token") == 0, F.col("slot"))).alias("slots"), F.collect_set(F.when(F.col("token") != 0, F.col("slot").bitwiseXOR(F.col("token")))).alias("blocks")).withColumnRenamed("host", "_host")
+    by_host = slots.groupBy("host").agg(F.collect_set(F.when(F.col("token") == 0, F.col("slot"))).alias("slots"), *(F.collect_set(F.when((F.col("token") != 0) & (F.col("sure") == sure), F.col("slot").bitwiseXOR(F.col("token")))).alias(name) for name, sure in (("blocks", True), ("unsure", False)))).withColumnRenamed("host", "_host")
     small = slots.limit(BROADCAST_SLOTS + 1).count() <= BROADCAST_SLOTS
-    joined = rows.join(F.broadcast(by_host) if small else by_host, F.xxhash64("host") == F.col("_host"), "left").select("page_id", "url", "html", "slots", "blocks")
+    joined = rows.join(F.broadcast(by_host) if small else by_host, F.xxhash64("host") == F.col("_host"), "left").select("page_id", "url", "html", "slots", "blocks", "unsure")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(page, set(slots or ()), set(blocks or ())) for page, slots, blocks in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
+            texts = [main_text(page, *(set(x or ()) for x in known)) for page, *known in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")

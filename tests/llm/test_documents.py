@@ -124,3 +124,19 @@ def test_repeated_notices_in_articles_go_and_quotes_stay(spark):
 def test_copies_of_a_page_are_no_template(spark):
     page = "<body><article><h1>Title</h1><p>Same body.</p></article><div class='s'><p>One.</p><p>Two.</p></div></body>"
     assert set(texts_of(spark, [page] * 5).values()) == {"Title\n\nSame body.\n\nOne.\n\nTwo."}
+
+
+@pytest.mark.parametrize("open_tag", ["<div class='content has-sidebar'>", "<div id='main' class='no-sidebar'>", "<div class='search-result'>", "<article><div class='article-header'>", "<h2 class='section-header'>", "<article><p class='notice'>", "<p class='notice'>", "<body class='with-comments'>"])
+def test_names_that_say_something_else(open_tag):
+    assert html_text.main_text(f"{open_tag}Main text", set(), set()) == "Main text"
+
+
+@pytest.mark.parametrize("open_tag", ["<div class='x sidebar'>", "<div class='site-menu'>", "<div class='comment-list'>", "<ul id=comments>", "<article><article class='comment'>", "<article class='comment'>", "<article><div class='ad-2'>", "<div class='footer-links'>", "<div class='notice'>"])
+def test_names_of_other_parts(open_tag):
+    assert html_text.main_text(f"{open_tag}Other text", set(), set()) == ""
+
+
+def test_names_vote_with_the_template(spark):
+    page = lambda k: f"<body><article><p class='notice'>{'Same notice.' if k < 4 else f'News {k}.'}</p><p class='lead'>{'A quote.' if k < 4 else f'Lead {k}.'}</p></article></body>"
+    got = texts_of(spark, [page(k) + f"<i>{k}</i>" for k in range(12)])
+    assert got == {k: f"A quote.\n\n{k}" if k < 4 else f"News {k}.\n\nLead {k}.\n\n{k}" for k in range(12)}
