@@ -37,19 +37,19 @@ def removed_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     lead = dealt.groupBy("token").agg(F.min(F.struct("first", "node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
     joined = dealt.select("token", F.col("node").alias("b"), F.col("at").alias("b_at")).join(lead, "token")
     tried = stored(setjoin.leading(joined, LEADERS), "pairs")
-    matched = None
-    if not tried.isEmpty():
+    if tried.isEmpty():
+        matched = docs.sparkSession.createDataFrame([], "node long")
+    else:
         matched = stored(setjoin.links(rows, units, tried, table, True).select(F.col("b").alias("node")).distinct(), "matched")
-        late = placed.join(F.broadcast(matched) if setjoin.few(matched) else matched, "node", "left_anti")
-        one = late.select("token", F.col("node").alias("b"), F.col("at").alias("b_at"), F.col("first").alias("b_first"))
-        other = placed.select("token", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("first").alias("a_first"))
-        found = setjoin.counted_candidates(one.join(other, (one["token"] == other["token"]) & (F.col("a_first") < F.col("b_first")) & setjoin.same_length(F.col("a_at"), F.col("b_at"))))
-        new = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not new.isEmpty():
-            matched = matched.union(setjoin.links(rows, units, new, table, True).select("b")).distinct()
+    late = placed.join(F.broadcast(matched) if setjoin.few(matched) else matched, "node", "left_anti")
+    one = late.select("token", F.col("node").alias("b"), F.col("at").alias("b_at"), F.col("first").alias("b_first"))
+    other = placed.select("token", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("first").alias("a_first"))
+    found = setjoin.counted_candidates(one.join(other, (one["token"] == other["token"]) & (F.col("a_first") < F.col("b_first")) & setjoin.same_length(F.col("a_at"), F.col("b_at"))))
+    new = stored(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not new.isEmpty():
+        matched = matched.union(setjoin.links(rows, units, new, table, True).select("b")).distinct()
     copies = units.join(first.filter("k > 1"), "node").filter(order != F.col("first")).select("doc_id", "text_key", "line")
-    if matched is not None:
-        copies = copies.union(units.join(matched, "node", "left_semi").select("doc_id", "text_key", "line")).distinct()
+    copies = copies.union(units.join(matched, "node", "left_semi").select("doc_id", "text_key", "line")).distinct()
     return stored(copies.groupBy("doc_id", "text_key").agg(F.collect_set(F.col("line").cast("int")).alias("lines")), "removed_lines"), rows
 
 

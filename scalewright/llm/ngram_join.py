@@ -33,37 +33,38 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     dealt = setjoin.by_token(shared)
     first = dealt.groupBy("token").agg(F.min(F.struct("node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
     tried = stored(setjoin.leading(dealt.withColumnsRenamed({"node": "b", "at": "b_at"}).join(first, "token"), LEADERS), "pairs")
-    labels = edges = None
-    if not tried.isEmpty():
+    if tried.isEmpty():
+        # No leader fits its token, but others may.
+        edges, labels, rounds = None, docs.sparkSession.createDataFrame([], "node long, label long"), [None]
+    else:
         edges = stored(setjoin.links(rows, units, tried, table, False), "links")
-        labels = setjoin.components(edges)
-        apart = shared
-        rounds = [*range(ROUNDS), None]
-        while rounds:
-            salt = rounds.pop(0)
-            # Tokens that lie in one component stay so.
-            apart = stored(_apart(apart.select("token", "node", "at"), labels), "apart")
-            one = apart.filter("label <> main").withColumnsRenamed({"node": "b", "at": "b_at"})
-            if salt is None:
-                other = apart.select("token", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("label").alias("a_label"))
-                found = setjoin.counted_candidates(one.join(other, (one["token"] == other["token"]) & (F.col("label") != F.col("a_label")) & ((F.col("a_label") == F.col("main")) | (F.col("a") < F.col("b"))) & setjoin.same_length(F.col("a_at"), F.col("b_at"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_at")).otherwise(F.col("b_at")).alias("a_at"), F.when(F.col("a") < F.col("b"), F.col("b_at")).otherwise(F.col("a_at")).alias("b_at")))
-            else:
-                some = apart.filter("label = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("node", "token", F.lit(salt)), "node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
-                found = setjoin.leading(one.join(some, "token"), PROBES)
-            sorted_pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            before = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-            new = stored(sorted_pairs.join(before, ["a", "b"], "left_anti"), "pairs")
-            if new.isEmpty():
-                rounds = rounds[-1:]
-                continue
-            more = stored(setjoin.links(rows, units, new, table, False), "links")
-            tried = before.union(new)
-            if more.isEmpty():
-                rounds = rounds[-1:]
-            else:
-                edges = edges.union(more)
-                labels = setjoin.components(edges)
-    return units.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")) if labels is not None else units.withColumn("label", F.col("node"))
+        labels, rounds = setjoin.components(edges), [*range(ROUNDS), None]
+    apart = shared
+    while rounds:
+        salt = rounds.pop(0)
+        # Tokens that lie in one component stay so.
+        apart = stored(_apart(apart.select("token", "node", "at"), labels), "apart")
+        one = apart.filter("label <> main").withColumnsRenamed({"node": "b", "at": "b_at"})
+        if salt is None:
+            other = apart.select("token", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("label").alias("a_label"))
+            found = setjoin.counted_candidates(one.join(other, (one["token"] == other["token"]) & (F.col("label") != F.col("a_label")) & ((F.col("a_label") == F.col("main")) | (F.col("a") < F.col("b"))) & setjoin.same_length(F.col("a_at"), F.col("b_at"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_at")).otherwise(F.col("b_at")).alias("a_at"), F.when(F.col("a") < F.col("b"), F.col("b_at")).otherwise(F.col("a_at")).alias("b_at")))
+        else:
+            some = apart.filter("label = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("node", "token", F.lit(salt)), "node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
+            found = setjoin.leading(one.join(some, "token"), PROBES)
+        sorted_pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        before = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        new = stored(sorted_pairs.join(before, ["a", "b"], "left_anti"), "pairs")
+        if new.isEmpty():
+            rounds = rounds[-1:]
+            continue
+        more = stored(setjoin.links(rows, units, new, table, False), "links")
+        tried = before.union(new)
+        if more.isEmpty():
+            rounds = rounds[-1:]
+        else:
+            edges = edges.union(more) if edges is not None else more
+            labels = setjoin.components(edges)
+    return units.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def component_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -104,3 +104,19 @@ def test_keep_one_judges_rows_not_ids(spark):
     lost = [(None, c), (None, c), (None, c + " more"), (2, d)]
     got = [(r.doc_id, r.text) for r in ngram_join.keep_one(frame(spark, lost)).collect()]
     assert len(got) == 2 and (2, d) in got and got[0] != got[1] and {i for i, _ in got} == {None, 2}
+
+
+def test_links_beside_a_leader_of_other_length(spark):
+    rng = random.Random(12)
+    one = prose(rng, 40, 10**6)
+    two = one.rsplit(" ", 1)[0] + " changed"
+    for k in range(99):
+        long = f"{prose(rng, 300, 10**6)} {k} {one} {prose(rng, 300, 10**6)} {two} {k}"
+        data = [f"{t}\n".encode() for t in (long, one, two)]
+        nodes = setjoin.token_sets(np.frombuffer(b"".join(data), np.uint8), np.cumsum([0, *map(len, data)]), False).node
+        if nodes[0] == min(nodes):
+            break
+    rows = [(1, long), (2, one), (3, two)]
+    assert rows_of(ngram_join.component_rows(frame(spark, rows))) == sorted(map(key, components(rows)))
+    assert {r.doc_id: r.text for r in line_dedup.dedup(frame(spark, rows)).collect()} == deduped(rows)
+    assert components(rows)[2][2] == 2 and deduped(rows)[3] == ""
