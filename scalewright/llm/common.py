@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch at most; with texts of 100 kB this stays near 50 MB.
 BATCH_ROWS = 512
@@ -27,20 +29,99 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below the checkpoint folder that driver and executors share.
+    """A new folder below the one that ``spark.checkpoint.dir`` names, which driver and executors share.
 
-    On a cluster ``spark.checkpoint.dir`` names it. Only where that is unset, as in
-    tests, a folder below the warehouse is used.
+    Only a local master may do without: there a temporary folder serves.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_stages"
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"{tempfile.gettempdir()}/checkpoints"
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+class Scratch:
+    """Tables of one operator in the shared folder.
+
+    ``put`` writes a table and reads it again, so its lineage ends there; ``close`` deletes
+    what was put. Tables that the result reads are written by ``keep`` and stay.
+    """
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.path, self._n = spark, shared_dir(spark), 0
+
+    def _write(self, df: DataFrame, path: str) -> DataFrame:
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def put(self, df: DataFrame, name: str) -> DataFrame:
+        self._n += 1
+        return self._write(df, f"{self.path}/work/{self._n:02d}_{name}")
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        self._n += 1
+        return self._write(df, f"{self.path}/{self._n:02d}_{name}")
+
+    def close(self) -> None:
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/work")
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str = "stage") -> DataFrame:
     """``df`` written to the shared folder and read again: its lineage ends there."""
-    path = f"{shared_dir(df.sparkSession)}/{name}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return Scratch(df.sparkSession).keep(df, name)
+
+
+#: Bytes of a table that is broadcast at most; larger ones are shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def small(df: DataFrame, size: Column | int = 16) -> DataFrame:
+    """``df``, a written table, marked for broadcasting if its rows sum to at most BROADCAST_BYTES.
+
+    ``size`` is what a row takes, as a number or by row. Rows cost 32 bytes besides.
+    """
+    n = df.agg(F.sum(F.lit(32) + size)).first()[0] or 0
+    return F.broadcast(df) if n <= BROADCAST_BYTES else df
+
+
+def bare(df: DataFrame) -> tuple[DataFrame, list[str]]:
+    """``df`` with columns named by place, and their names, so that none clashes with an operator's own."""
+    return df.toDF(*(f"_in{k}" for k in range(len(df.columns)))), df.columns
+
+
+def column_at(names: list[str], name: str) -> str:
+    """The name by place of the column that ``name`` means, as Spark resolves it: by case if one fits, else without."""
+    fits = [k for k, c in enumerate(names) if c == name] or [k for k, c in enumerate(names) if c.lower() == name.lower()]
+    if len(fits) != 1:
+        raise ValueError(f"{len(fits)} columns are named {name}")
+    return f"_in{fits[0]}"
+
+
+def part_keys(n: int) -> np.ndarray:
+    """Integers that Spark's hash partitioning into n deals to the partitions 0 to n - 1, one each."""
+    found = np.full(n, -1, np.int64)
+    start = 0
+    while (found < 0).any():
+        x = np.arange(start, start + 16 * n, dtype=np.uint32)
+        at = (_murmur(x).astype(np.int64) % n).astype(np.int64)
+        there, first = np.unique(at, return_index=True)
+        new = found[there] < 0
+        found[there[new]] = x[first[new]]
+        start += 16 * n
+    return found.astype(np.int32)
+
+
+def _murmur(x: np.ndarray) -> np.ndarray:
+    """Murmur3 of 32-bit integers with seed 42, as signed numbers."""
+    turn = lambda v, k: (v << np.uint32(k)) | (v >> np.uint32(32 - k))
+    h = np.uint32(42) ^ (turn(x.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+    h = turn(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+    h ^= np.uint32(4)
+    h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+    h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -60,40 +141,48 @@ def stream(seed: int, n: int) -> np.ndarray:
 
 
 _BYTE = stream(1, 256)
-_PLACE = stream(2, 4096) | np.uint64(1)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]
+_STEP = 0x9FB21C651E98DF25
+_powers = {step: np.ones(1, np.uint64) for step in (_STEP, pow(_STEP, -1, 1 << 64))}
 
 
-def places(n: int) -> np.ndarray:
-    """Multipliers for the first n byte places of a word."""
-    global _PLACE
-    if n > len(_PLACE):
-        _PLACE = stream(2, max(n, 2 * len(_PLACE))) | np.uint64(1)
-    return _PLACE
+def powers(n: int, step: int = _STEP) -> np.ndarray:
+    """The first n powers of an odd number, modulo 2^64."""
+    known = _powers[step]
+    if n > len(known):
+        known = np.full(max(n, 2 * len(known)), step & (2**64 - 1), np.uint64)
+        known[0] = 1
+        known = np.cumprod(known)
+        if n <= 4 * BLOCK_BYTES:
+            _powers[step] = known
+    return known[:n]
 
 
 def hash_words(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of the words ``[^\\x20\\x09-\\x0D]+`` in UTF-8 bytes, and where each starts.
 
-    ``lower`` folds A-Z only.
+    ``lower`` folds A-Z only. A word's hash is a polynomial of its bytes; running sums over
+    all bytes give it for each word at the cost of one subtraction.
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    if lower:
-        data = _LOWER[data]
-    inside = ~_SPACE[data]
-    at = np.flatnonzero(inside)
-    if not len(at):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    first = np.flatnonzero(np.diff(at, prepend=-2) != 1)
-    starts = at[first]
-    lengths = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, lengths)
-    value = _BYTE[data[at]] * places(int(lengths.max()))[place]
-    return mix(np.add.reduceat(value, first) + lengths.astype(np.uint64)), starts
+    space = _SPACE[data]
+    edge = np.flatnonzero(space[1:] != space[:-1]) + 1
+    if not space[0]:
+        edge = np.append(0, edge)
+    if len(edge) % 2:
+        edge = np.append(edge, len(data))
+    starts, ends = edge[::2], edge[1::2]
+    sums = (_FOLDED if lower else _BYTE)[data]
+    sums *= powers(len(data))
+    np.cumsum(sums, out=sums)
+    value = sums[ends - 1]
+    value[starts > 0] -= sums[starts[starts > 0] - 1]
+    value *= powers(len(data), pow(_STEP, -1, 1 << 64))[starts]
+    return mix(value + (ends - starts).astype(np.uint64)), starts
 
 
 def blocks(sizes: np.ndarray, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:

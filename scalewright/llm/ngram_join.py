@@ -6,82 +6,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import setjoin
-from .common import stored
+from .common import Scratch, bare, column_at, small
 
 
-#: Leaders of its tokens that a node is tried with at first.
-LEADERS = 4
-#: Rounds in which nodes apart are tried with others chosen by hash, and how many each time.
-ROUNDS, PROBES = 4, 8
+def _labels(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, label) of the nodes that link with another: the least node of the component."""
+    rows = setjoin.prefixes(sets, scratch)
+    leaders = F.array_distinct(F.array(F.min(F.struct("own", "node", "at")).dropFields("own"), F.min(F.struct("node", "at"))))
+    lead = scratch.put(rows.groupBy("token").agg(leaders.alias("l"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.explode("l").alias("l")).select("token", F.col("l.node").alias("a"), F.col("l.at").alias("a_at")), "leaders")
+    tried = scratch.put(setjoin.leading(rows.select("token", F.col("node").alias("b"), F.col("at").alias("b_at")).join(lead, "token"), setjoin.LEADERS), "pairs")
+    edges = scratch.put(setjoin.linked(sets, tried, scratch), "links")
+    labels = setjoin.components(edges, scratch)
 
-
-def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows of tokens whose nodes lie in several components, with the component and the token's largest one."""
-    known = F.broadcast(labels) if setjoin.few(labels) else labels
-    with_label = setjoin.by_token(shared.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    # Tokens whose nodes lie in several components: nodes outside the largest meet all others.
+    with_label = scratch.put(rows.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
     counted = with_label.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-    largest = counted.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main"))
-    return with_label.join(largest, "token")
-
-
-def _grouped(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    several = scratch.put(counted.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main")), "several")
+    apart = scratch.put(with_label.join(small(several), "token"), "apart")
+    one = apart.filter("label <> main").select("token", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("label").alias("a_label"))
+    other = apart.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("at").alias("b_at"), F.col("label").alias("b_label"), "main")
+    meet = (F.col("token") == F.col("t")) & (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("main")) | (F.col("a") < F.col("b"))) & setjoin.may_link(F.col("a_at"), F.col("b_at"))
+    found = setjoin.candidates(one.join(other, meet))
+    before = tried.select("a", "b").unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    new = scratch.put(found.join(before, ["a", "b"], "left_anti"), "pairs")
+    if new.isEmpty():
+        return labels
+    more = scratch.put(setjoin.linked(sets, new, scratch), "links")
+    return labels if more.isEmpty() else setjoin.components(edges.union(more), scratch)
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """The units of ``docs`` with the label of their component, null for texts without a word."""
     rows = setjoin.input_of(docs, id_col, text_col)
-    units, table = setjoin.profile(rows, False)
-    shared = setjoin.prefixes(rows, table, False)
-
-    dealt = setjoin.by_token(shared)
-    first = dealt.groupBy("token").agg(F.min(F.struct("node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
-    tried = stored(setjoin.leading(dealt.withColumnsRenamed({"node": "b", "at": "b_at"}).join(first, "token"), LEADERS), "pairs")
-    if tried.isEmpty():
-        # No leader fits its token, but others may.
-        edges, labels, rounds = None, docs.sparkSession.createDataFrame([], "node long, label long"), [None]
-    else:
-        edges = stored(setjoin.links(rows, units, tried, table, False), "links")
-        labels, rounds = setjoin.components(edges), [*range(ROUNDS), None]
-    apart = shared
-    while rounds:
-        salt = rounds.pop(0)
-        # Tokens that lie in one component stay so.
-        apart = stored(_apart(apart.select("token", "node", "at"), labels), "apart")
-        one = apart.filter("label <> main").withColumnsRenamed({"node": "b", "at": "b_at"})
-        if salt is None:
-            other = apart.select("token", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("label").alias("a_label"))
-            found = setjoin.counted_candidates(one.join(other, (one["token"] == other["token"]) & (F.col("label") != F.col("a_label")) & ((F.col("a_label") == F.col("main")) | (F.col("a") < F.col("b"))) & setjoin.same_length(F.col("a_at"), F.col("b_at"))).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.when(F.col("a") < F.col("b"), F.col("a_at")).otherwise(F.col("b_at")).alias("a_at"), F.when(F.col("a") < F.col("b"), F.col("b_at")).otherwise(F.col("a_at")).alias("b_at")))
-        else:
-            some = apart.filter("label = main").groupBy("token").agg(F.min(F.struct(F.xxhash64("node", "token", F.lit(salt)), "node", "at")).alias("f")).select("token", F.col("f.node").alias("a"), F.col("f.at").alias("a_at"))
-            found = setjoin.leading(one.join(some, "token"), PROBES)
-        sorted_pairs = found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        before = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        new = stored(sorted_pairs.join(before, ["a", "b"], "left_anti"), "pairs")
-        if new.isEmpty():
-            rounds = rounds[-1:]
-            continue
-        more = stored(setjoin.links(rows, units, new, table, False), "links")
-        tried = before.union(new)
-        if more.isEmpty():
-            rounds = rounds[-1:]
-        else:
-            edges = edges.union(more) if edges is not None else more
-            labels = setjoin.components(edges)
-    return units.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    units, table = setjoin.profile(rows, False, scratch)
+    labels = _labels(setjoin.ranked(rows, setjoin.nodes_of(units, scratch), table, False, scratch), scratch)
+    return units.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def component_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, node, component_id for every row.
 
     The set of a document, and when two link, is said in ``setjoin``. Components are
-    those of the links: first each token's least node is tried with the token's other
-    nodes; then nodes outside a token's largest component with a node of it chosen by
-    hash; then all pairs that still lie in different components. ``component_id`` is the
-    smallest id in the component. Texts without a word have size 0 and stay alone; ids
-    may be null (ignored for the smallest) or repeat (each row is judged by its text);
-    an empty table gives no rows. Equal sets are one node; sets and tokens are known by
-    64-bit hashes.
+    those of the links: first each node is tried with leaders of its tokens; then all
+    pairs that still lie in different components. ``component_id`` is the smallest id in
+    the component. Texts without a word have size 0 and stay alone; ids may be null
+    (ignored for the smallest) or repeat (each row is judged by its text); other columns
+    are ignored, whatever their names; an empty table gives no rows. Equal sets are one
+    node; sets and tokens are known by 64-bit hashes.
     """
-    known = _grouped(docs, id_col, text_col)
-    least = known.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return known.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    scratch = Scratch(docs.sparkSession)
+    known = scratch.put(_grouped(docs, id_col, text_col, scratch), "grouped")
+    least = known.filter("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"), F.count(F.lit(1)).alias("k")).filter("k > 1").drop("k")
+    component = F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.coalesce("component_id", "doc_id"))
+    out = scratch.keep(known.join(small(scratch.put(least, "least")), "label", "left").select("doc_id", F.col("n").alias("n_shingles"), "node", component.alias("component_id")), "components")
+    scratch.close()
+    return out
 
 
 def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -90,20 +69,25 @@ def keep_one(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text")
     The one is that of the smallest id, then of the smallest text hash; rows without an
     id come last, so one of them stays where all lack it. Rows are known by id and text:
     an id may stand for several texts, each judged on its own. Of rows that repeat both,
-    one stays, but without an id and a word all do.
+    one stays, but without an id and a word all do. All columns stay, whatever their
+    names; an empty table gives no rows.
     """
-    units = stored(_grouped(docs, id_col, text_col), "components")
+    scratch = Scratch(docs.sparkSession)
+    rows, names = bare(docs)
+    doc, text = column_at(names, id_col), column_at(names, text_col)
+    units = scratch.put(_grouped(rows, doc, text, scratch), "components")
     pair = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     least = units.filter("label IS NOT NULL").groupBy("label").agg(F.min(pair).alias("least"))
-    rows = units.groupBy("doc_id", "text_key", "label").agg(F.count(F.lit(1)).alias("k"))
-    judged = stored(rows.join(least, "label", "left").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.coalesce(pair == F.col("least"), F.lit(True)).alias("stays"), F.expr("k > 1 AND (label IS NOT NULL OR doc_id IS NOT NULL)").alias("repeats")), "judged")
-    gone, repeated = judged.filter("NOT stays").select("_id", "_key"), judged.filter("stays AND repeats").select("_id", "_key")
-    named = docs.withColumns({"_doc": F.col(id_col).cast("long"), "_text": F.xxhash64(F.col(text_col).cast("string"))})
+    keys = units.groupBy("doc_id", "text_key", "label").agg(F.count(F.lit(1)).alias("k"))
+    judged = scratch.put(keys.join(least, "label", "left").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), F.coalesce(pair == F.col("least"), F.lit(True)).alias("stays"), F.expr("k > 1 AND (label IS NOT NULL OR doc_id IS NOT NULL)").alias("repeats")), "judged")
+    gone, repeated = scratch.keep(judged.filter("NOT stays").select("_id", "_key"), "gone"), scratch.keep(judged.filter("stays AND repeats").select("_id", "_key"), "repeated")
+    scratch.close()
+    named = rows.withColumns({"_doc": F.col(doc).cast("long"), "_text": F.xxhash64(F.col(text).cast("string"))})
 
     def matched(left: DataFrame, right: DataFrame, how: str) -> DataFrame:
-        return left.join(F.broadcast(right) if setjoin.few(right) else right, F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), how)
+        return left.join(small(right), F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_text") == F.col("_key")), how)
 
     kept = matched(named, gone, "left_anti")
     if not repeated.isEmpty():
         kept = matched(kept, repeated, "left_anti").union(matched(kept, repeated, "left_semi").dropDuplicates(["_doc", "_text"]))
-    return kept.drop("_doc", "_text")
+    return kept.drop("_doc", "_text").toDF(*names)

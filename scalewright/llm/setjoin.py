@@ -2,45 +2,62 @@
 
 A unit (a document, or a line) is the set of its five-word shingles as 64-bit hashes.
 Units with equal sets are one node. Two sets link when 100 * intersection is at least
-75 * union. The global order of tokens is by class of frequency, then by hash; classes come
-from counts of all tokens in a table of fixed size, so frequent tokens stand last.
-
-Sets that link share a token among the first n // 4 + 1 of each. Rows (token, node) of
-these prefixes are sorted by token and streamed, so no group is held in memory. Pairs are
-made in rounds: each token's leader is paired with the other nodes of the token, then only
-nodes that the links so far leave apart are paired with all others. So a group of k near
-copies gives about k pairs, not k * k, and still every link between groups is found.
+75 * union. The work goes by these steps, each linear in its input:
+
+1. ``profile``: nodes, and a table of fixed size with classes of frequency of all tokens.
+2. ``alive``: nodes that may link at all. Of each set the first n // 4 + l tokens, by class
+   and hash, go to their token's place; sets that link share l of them. So a node goes on
+   if that many of them are shared with a node of fitting length.
+3. ``ranked``: the whole sets of the nodes left, their tokens counted exactly over these
+   nodes and ordered by that count. Tokens of one node come first and leave the set. A node
+   whose other tokens are under three quarters of the set links with nothing and goes.
+4. ``prefixes``: rows (token, node) of the first n // 4 + 1 places of the sets left.
+
+With the rarest tokens first, sets that have in common only what is common everywhere
+don't meet. Pairs are made in two rounds: each node is tried with few leaders of its
+tokens, those with the least share of tokens of their own; then only with nodes that the
+links so far leave apart. So a group of k near copies gives about k pairs, not k * k, and
+still every link between groups is found.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from dataclasses import dataclass
-
 import zlib
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import blocks, bound_batches, buffers, hash_words, mix, stored, stream
+from .common import Scratch, blocks, bound_batches, buffers, hash_words, mix, part_keys, small, stream
 
 WIDTH = 5
 PERCENT = 75
-#: Counters for tokens: their number is fixed, so is what is broadcast (4 MB).
-COUNTERS = 1 << 22
+#: Counters for tokens: their number is fixed, so is what is broadcast (1 MB).
+COUNTERS = 1 << 20
 #: Counters that are summed together.
 _CHUNK = 1 << 16
-#: Fragments into which the order of the infrequent tokens is cut; the frequent ones are one more.
-FRAGMENTS = 8
+#: Class of frequency from which tokens are not counted one by one but taken as shared by many.
+HOT = 10
+#: Fragments into which the global order of tokens is cut.
+FRAGMENTS = 4
 #: Partners of a hub that one task takes at most.
 HUB = 500
-#: Rows of ids that are broadcast at most, 16 bytes each.
-BROADCAST_ROWS = 500_000
+#: Leaders of its tokens that a node is tried with.
+LEADERS = 2
+#: Entries that a task gathers before it deals them out.
+HELD = 1 << 20
+#: Ranges of tokens or nodes in all partitions together that are looked at one at a time, at least.
+RANGES = 1024
 _PART = stream(11, WIDTH) | np.uint64(1)
 _SHORT = stream(12, WIDTH)
 _SIGN, _TEXT = stream(13, 2)
+_LOW48 = np.uint64((1 << 48) - 1)
+#: Steps of the logarithm of a length.
+_STEPS = 2000
+_NEAR = int(np.ceil(_STEPS * np.log(100 / PERCENT))) + 1
 
 
 @dataclass(frozen=True)
@@ -130,7 +147,7 @@ def input_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def profile(docs: DataFrame, by_line: bool) -> tuple[DataFrame, np.ndarray]:
+def profile(docs: DataFrame, by_line: bool, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
     """Units (doc_id, text_key, line, n, node), and the class of each counter, from one pass.
 
     ``docs`` is made by ``input_of``. Tokens are counted once in each set. Rows without a
@@ -152,7 +169,7 @@ def profile(docs: DataFrame, by_line: bool) -> tuple[DataFrame, np.ndarray]:
         none = pa.nulls(len(parts), pa.int64())
         yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
-    rows = stored(docs.mapInArrow(run, "doc_id long, text_key long, line long, n long, node long, chunk int, counts binary"), "units")
+    rows = scratch.put(docs.mapInArrow(run, "doc_id long, text_key long, line long, n long, node long, chunk int, counts binary"), "units")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
@@ -161,7 +178,7 @@ def profile(docs: DataFrame, by_line: bool) -> tuple[DataFrame, np.ndarray]:
                 sums[chunk] = sums.get(chunk, 0) + _unpacked(data)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
 
-    counted = rows.filter("chunk IS NOT NULL").select("chunk", "counts").mapInArrow(add, "chunk int, counts binary").repartition(8, "chunk").mapInArrow(add, "chunk int, counts binary")
+    counted = rows.filter("chunk IS NOT NULL").select("chunk", "counts").mapInArrow(add, "chunk int, counts binary").repartition(COUNTERS // _CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary")
     counts = np.zeros(COUNTERS, np.int64)
     for r in counted.collect():  # COUNTERS numbers
         counts[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] += _unpacked(r["counts"])
@@ -184,30 +201,126 @@ def classes(counts: np.ndarray) -> np.ndarray:
     return np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)).astype(np.int64), 0).astype(np.uint8)
 
 
-def _ordered(s: Sets, table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens by unit, class and hash; their places in the unit; their classes."""
-    kind = table[(s.token & np.uint64(COUNTERS - 1)).astype(np.int64)]
-    token = s.token
-    if kind.any():
-        order = np.argsort(s.unit * 64 + kind, kind="stable")
-        token, kind = token[order], kind[order]
-    return token, np.arange(len(token)) - s.first[s.unit], kind
+def _class_of(token: np.ndarray, table: np.ndarray) -> np.ndarray:
+    return table[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]
+
+
+def shared_least(n: int | np.ndarray) -> int | np.ndarray:
+    """l for sets of n tokens: so many of the first n // 4 + l of each are shared by two sets that link."""
+    return 1 + n // 20
+
+
+# Entries go from task to task as blobs. A bucket is a range of tokens or of nodes; several
+# make a partition. ``_dealt`` cuts entries by bucket, ``_met`` gives those of one bucket.
 
+_BLOB = "part int, sub int, to int, to_sub int, data binary"
 
-def prefixes(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
-    """Rows (token, node, at) of the prefixes of all sets; at is size << 32 | place.
 
-    Only tokens that two nodes or more have in their prefixes are left. A task sends the
-    rows of a node once where it sees it again.
+@dataclass(frozen=True)
+class _Deal:
+    """keys: the integer that stands for each partition; subs: buckets in each."""
+
+    keys: np.ndarray
+    subs: int
+
+    @classmethod
+    def of(cls, df: DataFrame) -> _Deal:
+        n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        return cls(part_keys(n), max(1, -(-RANGES // n)))
+
+    def bucket(self, values: np.ndarray) -> np.ndarray:
+        return (((values >> np.uint64(32)) * np.uint64(len(self.keys) * self.subs)) >> np.uint64(32)).astype(np.int64)
+
+    def shuffled(self, df: DataFrame, function: Callable, schema: str) -> DataFrame:
+        return df.repartition(len(self.keys), "part").sortWithinPartitions("part", "sub").mapInArrow(function, schema)
+
+    def cut(self, by: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
+        """(part, sub, entries) of the buckets of ``by``; a column is an array of bytes by entry."""
+        at = self.bucket(by)
+        order = np.argsort(at.astype(np.uint16) if len(self.keys) * self.subs < 1 << 16 else at, kind="stable")
+        at = at[order]
+        bounds = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
+        columns = [c[order] for c in columns]
+        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
+            yield int(self.keys[at[x] // self.subs]), int(at[x] % self.subs), b"".join(c[x:y].tobytes() for c in columns)
+
+
+def _bytes(values: np.ndarray, n: int) -> np.ndarray:
+    """The low n bytes of each number."""
+    return np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(-1, 8)[:, :n]
+
+
+def _numbers(data: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(data), 8), np.uint8)
+    out[:, : data.shape[1]] = data
+    return out.view("<u8").ravel()
+
+
+def _columns(blobs: list[bytes], widths: tuple[int, ...]) -> list[np.ndarray]:
+    """The columns of blobs of one bucket, as numbers."""
+    total, parts = sum(widths), [[] for _ in widths]
+    for blob in blobs:
+        data, at = np.frombuffer(blob, np.uint8), 0
+        n = len(data) // total
+        for k, w in enumerate(widths):
+            parts[k].append(data[at : at + n * w].reshape(n, w))
+            at += n * w
+    return [_numbers(np.concatenate(p)) for p in parts]
+
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list]]:
+    """(sub, rows (to, to_sub, data)) of each bucket in turn."""
+    key, rows = None, []
+    for batch in batches:
+        for part, sub, to, to_sub, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != (part, sub):
+                if rows:
+                    yield key[1], rows
+                key, rows = (part, sub), []
+            rows.append((to, to_sub, data))
+    if rows:
+        yield key[1], rows
+
+
+def _blobs(rows: list[tuple]) -> pa.RecordBatch:
+    """Rows (part, sub, to, to_sub, data) as a batch."""
+    columns = list(zip(*rows, strict=True)) or [()] * 5
+    kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["part", "sub", "to", "to_sub", "data"])
+
+
+def alive(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
+    """(key, c): at least how many tokens of the prefix each node, by the low 48 bits, shares with one of fitting length.
+
+    Nodes that share none are left out. Tokens and lengths are cut to a few bytes on the
+    way, which can only keep a node too many; so does a token of a hot class, which counts
+    as shared and goes nowhere. A task sends the rows of a node once where it sees it again.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(table)
+    deal = _Deal.of(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        hot: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def send() -> pa.RecordBatch:
+            token, node, length = (np.concatenate(c) for c in zip(*held, strict=True))
+            rows = [(part, sub, None, None, data) for part, sub, data in deal.cut(token, [_bytes(token, 6), _bytes(node, 6), _bytes(length, 2)])]
+            node, n = (np.concatenate(c) for c in zip(*hot, strict=True))
+            if len(node):
+                rows.append((int(deal.keys[int(node[0]) % len(deal.keys)]), deal.subs, None, None, _bytes(node, 6).tobytes() + _bytes(n, 4).tobytes()))
+            held.clear()
+            hot.clear()
+            return _blobs(rows)
+
         for batch in batches:
             for _, _, s in sets_of(batch, by_line):
-                token, place, _ = _ordered(s, shared.value)
+                kind = _class_of(s.token, shared.value)
+                token, unit = s.token, s.unit
+                if kind.any():
+                    order = np.argsort(unit * 64 + kind, kind="stable")
+                    token, kind = token[order], kind[order]
                 if len(seen) > 500_000:
                     seen.clear()
                 fresh = np.zeros(len(s.node), bool)
@@ -215,48 +328,184 @@ def prefixes(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
                     if x not in seen:
                         seen.add(x)
                         fresh[i] = True
-                keep = (place < s.size[s.unit] // 4 + 1) & fresh[s.unit]
-                unit = s.unit[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(token[keep].view(np.int64)), pa.array(s.node[unit]), pa.array((s.size[unit] << 32) | place[keep])], names=["token", "node", "at"])
+                most = np.where(fresh, s.size // 4 + shared_least(s.size), 0)
+                keep = np.arange(len(token)) - s.first[unit] < most[unit]
+                cold = keep & (kind < HOT)
+                node = s.node.view(np.uint64)
+                length = (np.log(np.maximum(s.size, 1)) * _STEPS).astype(np.uint64)
+                held.append((token[cold], node[unit[cold]], length[unit[cold]]))
+                n = np.bincount(unit[keep & (kind >= HOT)], minlength=len(node))
+                hot.append((node[n > 0], n[n > 0].astype(np.uint64)))
+                if sum(len(h[0]) for h in held) >= HELD:
+                    yield send()
+        if held:
+            yield send()
 
-    rows = docs.mapInArrow(run, "token long, node long, at long")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pending: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def send() -> pa.RecordBatch:
+            node, n = (np.concatenate(c) for c in zip(*pending, strict=True))
+            pending.clear()
+            node, back = np.unique(node, return_inverse=True)
+            return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(np.bincount(back, n, len(node)).astype(np.int64))], names=["key", "c"])
+
+        for sub, rows in _met(batches):
+            if sub == deal.subs:
+                pending.append(tuple(_columns([r[2] for r in rows], (6, 4))))
+            else:
+                token, node, length = _columns([r[2] for r in rows], (6, 6, 2))
+                order = np.argsort(token)
+                sorted_token = token[order]
+                same = sorted_token[1:] == sorted_token[:-1]
+                several = order[np.append(same, False) | np.append(False, same)]
+                if not len(several):
+                    continue
+                token, node, length = token[several], node[several], length[several].astype(np.int64)
+                order = np.lexsort((node, length, token))
+                token, node, length = token[order], node[order], length[order]
+                new = np.ones(len(token), bool)
+                new[1:] = (token[1:] != token[:-1]) | (node[1:] != node[:-1])
+                token, node, length = token[new], node[new], length[new]
+                # Of a token's rows by length, the next in length stands beside.
+                near = (token[1:] == token[:-1]) & (np.diff(length) <= _NEAR)
+                found = np.append(near, False) | np.append(False, near)
+                pending.append((node[found], np.ones(int(found.sum()), np.uint64)))
+            if sum(len(p[0]) for p in pending) >= HELD:
+                yield send()
+        if pending:
+            yield send()
+
+    return deal.shuffled(docs.select("doc_id", "text").mapInArrow(run, _BLOB), fits, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
+
+
+def nodes_of(units: DataFrame, scratch: Scratch) -> DataFrame:
+    """(node, n, k, none, doc_id, text_key, line): each node's size, number of units, and first unit."""
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
+    return scratch.put(units.filter("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.min(first).alias("first")).select("node", "n", "k", "first.*"), "nodes")
+
+
+def ranked(docs: DataFrame, nodes: DataFrame, table: np.ndarray, by_line: bool, scratch: Scratch) -> DataFrame:
+    """(node, n, c, tokens): of the nodes that may link, the c tokens that other such nodes have too, by exact count, as bytes.
+
+    Only the first unit of a node is read again. A node's hot tokens count as shared and
+    come last.
+    """
+    spark = docs.sparkSession
+    deal = _Deal.of(docs)
+    shared = spark.sparkContext.broadcast(table)
+    least = 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) / 20)
+    fit = nodes.join(alive(docs, table, by_line), F.col("node").bitwiseAND(F.lit(int(_LOW48))) == F.col("key")).filter(F.col("c") >= least)
+    wanted = scratch.put(fit.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_list("line").alias("lines")), "wanted")
+    near = docs.join(small(wanted, 16 + 8 * F.size("lines")), docs["doc_id"].eqNullSafe(wanted["_doc"]) & (docs["text_key"] == wanted["_key"])).select("doc_id", "text_key", "text", "lines")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        heads: list[tuple[np.ndarray, np.ndarray]] = []
+        seen: set[int] = set()
+
+        def send() -> pa.RecordBatch:
+            token, node, kind = (np.concatenate(c) for c in zip(*held, strict=True))
+            cold = kind < HOT
+            rows = [(part, sub, None, None, data) for part, sub, data in deal.cut(token[cold], [_bytes(token[cold], 8), _bytes(node[cold], 8)])]
+            head, n = (np.concatenate(c) for c in zip(*heads, strict=True))
+            node = np.append(head, node[~cold])
+            count = np.append(np.zeros(len(head), np.uint64), (1 << 30) + kind[~cold].astype(np.uint64))
+            there = [(part, sub, data) for part, sub, data in deal.cut(node, [_bytes(node, 8), _bytes(count, 4), _bytes(np.append(n, token[~cold]), 8)])]
+            # What needs no count passes the first meeting beside the rest.
+            rows += [(part, deal.subs, part, sub, data) for part, sub, data in there]
+            held.clear()
+            heads.clear()
+            return _blobs(rows)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of sorted rows those whose token has two distinct nodes, without repeats; the last row waits for the next batch."""
-        kept = np.zeros((3, 0), np.int64)
-        company = False  # whether rows of the waiting row's token have gone out
         for batch in batches:
-            rows = np.concatenate([kept, np.stack([c.to_numpy() for c in batch.columns])], axis=1)
-            if not rows.shape[1]:
+            units = [t.split("\n")[i] if by_line else t for t, lines in _lines(batch, by_line) for i in lines]
+            data, offsets = buffers(pa.array(units, pa.large_string()))
+            for a, b in blocks(np.diff(offsets)):
+                s = token_sets(data, offsets[a : b + 1], False)
+                # Rows that repeat id and text come again; here or where they meet, a node's tokens count once.
+                if len(seen) > 500_000:
+                    seen.clear()
+                fresh = np.array([not (x in seen or seen.add(x)) for x in s.node.tolist()], bool)
+                node, keep = s.node.view(np.uint64), fresh[s.unit]
+                held.append((s.token[keep], node[s.unit[keep]], _class_of(s.token[keep], shared.value)))
+                heads.append((node[fresh], s.size[fresh].astype(np.uint64)))
+                if sum(len(h[0]) for h in held) >= HELD:
+                    yield send()
+        if held:
+            yield send()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+
+        def send() -> pa.RecordBatch:
+            token, node, n = (np.concatenate(c) for c in zip(*held, strict=True))
+            held.clear()
+            return _blobs([(part, sub, None, None, data) for part, sub, data in deal.cut(node, [_bytes(node, 8), _bytes(n, 4), _bytes(token, 8)])])
+
+        for sub, rows in _met(batches):
+            if sub == deal.subs:
+                yield _blobs([(to, to_sub, None, None, data) for to, to_sub, data in rows])
                 continue
-            new = np.ones(rows.shape[1], bool)
-            new[1:] = (rows[0, 1:] != rows[0, :-1]) | (rows[1, 1:] != rows[1, :-1])
-            rows = rows[:, new]
-            same = rows[0, 1:] == rows[0, :-1]
-            out = np.zeros(rows.shape[1], bool)
-            out[1:] |= same
-            out[:-1] |= same
-            out[0] |= company
-            company = bool(out[-1])
-            kept = rows[:, -1:]
-            out[-1] = False
-            yield pa.RecordBatch.from_arrays([pa.array(r[out]) for r in rows], names=["token", "node", "at"])
-        if company:
-            yield pa.RecordBatch.from_arrays([pa.array(r) for r in kept], names=["token", "node", "at"])
-
-    return stored(rows.repartition(parts, "token").sortWithinPartitions("token", "node").mapInArrow(runs, "token long, node long, at long"), "shared_tokens")
-
-
-def by_token(rows: DataFrame) -> DataFrame:
-    """Rows dealt by token once, for the groups and joins by token that follow."""
-    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "token")
-
-
-def same_length(a: Column, b: Column) -> Column:
-    """The length filter for two rows of a token."""
-    na, nb = F.shiftright(a, 32), F.shiftright(b, 32)
-    return 100 * F.least(na, nb) >= PERCENT * F.greatest(na, nb)
+            token, node = _columns([r[2] for r in rows], (8, 8))
+            order = np.argsort(token)
+            token, node = token[order], node[order]
+            new = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
+            n = np.repeat(np.diff(np.append(new, len(token))), np.diff(np.append(new, len(token))))
+            held.append((token[n > 1], node[n > 1], n[n > 1].astype(np.uint64)))
+            if sum(len(h[0]) for h in held) >= HELD:
+                yield send()
+        if held:
+            yield send()
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, rows in _met(batches):
+            node, n, token = _columns([r[2] for r in rows], (8, 4, 8))
+            order = np.lexsort((token, n, node))
+            node, n, token = node[order], n[order], token[order]
+            # A row that repeats in another task repeats its entries.
+            new = np.append(True, (node[1:] != node[:-1]) | (token[1:] != token[:-1]) | (n[1:] != n[:-1]))
+            node, n, token = node[new], n[new], token[new]
+            begin = np.flatnonzero(n == 0)
+            c = np.diff(np.append(begin, len(node))) - 1
+            size = token[begin].astype(np.int64)
+            keep = np.flatnonzero(100 * c >= PERCENT * size)
+            tokens = [token[begin[k] + 1 : begin[k] + 1 + c[k]].tobytes() for k in keep]
+            for x, y in blocks(np.array([len(t) for t in tokens], np.int64)):
+                some = keep[x:y]
+                yield pa.RecordBatch.from_arrays([pa.array(node[begin[some]].view(np.int64)), pa.array(size[some]), pa.array(c[some].astype(np.int64)), pa.array(tokens[x:y], pa.binary())], names=["node", "n", "c", "tokens"])
+
+    once = deal.shuffled(near.mapInArrow(run, _BLOB), count, _BLOB)
+    return scratch.put(deal.shuffled(once, gather, "node long, n long, c long, tokens binary"), "ranked")
+
+
+def _lines(batch: pa.RecordBatch, by_line: bool) -> Iterator[tuple[str, list[int]]]:
+    """(text, numbers of its units) of rows, each row once where a task sees it again."""
+    done = set()
+    for doc, key, text, lines in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        if (doc, key) not in done:
+            done.add((doc, key))
+            yield text, lines
+
+
+def prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
+    """Rows (token, node, at, own) of the first n // 4 + 1 places of the sets.
+
+    at is size << 32 | place, where tokens of the node alone hold the first places; own is
+    their share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node, n, c = (batch.column(k).to_numpy() for k in range(3))
+            bare = n - c
+            most = np.minimum(np.maximum(n // 4 + 1 - bare, 0), c)
+            tokens = [np.frombuffer(t, np.int64, k) for t, k in zip(batch.column(3).to_pylist(), most.tolist(), strict=True)]
+            of = np.repeat(np.arange(len(n)), most)
+            place = np.arange(len(of)) - np.repeat(np.cumsum(most) - most, most) + bare[of]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), pa.array(node[of]), pa.array((n[of] << 32) | place), pa.array((bare / np.maximum(n, 1))[of])], names=["token", "node", "at", "own"])
+
+    return scratch.put(sets.mapInArrow(run, "token long, node long, at long, own double"), "prefixes")
 
 
 def may_link(a: Column, b: Column) -> Column:
@@ -270,92 +519,52 @@ def leading(rows: DataFrame, most: int) -> DataFrame:
     """Of rows a, a_at, b, b_at that pass the filters, pairs (a, b): for each b those ``most`` a that have most rows.
 
     So a node is tried with few leaders of its tokens; what it links to besides is left
-    for later rounds, the last of which tries all pairs that still matter.
+    for the last round, which tries all pairs that still matter.
     """
     passed = rows.filter((F.col("a") != F.col("b")) & may_link(F.col("a_at"), F.col("b_at")))
-    ranked = passed.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c")).withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a")))
-    return ranked.filter(F.col("k") <= most).select("a", "b")
+    ranks = passed.groupBy("b", "a").agg(F.count(F.lit(1)).alias("c")).withColumn("k", F.row_number().over(Window.partitionBy("b").orderBy(F.desc("c"), "a")))
+    return ranks.filter(F.col("k") <= most).select("a", "b")
 
 
-def counted_candidates(rows: DataFrame) -> DataFrame:
-    """Pairs (a, b) of rows with all shared prefix tokens of a and b, by the length, positional and count filters.
+def candidates(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) of rows a, a_at, b, b_at that may link by one of the tokens they share."""
+    return rows.filter(may_link(F.col("a_at"), F.col("b_at"))).select("a", "b").distinct()
 
-    With prefixes of p of n tokens, sets that link share at least what they must share
-    less the larger n - p.
-    """
-    na, nb = F.shiftright("a_at", 32), F.shiftright("b_at", 32)
-    close = rows.filter(same_length(F.col("a_at"), F.col("b_at"))).select("a", "b", na.alias("na"), nb.alias("nb"), may_link(F.col("a_at"), F.col("b_at")).alias("may"))
-    pairs = close.groupBy("a", "b").agg(F.count(F.lit(1)).alias("c"), F.max("may").alias("may"), F.max("na").alias("na"), F.max("nb").alias("nb"))
-    beyond = F.greatest("na", "nb") - F.floor(F.greatest("na", "nb") / 4) - 1
-    return pairs.filter(F.col("may") & ((100 + PERCENT) * (F.col("c") + beyond) >= PERCENT * (F.col("na") + F.col("nb")))).select("a", "b")
-
-
-def few(df: DataFrame) -> bool:
-    return df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
-
-def links(docs: DataFrame, units: DataFrame, pairs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
+def linked(sets: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
     """Those pairs (a, b) that link, by partial overlaps of the fragments of the global order.
 
-    The order of tokens is cut into fragments by hash, and one of frequent tokens. Of a
-    pair, the node with more pairs is the hub; each set's part in a fragment goes to its
-    hubs, so the parts of a hub's partners meet it fragment by fragment, are counted one
-    after another, and the counts are summed by pair. A hub of many partners is dealt to
-    several tasks. One unit stands for each node, and only its document is read again.
+    Of a pair, a is the hub. The order of tokens is cut into fragments; each set's part in
+    a fragment goes to its hubs, so the parts of a hub's partners meet it fragment by
+    fragment, are counted one after another, and the counts are summed by pair. A hub of
+    many partners is dealt to several tasks.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(table)
-    ends = pairs.select(F.col("a").alias("node")).unionAll(pairs.select("b"))
-    degree = ends.groupBy("node").agg(F.count(F.lit(1)).alias("k"))
-    with_degree = pairs.join(degree.select(F.col("node").alias("a"), F.col("k").alias("ka")), "a").join(degree.select(F.col("node").alias("b"), F.col("k").alias("kb")), "b")
-    a_leads = (F.col("ka") > F.col("kb")) | ((F.col("ka") == F.col("kb")) & (F.col("a") < F.col("b")))
-    led = with_degree.select(F.when(a_leads, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(a_leads, F.col("b")).otherwise(F.col("a")).alias("node"), (F.ceil(F.greatest("ka", "kb") / HUB)).alias("salts"))
-    roles = led.select("node", "hub", F.pmod(F.hash("node"), F.col("salts")).cast("int").alias("salt")).unionAll(led.select("hub", "salts").distinct().select(F.col("hub").alias("node"), "hub", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt")))
-    # One unit for each node: the first of the least document.
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
-    chosen = units.join(degree.select("node"), "node", "left_semi").groupBy("node").agg(F.min(place).alias("u"))
-    wanted = stored(roles.join(chosen, "node").groupBy(F.col("u.doc_id").alias("_doc"), F.col("u.text_key").alias("_key")).agg(F.collect_list(F.struct("node", "hub", "salt")).alias("roles")), "roles")
-    near = docs.join(F.broadcast(wanted) if few(wanted) else wanted, docs["doc_id"].eqNullSafe(wanted["_doc"]) & (docs["text_key"] == wanted["_key"])).select("doc_id", "text", "roles")
+    spark = pairs.sparkSession
+    degree = scratch.put(pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / HUB).cast("int").alias("salts")), "degrees")
+    of_hub = small(degree)
+    led = pairs.join(of_hub, "a").select(F.col("b").alias("node"), F.col("a").alias("hub"), F.pmod(F.hash("b"), F.col("salts")).cast("int").alias("salt"))
+    roles = led.unionAll(degree.select(F.col("a").alias("node"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt")))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["hub", "salt", "fragment", "partner", "node", "n", "tokens"]
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.binary())
         for batch in batches:
-            given = batch.column(2).to_pylist()
-            for first, _, s in sets_of(batch, by_line):
-                token, _, kind = _ordered(s, shared.value)
-                fragment = np.where(kind > 0, FRAGMENTS, (token >> np.uint64(61)).astype(np.int64))
-                begin = s.first
-                hubs, salts, fragments, nodes, sizes, tokens = [], [], [], [], [], []
-                of: dict[int, tuple[int, dict[int, list]]] = {}
-                done: set[tuple[int, int]] = set()
-                for u in range(len(s.node)):
-                    row, node = int(s.row[u]), int(s.node[u])
-                    if row not in of:
-                        here: dict[int, list] = {}
-                        for r in given[first + row]:
-                            here.setdefault(r["node"], []).append((r["hub"], r["salt"]))
-                        of[row] = (row, here)
-                    mine = of[row][1].get(node)
-                    if not mine or (row, node) in done:
-                        continue
-                    done.add((row, node))
-                    part = slice(begin[u], begin[u] + s.size[u])
-                    values, where = token[part].view(np.int64), fragment[part]
-                    bounds = [0, *(np.flatnonzero(np.diff(where)) + 1).tolist(), len(where)]
-                    for x, y in zip(bounds, bounds[1:], strict=False):
-                        data = np.sort(values[x:y]).tobytes()
-                        for hub, salt in mine:
-                            hubs.append(hub)
-                            salts.append(salt)
-                            fragments.append(int(where[x]))
-                            nodes.append(node)
-                            sizes.append(int(s.size[u]))
-                            tokens.append(data)
-                yield pa.RecordBatch.from_arrays([pa.array(hubs, pa.int64()), pa.array(salts, pa.int32()), pa.array(fragments, pa.int32()), pa.array([n != h for n, h in zip(nodes, hubs, strict=True)], pa.bool_()), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(tokens, pa.binary())], names=["hub", "salt", "fragment", "partner", "node", "n", "tokens"])
+            rows, size = [], 0
+            for node, n, data, hub, salt in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = np.sort(np.frombuffer(data, np.uint64))
+                bounds = np.searchsorted(tokens, np.arange(1, FRAGMENTS, dtype=np.uint64) * np.uint64(2**64 // FRAGMENTS))
+                rows += [(hub, salt, k, node != hub, node, n, part.tobytes()) for k, part in enumerate(np.split(tokens, bounds)) if len(part)]
+                size += len(data)
+                if size > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+                    rows, size = [], 0
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of sorted parts: in each fragment a hub's own comes first, then those of its partners; overlaps are summed by partner."""
-        names = ["hub", "node", "nh", "nn", "both"]
-        key, at, own, size, last = None, -1, np.zeros(0, np.int64), 0, None
+        names = ["a", "b", "na", "nb", "both"]
+        key, at, own, size = None, -1, np.zeros(0, np.uint64), 0
         sums: dict[int, list[int]] = {}  # HUB partners or so
 
         def send() -> pa.RecordBatch:
@@ -370,38 +579,40 @@ def links(docs: DataFrame, units: DataFrame, pairs: DataFrame, table: np.ndarray
                         yield send()
                     key, at = (hub, salt), -1
                 if not partner:
-                    at, own, size = fragment, np.frombuffer(data, np.int64), n
-                elif at == fragment and last != (key, fragment, node):
-                    both = len(own) + len(data) // 8 - len(np.union1d(own, np.frombuffer(data, np.int64)))
+                    at, own, size = fragment, np.frombuffer(data, np.uint64), n
+                elif at == fragment:
+                    other = np.frombuffer(data, np.uint64)
+                    place = np.searchsorted(own, other)
+                    place[place == len(own)] = 0
+                    both = int((own[place] == other).sum())
                     if node in sums:
                         sums[node][1] += both
                     else:
                         sums[node] = [n, both]
-                last = (key, fragment, node)
         if sums:
             yield send()
 
-    parts = near.mapInArrow(cut, "hub long, salt int, fragment int, partner boolean, node long, n long, tokens binary")
+    parts = sets.select("node", "n", "tokens").join(small(scratch.put(roles, "roles"), 24), "node").select("node", "n", "tokens", "hub", "salt").mapInArrow(cut, "hub long, salt int, fragment int, partner boolean, node long, n long, tokens binary")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    summed = parts.repartition(n_parts, "hub", "salt").sortWithinPartitions("hub", "salt", "fragment", "partner", "node").mapInArrow(count, "hub long, node long, nh long, nn long, both long")
-    linked = summed.filter(100 * F.col("both") >= PERCENT * (F.col("nh") + F.col("nn") - F.col("both")))
-    as_given = pairs.join(linked.select(F.col("hub").alias("a"), F.col("node").alias("b")).unionAll(linked.select("node", "hub")), ["a", "b"], "left_semi")
-    return as_given.select("a", "b")
+    summed = parts.repartition(n_parts, "hub", "salt").sortWithinPartitions("hub", "salt", "fragment", "partner", "node").mapInArrow(count, "a long, b long, na long, nb long, both long")
+    return summed.filter(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of the nodes of these edges (a, b): the least node that a path leads to.
 
     Each round takes the least label of the neighbours, then the label of that label, so
     the rounds grow with the logarithm of a path's length; each is written and reread.
     """
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
+    both = scratch.put(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "edges")
+    labels = scratch.put(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("label")), "labels")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
-        least = labels.union(near).groupBy("node").agg(F.min("label").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = stored(least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
-        if new.join(labels.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty():
+        known = small(labels)
+        near = both.join(known, both["b"] == labels["node"]).select(F.col("a").alias("node"), "label")
+        # Written before the join by label, so that Spark can split a label of many nodes.
+        least = scratch.put(labels.union(near).groupBy("node").agg(F.min("label").alias("label")), "least")
+        jump = small(least).select(F.col("node").alias("label"), F.col("label").alias("further"))
+        new = scratch.put(least.join(jump, "label", "left").select("node", F.least("label", F.coalesce("further", "label")).alias("label")), "labels")
+        if new.join(known.withColumnRenamed("label", "old"), "node").filter("label <> old").isEmpty():
             return new
         labels = new
