@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 #: Rows in an Arrow batch at most; with texts of 100 kB this stays near 50 MB.
 BATCH_ROWS = 512
-#: Bytes of text that are hashed together; the work arrays take about 50 times as much.
-BLOCK_BYTES = 1 << 20
+#: Bytes of text that are hashed together; the work arrays take about 50 times as much and should fit in a core's cache.
+BLOCK_BYTES = 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -156,7 +156,7 @@ def powers(n: int, step: int = _STEP) -> np.ndarray:
         known = np.full(max(n, 2 * len(known)), step & (2**64 - 1), np.uint64)
         known[0] = 1
         known = np.cumprod(known)
-        if n <= 4 * BLOCK_BYTES:
+        if n <= 16 * BLOCK_BYTES:
             _powers[step] = known
     return known[:n]
 

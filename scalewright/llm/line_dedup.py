@@ -47,8 +47,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, *, id_col: str = "doc_id",
     stays or not; equal sets always do.
     """
     rows = setjoin.input_of(docs, id_col, text_col)
-    units, table = setjoin.profile(rows, True, scratch)
-    nodes = setjoin.nodes_of(units, scratch)
+    units, nodes, table = setjoin.profile(rows, True, scratch)
     matched = _matched(setjoin.ranked(rows, nodes, table, True, scratch), nodes, scratch)
     marked = matched.withColumn("matched", F.lit(True))
     judged = nodes.join(small(marked), "node", "left").filter(F.col("matched") | (F.col("k") > 1)).select("node", F.coalesce("matched", F.lit(False)).alias("matched"), F.struct(*_FIRST).alias("first"))

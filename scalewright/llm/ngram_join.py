@@ -38,8 +38,8 @@ def _labels(sets: DataFrame, scratch: Scratch) -> DataFrame:
 def _grouped(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """The units of ``docs`` with the label of their component, null for texts without a word."""
     rows = setjoin.input_of(docs, id_col, text_col)
-    units, table = setjoin.profile(rows, False, scratch)
-    labels = _labels(setjoin.ranked(rows, setjoin.nodes_of(units, scratch), table, False, scratch), scratch)
+    units, nodes, table = setjoin.profile(rows, False, scratch)
+    labels = _labels(setjoin.ranked(rows, nodes, table, False, scratch), scratch)
     return units.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 

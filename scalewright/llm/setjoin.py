@@ -53,7 +53,7 @@ HELD = 1 << 20
 RANGES = 1024
 _PART = stream(11, WIDTH) | np.uint64(1)
 _SHORT = stream(12, WIDTH)
-_SIGN, _TEXT = stream(13, 2)
+_SIGN = stream(13, 1)[0]
 _LOW48 = np.uint64((1 << 48) - 1)
 #: Steps of the logarithm of a length.
 _STEPS = 2000
@@ -65,7 +65,7 @@ class Sets:
     """Token sets of the units of a block that have a word, in order.
 
     row, line: where a unit stands; size: of its set; node: the signature of its set;
-    token, unit: tokens by unit and hash, without repeats.
+    token, unit, kind: tokens without repeats by unit, class of frequency and hash.
     """
 
     row: np.ndarray
@@ -74,14 +74,15 @@ class Sets:
     node: np.ndarray
     token: np.ndarray
     unit: np.ndarray
+    kind: np.ndarray
 
     @property
     def first(self) -> np.ndarray:
         return np.cumsum(self.size) - self.size
 
 
-def token_sets(data: np.ndarray, offsets: np.ndarray, by_line: bool) -> Sets:
-    """Sets of the rows, or of their lines, that lie at these offsets of UTF-8 bytes.
+def token_sets(data: np.ndarray, offsets: np.ndarray, by_line: bool, table: np.ndarray | None = None) -> Sets:
+    """Sets of the rows, or of their lines, that lie at these offsets of UTF-8 bytes; classes are 0 without a table.
 
     Five words in turn make a shingle; a unit of fewer words has all of them as its only
     one. A-Z count as a-z.
@@ -116,12 +117,14 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, by_line: bool) -> Sets:
             few[there] += hashes[begin[short[there]] + k] * _PART[k]
         token = np.concatenate([token, mix(few + _SHORT[n_words[short]])])
         unit = np.concatenate([unit, short])
-    order = np.argsort(token)
+    kind = np.zeros(0, np.uint8) if table is None else table[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    order = np.argsort(token if table is None else (token >> np.uint64(4)) | (kind.astype(np.uint64) << np.uint64(60)))
     small = unit[order].astype(np.uint16) if len(used) < 1 << 16 else unit[order]
     order = order[np.argsort(small, kind="stable")]
     token, unit = token[order], unit[order]
     new = np.ones(len(token), bool)
     new[1:] = (token[1:] != token[:-1]) | (unit[1:] != unit[:-1])
+    kind = np.zeros(int(new.sum()), np.uint8) if table is None else kind[order][new]
     token, unit = token[new], unit[new]
     size = np.bincount(unit, minlength=len(used))
     node = mix(np.add.reduceat(mix(token ^ _SIGN), np.cumsum(size) - size) + size.astype(np.uint64)) if len(used) else np.zeros(0, np.uint64)
@@ -131,14 +134,14 @@ def token_sets(data: np.ndarray, offsets: np.ndarray, by_line: bool) -> Sets:
     if by_line and len(used):
         breaks = np.append(0, np.cumsum(data == 10))
         line = breaks[bounds[used]] - breaks[offsets[row]]
-    return Sets(row, line, size, node.view(np.int64), token, unit)
+    return Sets(row, line, size, node.view(np.int64), token, unit, kind)
 
 
-def sets_of(batch: pa.RecordBatch, by_line: bool) -> Iterator[tuple[int, int, Sets]]:
+def sets_of(batch: pa.RecordBatch, by_line: bool, table: np.ndarray | None = None) -> Iterator[tuple[int, int, Sets]]:
     """(first row, rows, sets) of blocks of a batch whose second column is text."""
     data, offsets = buffers(batch.column(1))
     for a, b in blocks(np.diff(offsets)):
-        yield a, b - a, token_sets(data, offsets[a : b + 1], by_line)
+        yield a, b - a, token_sets(data, offsets[a : b + 1], by_line, table)
 
 
 def input_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -147,42 +150,94 @@ def input_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 
 
-def profile(docs: DataFrame, by_line: bool, scratch: Scratch) -> tuple[DataFrame, np.ndarray]:
-    """Units (doc_id, text_key, line, n, node), and the class of each counter, from one pass.
+def profile(docs: DataFrame, by_line: bool, scratch: Scratch) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """Units (doc_id, text_key, line, n, node), nodes, and the class of each counter, from one pass.
 
-    ``docs`` is made by ``input_of``. Tokens are counted once in each set. Rows without a
-    word are units of size 0 without a node; lines without a word are left out.
+    ``docs`` is made by ``input_of``. Rows without a word are units of size 0 without a
+    node; lines without a word are left out. Nodes are rows (node, n, k, none, doc_id,
+    text_key, line): size, number of units, and the first unit by id (null last), text and
+    line. A task sends one entry for a node each time it has gathered HELD units. Tokens
+    are counted once in each set.
     """
+    deal = _Deal.of(docs)
+    kinds = {"doc_id": pa.int64(), "text_key": pa.int64(), "line": pa.int64(), "n": pa.int64(), "node": pa.int64(), "chunk": pa.int32(), "part": pa.int32(), "sub": pa.int32(), "data": pa.binary()}
+
+    def record(**columns) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns.get(k, pa.nulls(size, t)) for k, t in kinds.items()], names=list(kinds))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(COUNTERS, np.int32)
-        names = ["doc_id", "text_key", "line", "n", "node", "chunk", "counts"]
+        counts, held, units = np.zeros(COUNTERS, np.int64), [], []
+
+        def firsts() -> pa.RecordBatch:
+            got = _first_units([np.concatenate(c) for c in zip(*units, strict=True)])
+            units.clear()
+            rows = list(deal.cut(got[0], [_bytes(c, w) for c, w in zip(got, _UNIT, strict=True)]))
+            return record(part=pa.array([r[0] for r in rows], pa.int32()), sub=pa.array([r[1] for r in rows], pa.int32()), data=pa.array([r[2] for r in rows], pa.binary()))
+
         for batch in batches:
             doc, key = batch.column(0), batch.column(2)
+            ids, none, keys = doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False), key.fill_null(0).to_numpy()
             for a, rows_here, s in sets_of(batch, by_line):
-                np.add.at(counts, (s.token & np.uint64(COUNTERS - 1)).astype(np.int64), 1)
+                held.append((s.token & np.uint64(COUNTERS - 1)).astype(np.int64))
+                if sum(map(len, held)) >= HELD:
+                    counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
+                    held.clear()
                 bare = np.setdiff1d(np.arange(rows_here), s.row)
                 at = pa.array(np.append(s.row, bare) + a)
                 zero = np.zeros(len(bare), np.int64)
-                yield pa.RecordBatch.from_arrays([doc.take(at), key.take(at), pa.array(np.append(s.line, zero)), pa.array(np.append(s.size.astype(np.int64), zero)), pa.array(np.append(s.node, zero), mask=np.append(s.size == 0, zero == 0)), pa.nulls(len(at), pa.int32()), pa.nulls(len(at), pa.binary())], names=names)
+                yield record(doc_id=doc.take(at), text_key=key.take(at), line=pa.array(np.append(s.line, zero)), n=pa.array(np.append(s.size.astype(np.int64), zero)), node=pa.array(np.append(s.node, zero), mask=np.append(s.size == 0, zero == 0)))
+                row = s.row + a
+                units.append(tuple(c.astype(np.uint64) for c in (s.node.view(np.uint64), s.size, np.ones(len(row)), none[row], ids[row].view(np.uint64) ^ _MINUS, keys[row].view(np.uint64) ^ _MINUS, s.line)))
+                if sum(len(u[0]) for u in units) >= HELD:
+                    yield firsts()
+        if units:
+            yield firsts()
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=COUNTERS)
         parts = [_packed(counts[i : i + _CHUNK]) for i in range(0, COUNTERS, _CHUNK)]
-        none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, none, none, pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        yield record(chunk=pa.array(range(len(parts)), pa.int32()), data=pa.array(parts, pa.binary()))
 
-    rows = scratch.put(docs.mapInArrow(run, "doc_id long, text_key long, line long, n long, node long, chunk int, counts binary"), "units")
+    rows = scratch.put(docs.mapInArrow(run, "doc_id long, text_key long, line long, n long, node long, chunk int, part int, sub int, data binary"), "units")
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, entries in _met(batches):
+            node, n, k, none, doc, key, line = _first_units(_columns([e[2] for e in entries], _UNIT))
+            ids = pa.array((doc ^ _MINUS).view(np.int64), mask=none == 1)
+            columns = [pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(k.astype(np.int64)), pa.array(none == 1), ids, pa.array((key ^ _MINUS).view(np.int64)), pa.array(line.astype(np.int64))]
+            yield pa.RecordBatch.from_arrays(columns, names=["node", "n", "k", "none", "doc_id", "text_key", "line"])
+
+    entries = rows.filter("part IS NOT NULL").select("part", "sub", F.lit(None).cast("int").alias("to"), F.lit(None).cast("int").alias("to_sub"), "data")
+    nodes = scratch.put(deal.shuffled(entries, gather, "node long, n long, k long, none boolean, doc_id long, text_key long, line long"), "nodes")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 sums[chunk] = sums.get(chunk, 0) + _unpacked(data)
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["chunk", "data"])
 
-    counted = rows.filter("chunk IS NOT NULL").select("chunk", "counts").mapInArrow(add, "chunk int, counts binary").repartition(COUNTERS // _CHUNK, "chunk").mapInArrow(add, "chunk int, counts binary")
+    counted = rows.filter("chunk IS NOT NULL").select("chunk", "data").mapInArrow(add, "chunk int, data binary").repartition(COUNTERS // _CHUNK, "chunk").mapInArrow(add, "chunk int, data binary")
     counts = np.zeros(COUNTERS, np.int64)
     for r in counted.collect():  # COUNTERS numbers
-        counts[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] += _unpacked(r["counts"])
-    return rows.filter("chunk IS NULL").drop("chunk", "counts"), classes(counts)
+        counts[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] += _unpacked(r["data"])
+    return rows.filter("chunk IS NULL AND part IS NULL").select("doc_id", "text_key", "line", "n", "node"), nodes, classes(counts)
+
+
+#: Bytes of the columns of an entry: node, size, units, whether the id is null, id, text, line.
+_UNIT = (8, 4, 5, 1, 8, 8, 4)
+_MINUS = np.uint64(1 << 63)
+
+
+def _first_units(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Of entries by node the first, with the sum of their units."""
+    node, n, k, none, doc, key, line = columns
+    order = np.lexsort((line, key, doc, none, node))
+    columns = [c[order] for c in columns]
+    new = np.flatnonzero(np.append(True, columns[0][1:] != columns[0][:-1])[: len(order)])
+    out = [c[new] for c in columns]
+    out[2] = np.add.reduceat(columns[2], new) if len(new) else columns[2]
+    return out
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -195,14 +250,10 @@ def _unpacked(data: bytes) -> np.ndarray:
 
 
 def classes(counts: np.ndarray) -> np.ndarray:
-    """0 for counters that chance explains, else 1 + log2 of the excess: rarer tokens have lower classes."""
+    """0 for counters that chance explains, else 1 + log2 of the excess, to 15 at most: rarer tokens have lower classes."""
     usual = np.median(counts)
     excess = counts - usual - 4 * np.sqrt(max(usual, 1.0)) - 4
-    return np.where(excess > 0, 1 + np.log2(np.maximum(excess, 1)).astype(np.int64), 0).astype(np.uint8)
-
-
-def _class_of(token: np.ndarray, table: np.ndarray) -> np.ndarray:
-    return table[(token & np.uint64(COUNTERS - 1)).astype(np.int64)]
+    return np.where(excess > 0, np.minimum(1 + np.log2(np.maximum(excess, 1)).astype(np.int64), 15), 0).astype(np.uint8)
 
 
 def shared_least(n: int | np.ndarray) -> int | np.ndarray:
@@ -210,6 +261,11 @@ def shared_least(n: int | np.ndarray) -> int | np.ndarray:
     return 1 + n // 20
 
 
+def _least(n: Column) -> Column:
+    """``shared_least`` of the smallest set that may link with one of n tokens."""
+    return 1 + F.floor(F.ceil(n * PERCENT / 100) / 20)
+
+
 # Entries go from task to task as blobs. A bucket is a range of tokens or of nodes; several
 # make a partition. ``_dealt`` cuts entries by bucket, ``_met`` gives those of one bucket.
 
@@ -290,9 +346,9 @@ def _blobs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def alive(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
-    """(key, c): at least how many tokens of the prefix each node, by the low 48 bits, shares with one of fitting length.
+    """(key, c, length): how many tokens of the prefix each node, by the low 48 bits, shares at most with one of fitting length, and the logarithm of its size.
 
-    Nodes that share none are left out. Tokens and lengths are cut to a few bytes on the
+    Nodes that share too few are left out. Tokens and lengths are cut to a few bytes on the
     way, which can only keep a node too many; so does a token of a hot class, which counts
     as shared and goes nowhere. A task sends the rows of a node once where it sees it again.
     """
@@ -315,12 +371,8 @@ def alive(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
             return _blobs(rows)
 
         for batch in batches:
-            for _, _, s in sets_of(batch, by_line):
-                kind = _class_of(s.token, shared.value)
-                token, unit = s.token, s.unit
-                if kind.any():
-                    order = np.argsort(unit * 64 + kind, kind="stable")
-                    token, kind = token[order], kind[order]
+            for _, _, s in sets_of(batch, by_line, shared.value):
+                token, unit, kind = s.token, s.unit, s.kind
                 if len(seen) > 500_000:
                     seen.clear()
                 fresh = np.zeros(len(s.node), bool)
@@ -342,17 +394,22 @@ def alive(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
             yield send()
 
     def fits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pending: list[tuple[np.ndarray, np.ndarray]] = []
+        pending: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def send() -> pa.RecordBatch:
-            node, n = (np.concatenate(c) for c in zip(*pending, strict=True))
+            node, n, length = (np.concatenate(c) for c in zip(*pending, strict=True))
             pending.clear()
-            node, back = np.unique(node, return_inverse=True)
-            return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(np.bincount(back, n, len(node)).astype(np.int64))], names=["key", "c"])
+            order = np.argsort(node)
+            node, n, length = node[order], n[order], length[order]
+            new = np.flatnonzero(np.append(True, node[1:] != node[:-1])[: len(node)])
+            if len(new):
+                node, n, length = node[new], np.add.reduceat(n, new), np.maximum.reduceat(length, new)
+            return pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), pa.array(n.astype(np.int64)), pa.array(length.astype(np.int64))], names=["key", "c", "length"])
 
         for sub, rows in _met(batches):
             if sub == deal.subs:
-                pending.append(tuple(_columns([r[2] for r in rows], (6, 4))))
+                node, n = _columns([r[2] for r in rows], (6, 4))
+                pending.append((node, n, np.zeros(len(node), np.int64)))
             else:
                 token, node, length = _columns([r[2] for r in rows], (6, 6, 2))
                 order = np.argsort(token)
@@ -370,19 +427,14 @@ def alive(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
                 # Of a token's rows by length, the next in length stands beside.
                 near = (token[1:] == token[:-1]) & (np.diff(length) <= _NEAR)
                 found = np.append(near, False) | np.append(False, near)
-                pending.append((node[found], np.ones(int(found.sum()), np.uint64)))
+                pending.append((node[found], np.ones(int(found.sum()), np.uint64), length[found]))
             if sum(len(p[0]) for p in pending) >= HELD:
                 yield send()
         if pending:
             yield send()
 
-    return deal.shuffled(docs.select("doc_id", "text").mapInArrow(run, _BLOB), fits, "key long, c long").groupBy("key").agg(F.sum("c").alias("c"))
-
-
-def nodes_of(units: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, n, k, none, doc_id, text_key, line): each node's size, number of units, and first unit."""
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "line")
-    return scratch.put(units.filter("node IS NOT NULL").groupBy("node").agg(F.max("n").alias("n"), F.count(F.lit(1)).alias("k"), F.min(first).alias("first")).select("node", "n", "k", "first.*"), "nodes")
+    shares = deal.shuffled(docs.select("doc_id", "text").mapInArrow(run, _BLOB), fits, "key long, c long, length long").groupBy("key").agg(F.sum("c").alias("c"), F.max("length").alias("length"))
+    return shares.filter(F.col("c") >= _least(F.floor(F.exp(F.col("length") / _STEPS))))
 
 
 def ranked(docs: DataFrame, nodes: DataFrame, table: np.ndarray, by_line: bool, scratch: Scratch) -> DataFrame:
@@ -394,8 +446,8 @@ def ranked(docs: DataFrame, nodes: DataFrame, table: np.ndarray, by_line: bool,
     spark = docs.sparkSession
     deal = _Deal.of(docs)
     shared = spark.sparkContext.broadcast(table)
-    least = 1 + F.floor(F.ceil(F.col("n") * PERCENT / 100) / 20)
-    fit = nodes.join(alive(docs, table, by_line), F.col("node").bitwiseAND(F.lit(int(_LOW48))) == F.col("key")).filter(F.col("c") >= least)
+    left = small(scratch.put(alive(docs, table, by_line), "alive"), 24)
+    fit = nodes.join(left, F.col("node").bitwiseAND(F.lit(int(_LOW48))) == F.col("key")).filter(F.col("c") >= _least(F.col("n")))
     wanted = scratch.put(fit.groupBy(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key")).agg(F.collect_list("line").alias("lines")), "wanted")
     near = docs.join(small(wanted, 16 + 8 * F.size("lines")), docs["doc_id"].eqNullSafe(wanted["_doc"]) & (docs["text_key"] == wanted["_key"])).select("doc_id", "text_key", "text", "lines")
 
@@ -422,13 +474,13 @@ def ranked(docs: DataFrame, nodes: DataFrame, table: np.ndarray, by_line: bool,
             units = [t.split("\n")[i] if by_line else t for t, lines in _lines(batch, by_line) for i in lines]
             data, offsets = buffers(pa.array(units, pa.large_string()))
             for a, b in blocks(np.diff(offsets)):
-                s = token_sets(data, offsets[a : b + 1], False)
+                s = token_sets(data, offsets[a : b + 1], False, shared.value)
                 # Rows that repeat id and text come again; here or where they meet, a node's tokens count once.
                 if len(seen) > 500_000:
                     seen.clear()
                 fresh = np.array([not (x in seen or seen.add(x)) for x in s.node.tolist()], bool)
                 node, keep = s.node.view(np.uint64), fresh[s.unit]
-                held.append((s.token[keep], node[s.unit[keep]], _class_of(s.token[keep], shared.value)))
+                held.append((s.token[keep], node[s.unit[keep]], s.kind[keep]))
                 heads.append((node[fresh], s.size[fresh].astype(np.uint64)))
                 if sum(len(h[0]) for h in held) >= HELD:
                     yield send()
