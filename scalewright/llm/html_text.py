@@ -114,6 +114,8 @@ class Element:
 
 
 _SLOTS: dict[str, int] = {}
+#: 31 bits, so that sums over 2^32 pages fit a long.
+_MARK = (1 << 31) - 1
 _ROOT = Element("html", None, "", False, _SLOTS)
 
 
@@ -202,11 +204,11 @@ def _host(url) -> object:
 
 
 def tokens(pages: DataFrame) -> DataFrame:
-    """(host, slot, token, pages, occurrences, vector, seen, also_seen) of the tokens of all pages, summed per task.
+    """(host, slot, token, pages, occurrences, vector, also_vector, seen, also_seen) of the tokens of all pages, summed per task.
 
-    A token is a text block at its slot, or an element. ``vector`` joins, by exclusive
-    or, a hash of each page with the number of its occurrences there: tokens of equal
-    occurrence vectors have equal ones. ``seen`` and ``also_seen`` have a bit set for each
+    A token is a text block at its slot, or an element. ``vector`` and ``also_vector`` sum,
+    over its pages, two hashes of the page with the number of occurrences there: tokens of
+    equal occurrence vectors have equal sums. ``seen`` and ``also_seen`` have a bit set for each
     content of its pages, by two hashes: copies of a page set the same, so there are at
     least as many different pages as bits.
     """
@@ -217,8 +219,8 @@ def tokens(pages: DataFrame) -> DataFrame:
         def send() -> pa.RecordBatch:
             keys, sums = list(held), list(held.values())
             held.clear()
-            columns = [*(list(c) for c in zip(*keys, strict=True)), *(list(c) for c in zip(*sums, strict=True))] if keys else [[]] * 8
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "slot", "token", "pages", "occurrences", "vector", "seen", "also_seen"])
+            columns = [*(list(c) for c in zip(*keys, strict=True)), *(list(c) for c in zip(*sums, strict=True))] if keys else [[]] * 9
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["host", "slot", "token", "pages", "occurrences", "vector", "also_vector", "seen", "also_seen"])
 
         for batch in batches:
             for host, page, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -234,19 +236,20 @@ def tokens(pages: DataFrame) -> DataFrame:
                     marks = mix(np.fromiter(count.values(), np.uint64, len(count)) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(page & 0xFFFFFFFFFFFFFFFF)).view(np.int64).tolist()
                     for ((slot, token), n), mark in zip(count.items(), marks, strict=True):
                         if (sums := held.get((host, slot, token))) is None:
-                            held[host, slot, token] = [1, n, mark, seen, also]
+                            held[host, slot, token] = [1, n, mark >> 33 & _MARK, mark & _MARK, seen, also]
                         else:
                             sums[0] += 1
                             sums[1] += n
-                            sums[2] ^= mark
-                            sums[3] |= seen
-                            sums[4] |= also
+                            sums[2] += mark >> 33 & _MARK
+                            sums[3] += mark & _MARK
+                            sums[4] |= seen
+                            sums[5] |= also
                 if len(held) > HELD_TOKENS:
                     yield send()
         yield send()
 
-    got = pages.select(F.xxhash64("host").alias("host"), F.xxhash64("page_id", "url", F.length("html")).alias("page"), "html").mapInArrow(run, "host long, slot long, token long, pages long, occurrences long, vector long, seen long, also_seen long")
-    return got.groupBy("host", "slot", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.bit_xor("vector").alias("vector"), F.bit_or("seen").alias("seen"), F.bit_or("also_seen").alias("also_seen"))
+    got = pages.select(F.xxhash64("host").alias("host"), F.xxhash64("page_id", "url", F.length("html")).alias("page"), "html").mapInArrow(run, "host long, slot long, token long, pages long, occurrences long, vector long, also_vector long, seen long, also_seen long")
+    return got.groupBy("host", "slot", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.sum("vector").alias("vector"), F.sum("also_vector").alias("also_vector"), F.bit_or("seen").alias("seen"), F.bit_or("also_seen").alias("also_seen"))
 
 
 def template_slots(pages: DataFrame) -> DataFrame:
@@ -261,8 +264,8 @@ def template_slots(pages: DataFrame) -> DataFrame:
     """
     counted = stored(tokens(pages), "tokens")
     often = counted.filter((F.col("pages") >= MIN_SUPPORT) & (F.greatest(F.bit_count("seen"), F.bit_count("also_seen")) >= MIN_SUPPORT))
-    valid = often.groupBy("host", "vector").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= MIN_CLASS).select("host", "vector")
-    fixed = often.filter("token <> 0").join(valid, ["host", "vector"], "left_semi")
+    valid = often.groupBy("host", "vector", "also_vector").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= MIN_CLASS).select("host", "vector", "also_vector")
+    fixed = often.filter("token <> 0").join(valid, ["host", "vector", "also_vector"], "left_semi")
     total = counted.filter("token <> 0").groupBy("host", "slot").agg(F.sum("occurrences").alias("total"))
     filled = fixed.groupBy("host", "slot").agg(F.sum("occurrences").alias("fixed")).join(total, ["host", "slot"]).filter(F.col("fixed") >= TEMPLATE_SHARE * F.col("total"))
     whole = counted.filter((F.col("slot") == _ROOT.slot) & (F.col("token") == 0)).select("host", F.col("pages").alias("all_pages"))

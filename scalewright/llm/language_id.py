@@ -12,34 +12,42 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix, stream
+from .common import bare, bound_batches, column_at, mix, stream
 
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 15
-BLOCK_CHARS = 1 << 18
+#: Characters whose n-grams are looked up together.
+BLOCK_CHARS = 1 << 16
 UNKNOWN = "und"
 _SALT = stream(3, 16)
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 
 
-def grams(text: str) -> np.ndarray:
-    """Buckets of the character n-grams of a text in lower case, framed by one space."""
-    points = np.frombuffer(f" {text.lower()} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
-    out = []
-    for n in SIZES:
-        if len(points) < n:
-            break
-        h = np.zeros(len(points) - n + 1, np.uint64)
-        for k in range(n):
-            h += points[k : len(points) - n + 1 + k] * (_SALT[k] | np.uint64(1))
-        out.append(mix(h + _SALT[8 + n]) & np.uint64(BUCKETS - 1))
-    return np.concatenate(out).astype(np.int64)
+def has_letter(text: str) -> bool:
+    """Whether a character of the Unicode categories L occurs."""
+    return bool(_LATIN.search(text)) or any(map(str.isalpha, text))
 
 
-def _parts(text: str) -> Iterator[str]:
-    """A text in blocks; neighbouring blocks overlap by nothing, so a few n-grams at seams differ."""
-    for i in range(0, max(len(text), 1), BLOCK_CHARS):
-        yield text[i : i + BLOCK_CHARS]
+def grams(texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, bucket) of all character n-grams of texts in lower case, each framed by one space, block by block.
+
+    A block takes in the characters behind it that its last n-grams reach, so none is lost
+    at a seam.
+    """
+    framed = [f" {t.lower()} ".encode("utf-32-le", "surrogatepass") for t in texts]
+    ends = np.cumsum([len(f) // 4 for f in framed])
+    points = np.frombuffer(b"".join(framed), dtype=np.uint32)
+    for a in range(0, len(points), BLOCK_CHARS):
+        b = min(a + BLOCK_CHARS, len(points))
+        here = points[a : b + SIZES[-1] - 1].astype(np.uint64)
+        text = np.searchsorted(ends, np.arange(a, b), "right")
+        left = ends[text] - np.arange(a, b)
+        for n in SIZES:
+            h = np.zeros(max(min(b - a, len(here) - n + 1), 0), np.uint64)
+            for k in range(n):
+                h += here[k : k + len(h)] * (_SALT[k] | np.uint64(1))
+            whole = left[: len(h)] >= n
+            yield text[: len(h)][whole], (mix(h[whole] + _SALT[8 + n]) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
 @dataclass(frozen=True)
@@ -72,12 +80,14 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
         sums: dict[str, np.ndarray] = {}
         seen: dict[str, int] = {}
         for batch in batches:
+            by_lang: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if lang not in sums:
-                    sums[lang], seen[lang] = np.zeros(BUCKETS, np.int64), 0
-                seen[lang] += 1
-                for part in _parts(text):
-                    sums[lang] += np.bincount(grams(part), minlength=BUCKETS)
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
+                total = sums.setdefault(lang, np.zeros(BUCKETS, np.int64))
+                seen[lang] = seen.get(lang, 0) + len(texts)
+                for _, bucket in grams(texts):
+                    total += np.bincount(bucket, minlength=BUCKETS)
         for lang, total in sums.items():
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], seen[lang]), pa.int64())], names=["lang", "bucket", "n"])
@@ -97,17 +107,25 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
     return Model(tuple(langs), share, np.array(table, dtype=np.float64).T.copy() if table else np.zeros((BUCKETS, 0)))
 
 
-def score(model: Model, text: str | None) -> tuple[str, float]:
-    """The likeliest language of a text and its posterior probability."""
-    if not text or not model.langs or not _LETTER.search(text):
-        return UNKNOWN, 0.0
-    logs = model.prior.copy()
-    for part in _parts(text):
-        at, n = np.unique(grams(part), return_counts=True) if len(part) > 4096 else (grams(part), None)
-        rows = model.table[at]
-        logs += rows.sum(axis=0) if n is None else n @ rows
-    best = int(np.argmax(logs))
-    return model.langs[best], float(1 / np.exp(logs - logs[best]).sum())
+def scores(model: Model, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+    """The likeliest language of each text, and its posterior probability.
+
+    The sparse counts of a batch meet the matrix block by block: its rows of all n-grams
+    are looked up together and summed by text.
+    """
+    fit = [k for k, t in enumerate(texts) if t and model.langs and has_letter(t)]
+    langs, sure = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    if fit:
+        logs = np.tile(model.prior, (len(fit), 1))
+        for text, bucket in grams([texts[k] for k in fit]):
+            if len(text):
+                first = np.flatnonzero(np.diff(text, prepend=-1))
+                logs[text[first]] += np.add.reduceat(model.table[bucket], first, axis=0)
+        best = logs.argmax(axis=1)
+        sure[fit] = 1 / np.exp(logs - logs.max(axis=1, keepdims=True)).sum(axis=1)
+        for k, x in zip(fit, best, strict=True):
+            langs[k] = model.langs[x]
+    return langs, sure
 
 
 def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
@@ -116,19 +134,21 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred_col:
     The matrix of log probabilities (BUCKETS x languages) is broadcast; a task scores
     its own rows and nothing is shuffled. A text that is null or has no letter gives
     ``und`` with score 0, as does a model without languages; ties go to the first
-    language by name. Columns of these names that exist are replaced.
+    language by name. Columns of these names, in any case, are replaced; repeated rows are
+    scored each; an empty table gives no rows.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     shared = spark.sparkContext.broadcast(model)
-    names = [c for c in docs.columns if c not in (pred_col, score_col)]
-    at = names.index(text_col)
+    rows, given = bare(docs)
+    kept = [f"_in{k}" for k, c in enumerate(given) if c.lower() not in (pred_col.lower(), score_col.lower())]
+    at, names = kept.index(column_at(given, text_col)), [given[int(c[3:])] for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            got = [score(m, t) for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=[*names, pred_col, score_col])
+            langs, sure = scores(m, batch.column(at).to_pylist())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=[*kept, "_lang", "_sure"])
 
-    kept = docs.select(*names)
-    return kept.mapInArrow(run, T.StructType([*kept.schema, T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]))
+    schema = T.StructType([*rows.select(*kept).schema, T.StructField("_lang", T.StringType()), T.StructField("_sure", T.DoubleType())])
+    return rows.select(*kept).mapInArrow(run, schema).toDF(*names, pred_col, score_col)

@@ -9,11 +9,12 @@ from dataclasses import dataclass
 from hashlib import sha256
 from zlib import crc32
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, part_keys
 
 #: A leaf longer than this is cut behind words chosen by their checksum.
 LONG_LEAF = 400
@@ -151,7 +152,9 @@ def ring(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.element_at(array(head, "long"), at).eqNullSafe(F.col("doc_id"))
     dealt = rows.withColumn("part", part(F.col("doc_id"))).withColumn("to", F.array_compact(F.array(F.struct(F.col("part").alias("part"), F.lit(False).alias("copy")), F.when(first, F.struct(F.element_at(array(before, "int"), at).alias("part"), F.lit(True).alias("copy"))))))
     spread = dealt.select("doc_id", "text", F.explode("to").alias("to")).select("to.part", "to.copy", "doc_id", "text")
-    return spread.repartition(parts, "part").sortWithinPartitions("part", "copy", F.col("doc_id").desc_nulls_last(), "text")
+    # An integer that hashing deals to the partition of its own stands for each part.
+    key = F.element_at(array(part_keys(parts)[np.arange(len(bounds) + 2) % parts].tolist(), "int"), at)
+    return spread.repartition(parts, key).sortWithinPartitions("part", "copy", F.col("doc_id").desc_nulls_last(), "text")
 
 
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"

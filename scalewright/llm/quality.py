@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bare, column_at
+
 # White space of words, symbols, line ends, separators of navigation, boilerplate.
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-ENDS = r"[.!?:;,…\"”»’')\]][ \t]*$"
-INNER_END = r"[.!?…][ \t]"
+ENDS = r"[.!?:;,…\"”»’')\]。！？：；、，．」』）】؟؛،۔।॥።፧។၊။‼⁇⁈⁉][ \t]*$"
+INNER_END = r"[.!?…؟۔।॥።፧။][ \t]|[。！？．]"
 SEPARATORS = "|»›•·"
-BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "javascript is disabled", "lorem ipsum", "click here to", "subscribe to our newsletter", "skip to content")
+BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "javascript is disabled", "lorem ipsum", "click here to", "subscribe to our newsletter", "skip to content", "tous droits réservés", "politique de confidentialité", "alle rechte vorbehalten", "datenschutzerklärung", "todos los derechos reservados", "política de privacidad")
 
 MIN_WORDS = 50
 MAX_REPEATED_PERCENT = 50
@@ -82,20 +86,20 @@ def _count(col: Column, characters: str) -> Column:
     return F.length(col) - F.length(F.translate(col, characters, ""))
 
 
-def line_fails(line: Column) -> Column:
+def line_fails(line: Column, phrases: tuple[str, ...] = BOILERPLATE) -> Column:
     """Whether a line breaks a rule.
 
-    Punctuation: it ends without a mark, unless it is long and has sentences; or symbols exceed MAX_SYMBOL_PERCENT of its
+    Punctuation: it ends without a mark of one of several scripts, unless it is long and has sentences; or symbols exceed MAX_SYMBOL_PERCENT of its
     characters. Navigation: MIN_SEPARATORS separators or more. Boilerplate: it holds
     one of the phrases.
     """
     unended = ~F.rlike(line, F.lit(ENDS)) & ((F.length(line) < LONG_LINE) | ~F.rlike(line, F.lit(INNER_END)))
     signs = F.when(F.rlike(line, F.lit(f"[{SYMBOLS}{SEPARATORS}]")), (100 * _count(line, SYMBOLS) > MAX_SYMBOL_PERCENT * F.length(line)) | (_count(line, SEPARATORS) >= MIN_SEPARATORS)).otherwise(False)
-    return unended | signs | F.rlike(line, F.lit(f"(?i){'|'.join(BOILERPLATE)}"))
+    return unended | signs | F.rlike(line, F.lit(f"(?iu){'|'.join(map(re.escape, phrases))}"))
 
 
-def assess(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-    """``docs`` with counts, the verdict and the text that is left.
+def assess(docs: DataFrame, *, text_col: str = "text", phrases: tuple[str, ...] = BOILERPLATE) -> DataFrame:
+    """``docs`` with counts, the verdict and the text that is left; ``phrases`` are boilerplate, in lower case.
 
     Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     n_lines, n_failed_lines, n_line_chars, n_lost_chars, kept, clean_text. A document is
@@ -103,14 +107,16 @@ def assess(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     MAX_LOST_PERCENT of its characters in lines with a word. ``clean_text`` has the lines
     that pass, and those without a word, in order. A null or empty text counts as no
     words and is not kept; repeated rows are judged each; columns of these names are
-    replaced; an empty table gives no rows. One pass without a shuffle.
+    replaced, in any case; an empty table gives no rows. One pass without a shuffle.
     """
+    given = docs.columns
+    docs, text_col = bare(docs)[0], column_at(given, text_col)
     text = _text(F.col(text_col))
 
     def lines(parts: Column) -> Column:
         def judged(x: Column) -> Column:
             word = F.btrim(x, F.lit(SPACE)) != ""
-            return F.struct(x.alias("line"), word.alias("word"), F.when(word, line_fails(x)).otherwise(False).alias("bad"))
+            return F.struct(x.alias("line"), word.alias("word"), F.when(word, line_fails(x, phrases)).otherwise(False).alias("bad"))
 
         def summed(f: Column) -> Column:
             with_word = F.transform(F.filter(f, lambda x: x["word"]), lambda x: x["line"])
@@ -123,12 +129,12 @@ def assess(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
 
     counted = let(words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), F.aggregate(w, F.lit(0).cast("long"), lambda a, x: a + F.length(x)).alias("word_chars"), repeated_words(w).alias("n_repeat_words")))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "n_lines", "n_failed_lines", "n_line_chars", "n_lost_chars", "kept", "clean_text"]
-    rest = [c for c in docs.columns if c.lower() not in names]
+    rest = [f"_in{k}" for k, c in enumerate(given) if c.lower() not in names]
     got = docs.select(*rest, counted.alias("_words"), let(F.split(text, "\n", -1), lines).alias("_lines"), F.when(F.rlike(text, F.lit(f"[{SYMBOLS}]")), _count(text, SYMBOLS)).otherwise(0).cast("long").alias("n_symbols"))
     failed = (F.col("_words.n_words") < MIN_WORDS) | (100 * F.col("_words.n_repeat_words") > MAX_REPEATED_PERCENT * F.col("_words.n_words"))
     got = got.select(*rest, "n_symbols", "_words.*", "_lines.*", failed.alias("base_failed"))
     kept = ~F.col("base_failed") & (100 * F.col("n_lost_chars") <= MAX_LOST_PERCENT * F.col("n_line_chars"))
-    return got.withColumn("kept", kept).select(*rest, *names)
+    return got.withColumn("kept", kept).select(*rest, *names).toDF(*(given[int(c[3:])] for c in rest), *names)
 
 
 def _sql_list(values) -> str:
@@ -143,7 +149,7 @@ g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELE
 d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT r, count(DISTINCT i + k) AS n FROM d, (VALUES (0), (1), (2)) AS x(k) GROUP BY r),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t),
-f AS (SELECT r, line, (NOT regexp_matches(line, '[.!?:;,…"”»’'')\]][ \t]*$') AND (length(line) < {LONG_LINE} OR NOT regexp_matches(line, '[.!?…][ \t]')))
+f AS (SELECT r, line, (NOT regexp_matches(line, '{ENDS.replace("'", "''").replace(chr(92) + chr(34), chr(34))}') AND (length(line) < {LONG_LINE} OR NOT regexp_matches(line, '{INNER_END}')))
     OR 100 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {MAX_SYMBOL_PERCENT} * length(line)
     OR length(regexp_replace(line, '[^{SEPARATORS}]', '', 'g')) >= {MIN_SEPARATORS}
     OR len(list_filter([{_sql_list(BOILERPLATE)}], lambda p: contains(lower(line), p))) > 0 AS failed

@@ -48,9 +48,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{shared_dir(spark)}/archive"
-    warc.write_archive(table(spark, sf_dir, "pages"), path)
-    return warc.read_records(spark, path)
+    path = shared_dir(spark)
+    warc.write_archive(table(spark, sf_dir, "pages"), f"{path}/archive")
+    warc.export_files(spark, f"{path}/archive", f"{path}/files")
+    return warc.read_records(warc.import_files(spark, f"{path}/files"))
 
 
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,23 +3,23 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha1
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches, stored
+from .common import Scratch, bound_batches, small
 
 CRLF = "\r\n"
 END = CRLF + CRLF
 #: Payloads below this are never revisited.
 MIN_SHARED_BYTES = 1000
-#: Groups of copies that are broadcast at most, about 200 bytes each.
-BROADCAST_GROUPS = 50_000
-DATE = "1970-01-01T00:00:00Z"
+#: Records in a WARC file at most.
+FILE_RECORDS = 20_000
 
 
-def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def plan_records(pages: DataFrame, scratch: Scratch, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, payload, payload_key (SHA-256), payload_digest (SHA-1), payload_bytes, record_type, refers_to, owner, copies.
 
     Of pages with equal payloads of at least MIN_SHARED_BYTES, that with the largest id
@@ -31,9 +31,8 @@ def plan_records(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "u
     text = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text.alias("payload"))
     rows = rows.withColumns({"payload_key": F.sha2(F.col("payload").cast("binary"), 256), "payload_digest": F.sha1(F.col("payload").cast("binary")), "payload_bytes": F.octet_length("payload").cast("long")})
-    groups = stored(rows.groupBy("payload_key").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copies")
-    small = groups.count() <= BROADCAST_GROUPS
-    joined = rows.join(F.broadcast(groups) if small else groups, "payload_key", "left")
+    groups = scratch.keep(rows.groupBy("payload_key").agg(F.max("page_id").alias("owner"), F.count(F.lit(1)).alias("copies")).filter("copies > 1"), "copies")
+    joined = rows.join(small(groups, 96), "payload_key", "left")
     revisit = (F.col("payload_bytes") >= MIN_SHARED_BYTES) & F.col("owner").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("owner"))
     return joined.withColumns({"record_type": F.when(revisit, "revisit").otherwise("response"), "refers_to": F.when(revisit, F.col("owner"))})
 
@@ -47,7 +46,7 @@ def _header():
         F.lit("WARC/1.1"),
         F.concat(F.lit("WARC-Type: "), F.col("record_type")),
         F.concat(F.lit("WARC-Record-ID: "), name(F.col("page_id"))),
-        F.lit(f"WARC-Date: {DATE}"),
+        F.concat(F.lit("WARC-Date: "), F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.concat(F.lit("WARC-Target-URI: "), clean(F.col("url"))),
         F.lit("Content-Type: text/html; charset=utf-8"),
         F.concat(F.lit("WARC-Payload-Digest: sha1:"), F.col("payload_digest")),
@@ -65,7 +64,7 @@ def write_archive(pages: DataFrame, path: str, **columns: str) -> None:
     Null html is an empty payload, null ids and urls are kept, repeated rows give a
     record each, other columns are ignored, an empty table gives an empty archive.
     """
-    records = plan_records(pages, **columns)
+    records = plan_records(pages, Scratch(pages.sparkSession), **columns)
     records.select("page_id", _header().alias("header"), "payload_key").write.option("compression", "zstd").parquet(f"{path}/headers")
     once = records.filter("copies IS NULL").select("payload_key", "payload")
     copied = records.filter(F.col("copies").isNotNull() & F.col("page_id").eqNullSafe(F.col("owner"))).select("payload_key", "payload").dropDuplicates(["payload_key"])
@@ -79,43 +78,57 @@ def read_headers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_payloads(spark: SparkSession, path: str) -> DataFrame:
-    """payload_key, payload, payload_sha1; a payload that differs from its key fails the read."""
-    rows = spark.read.parquet(f"{path}/payloads")
-    sound = F.when(F.sha2("payload", 256) == F.col("payload_key"), F.sha1("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("payload_key"))))
-    return rows.withColumn("payload_sha1", sound)
+    """payload_key, payload; a payload that differs from its key fails the read."""
+    sound = F.when(F.sha2("payload", 256) == F.col("payload_key"), F.col("payload")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("payload_key"))).cast("binary"))
+    return spark.read.parquet(f"{path}/payloads").select("payload_key", sound.alias("payload"))
 
 
-def read_records(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, record_type, refers_to, payload_bytes, payload_digest of every record, both of the full payload.
+def rebuild(spark: SparkSession, path: str) -> DataFrame:
+    """page_id, payload, record: the bytes of each original WARC record, and the payload it holds (none in a revisit).
 
-    Each payload is checked and measured where it lies; only its figures are joined with
-    the headers, and a header that names another digest fails the read.
+    Responses are joined with the payload that their key names; one that has none fails
+    the read. Revisits need no payload, so a payload that many pages share is read once.
     """
-    figures = read_payloads(spark, path).select("payload_key", "payload_sha1", F.octet_length("payload").cast("long").alias("payload_bytes"))
-    joined = read_headers(spark, path).join(figures, "payload_key", "left")
-    digest = F.when(F.col("payload_sha1") == F.col("payload_digest"), F.col("payload_sha1")).otherwise(F.raise_error(F.concat(F.lit("no payload for "), F.col("header"))))
-    return joined.select("page_id", "payload_bytes", digest.alias("payload_digest"), "record_type", "refers_to")
+    headers = read_headers(spark, path).select("page_id", "header", "record_type", "payload_key")
+    held = headers.filter("record_type <> 'revisit'").join(read_payloads(spark, path), "payload_key", "left")
+    there = F.coalesce("payload", F.raise_error(F.concat(F.lit("no payload for "), F.col("header"))).cast("binary"))
+    rows = held.select("page_id", "header", there.alias("payload")).unionByName(headers.filter("record_type = 'revisit'").select("page_id", "header", F.lit(None).cast("binary").alias("payload")))
+    end = F.lit(END.encode())
+    return rows.withColumn("record", F.concat(F.col("header").cast("binary"), end, F.coalesce("payload", F.lit(b"")), end)).drop("header")
 
 
-def rebuild(spark: SparkSession, path: str) -> DataFrame:
-    """page_id, payload, record: the bytes of each original WARC record, and its full payload."""
-    joined = read_headers(spark, path).join(read_payloads(spark, path), "payload_key")
-    body = F.when(F.col("record_type") == "response", F.col("payload")).otherwise(F.lit(b""))
-    return joined.select("page_id", "payload", F.concat(F.col("header").cast("binary"), F.lit(END.encode()), body, F.lit(END.encode())).alias("record"))
+def export_files(spark: SparkSession, path: str, to: str) -> None:
+    """The archive as compressed WARC files of FILE_RECORDS at most: each record, then the two line ends that close it."""
+    lines = rebuild(spark, path).select(F.expr("substring(cast(record as string), 1, char_length(cast(record as string)) - 4)").alias("value"))
+    lines.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(to)
 
 
-def export_files(spark: SparkSession, path: str, to: str) -> None:
-    """The archive as compressed WARC files: each record, then the two line ends that close it."""
-    rebuild(spark, path).select(F.expr("substring(cast(record as string), 1, char_length(cast(record as string)) - 4)").alias("value")).write.option("lineSep", END).option("compression", "gzip").text(to)
+RECORD = "page_id long, record_type string, refers_to long, payload_key string, payload_digest string, header string, payload binary"
+_FIELDS = {"record_type": "WARC-Type: ", "page_id": "WARC-Record-ID: <urn:page:", "refers_to": "WARC-Refers-To: <urn:page:", "payload_key": "X-Payload-Key: sha256:", "payload_digest": "WARC-Payload-Digest: sha1:", "size": "Content-Length: "}
+
+
+def _parsed(header: str) -> dict[str, str]:
+    """The fields of a header block by the names of _FIELDS; the first line of each counts."""
+    out: dict[str, str] = {}
+    for line in header.split(CRLF):
+        for name, start in _FIELDS.items():
+            if line.startswith(start):
+                out.setdefault(name, line[len(start) :].rstrip(">"))
+    return out
 
 
 def import_files(spark: SparkSession, path: str) -> DataFrame:
-    """header, payload of each record in compressed WARC files, as a stream of bytes read by content length."""
+    """The records of compressed WARC files: what their headers say, the exact header, and the bytes behind it.
+
+    A file is read as a stream by content length. A response whose bytes don't have the
+    digest that its header names fails the read, and so does a file that ends within a
+    record.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         buffer = bytearray()
         for batch in batches:
-            headers, payloads = [], []
+            rows = []
             for value in batch.column(0).to_pylist():
                 buffer += value.encode() + END.encode()
                 while True:
@@ -126,15 +139,38 @@ def import_files(spark: SparkSession, path: str) -> DataFrame:
                     if stop < 0:
                         break
                     header = buffer[start:stop].decode()
-                    size = int(header.rpartition("Content-Length: ")[2].split(CRLF)[0])
+                    said = _parsed(header)
+                    size = int(said["size"])
                     if len(buffer) < stop + 4 + size + 4:
                         break
-                    headers.append(header)
-                    payloads.append(bytes(buffer[stop + 4 : stop + 4 + size]))
+                    payload = bytes(buffer[stop + 4 : stop + 4 + size])
+                    if said["record_type"] == "response" and sha1(payload).hexdigest() != said["payload_digest"]:
+                        raise ValueError(f"a record's bytes are not what its header says: {header}")
+                    number = lambda x: int(x) if x not in (None, "none") else None
+                    rows.append((number(said["page_id"]), said["record_type"], number(said.get("refers_to")), said["payload_key"], said["payload_digest"], header, payload))
                     del buffer[: stop + 4 + size + 4]
-            yield pa.RecordBatch.from_arrays([pa.array(headers, pa.string()), pa.array(payloads, pa.binary())], names=["header", "payload"])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.binary())
+            columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in RECORD.split(", ")])
         if buffer.strip():
             raise ValueError("a WARC file ends within a record")
 
     bound_batches(spark)
-    return spark.read.option("lineSep", END).text(path).mapInArrow(run, "header string, payload binary")
+    return spark.read.option("lineSep", END).text(path).mapInArrow(run, RECORD)
+
+
+def read_records(records: DataFrame) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of imported records, both of the full payload.
+
+    A response has its payload, which the import has verified; a revisit takes the figures
+    of the payload that it names by key, from the response that holds it. A revisit whose
+    payload is missing or has another digest fails the read.
+    """
+    scratch = Scratch(records.sparkSession)
+    known = scratch.keep(records.select("page_id", "record_type", "refers_to", "payload_key", "payload_digest", F.octet_length("payload").cast("long").alias("payload_bytes")), "records")
+    named = known.filter("record_type = 'revisit'").select("payload_key").distinct()
+    held = scratch.keep(known.filter("record_type = 'response'").join(named, "payload_key", "left_semi").groupBy("payload_key").agg(F.max("payload_bytes").alias("held_bytes"), F.max("payload_digest").alias("held_digest")), "payloads")
+    joined = known.join(small(held, 120), "payload_key", "left")
+    sound = (F.col("record_type") == "response") | F.col("held_digest").eqNullSafe(F.col("payload_digest"))
+    digest = F.when(sound, F.col("payload_digest")).otherwise(F.raise_error(F.concat(F.lit("no payload for page "), F.coalesce(F.col("page_id").cast("string"), F.lit("none")))))
+    return joined.select("page_id", F.when(F.col("record_type") == "response", F.col("payload_bytes")).otherwise(F.col("held_bytes")).alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")

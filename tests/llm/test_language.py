@@ -1,5 +1,11 @@
+import math
 import random
+import unicodedata
 import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
 
 from pyspark.sql import functions as F
 
@@ -40,3 +46,52 @@ def test_awkward_rows(spark):
     none = df.limit(0)
     assert L.train(none).langs == () and L.predict(none, L.train(none)).count() == 0
     assert {r.lang_pred for r in L.predict(df, L.train(none)).collect()} == {L.UNKNOWN}
+
+
+def plain_buckets(text):
+    """Buckets of the framed text's n-grams, one after another."""
+    points = [ord(c) for c in f" {text.lower()} "]
+    out, mask = [], (1 << 64) - 1
+    for n in L.SIZES:
+        for at in range(len(points) - n + 1):
+            h = sum(points[at + k] * (int(L._SALT[k]) | 1) for k in range(n)) + int(L._SALT[8 + n]) & mask
+            for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+                h = (h ^ h >> shift) * factor & mask
+            out.append((h ^ h >> 31) % L.BUCKETS)
+    return out
+
+
+@pytest.mark.parametrize("block", [7, 1000])
+def test_scores_equal_plain_naive_bayes(spark, monkeypatch, block):
+    monkeypatch.setattr(L, "BLOCK_CHARS", block)
+    rows = table(60)
+    model = L.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    counts, seen = defaultdict(Counter), Counter()
+    for i, t, lang in rows:
+        if zlib.crc32(str(i).encode()) % 3 != 1:
+            counts[lang].update(plain_buckets(t))
+            seen[lang] += 1
+    texts = [t for _, t, _ in rows[:20]] + ["the", "é", "Straße 的", "a\nb"]
+    langs, sure = L.scores(model, texts)
+    for text, lang, score in zip(texts, langs, sure, strict=True):
+        logs = {}
+        for x, c in counts.items():
+            total = sum(c.values()) + 0.5 * L.BUCKETS
+            logs[x] = math.log(seen[x] / sum(seen.values())) + sum(math.log((c[g] + 0.5) / total) for g in plain_buckets(text))
+        best = max(sorted(logs), key=logs.get)
+        assert lang == best and abs(score - 1 / sum(math.exp(v - logs[best]) for v in logs.values())) < 1e-9
+
+
+def test_texts_without_a_letter_are_undetermined(spark):
+    model = L.train(spark.createDataFrame(table(60), "doc_id long, text string, lang string"))
+    signs = [c for c in map(chr, range(0x3100)) if not unicodedata.category(c).startswith("L") and unicodedata.category(c) != "Cs"]
+    assert set(L.scores(model, ["½ ²", "Ⅷ ① 12", "_", "".join(signs), *signs[:500]])[0]) == {L.UNKNOWN}
+    letters = [c for c in map(chr, range(0x3100)) if unicodedata.category(c).startswith("L")]
+    assert L.UNKNOWN not in L.scores(model, letters[::9])[0]
+
+
+def test_columns_of_any_name(spark):
+    df = spark.createDataFrame(table(30), "doc_id long, text string, lang string").selectExpr("*", "1 AS LANG_PRED", "2 AS Score", "3 AS _lang", "4 AS _in0")
+    got = L.predict(df, L.train(df))
+    assert got.columns == ["doc_id", "text", "lang", "_lang", "_in0", "lang_pred", "score"]
+    assert {(r["_lang"], r["_in0"]) for r in got.collect()} == {(3, 4)} and np.isfinite([r.score for r in got.collect()]).all()
