@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, bound_batches
+from .common import BATCH_ROWS, bare, bound_batches, column_at
 
 #: Words kept with their ids in a worker; beyond, the memory starts anew.
 CACHED_WORDS = 150_000
@@ -251,17 +251,22 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
-    """``encoded`` with the bytes that its ids stand for; null ids give null, an unknown id fails."""
+    """``encoded`` with the bytes that its ids stand for; null ids give null, an unknown id fails.
+
+    A column of the new one's name, in any case, is replaced; an empty table gives no rows.
+    """
     bound_batches(encoded.sparkSession)
     ranks = _file(encoded.sparkSession, ranks_path)
-    names = [c for c in encoded.columns if c != out_col]
-    at = names.index(ids_col)
+    given = encoded.columns
+    encoded = bare(encoded)[0]
+    kept = [f"_in{k}" for k, c in enumerate(given) if c.lower() != out_col.lower()]
+    at, names = kept.index(column_at(given, ids_col)), [given[int(c[3:])] for c in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         piece = _pieces(ranks.value).__getitem__
         for batch in batches:
             texts = [None if x is None else b"".join(map(piece, np.frombuffer(x, dtype="<u4").tolist())) for x in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*kept, "_out"])
 
-    schema = encoded.select(*names).schema.add(out_col, "binary")
-    return encoded.select(*names).mapInArrow(run, schema)
+    schema = encoded.select(*kept).schema.add("_out", "binary")
+    return encoded.select(*kept).mapInArrow(run, schema).toDF(*names, out_col)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, mix, stored
+from .common import Scratch, bound_batches, mix, small
 
 #: Pages of a host that share a token at least, for it to be of the template.
 MIN_SUPPORT = 3
@@ -22,8 +22,6 @@ MIN_CLASS = 2
 TEMPLATE_SHARE = 0.5
 #: Share of a host's pages that hold a block at least, for the block itself to be of the template: a quote stays.
 HOST_SHARE = 0.5
-#: Rows of (host, slot, token) that are broadcast at most, about 40 bytes each.
-BROADCAST_SLOTS = 200_000
 #: Tokens whose counts a task holds before it sends them.
 HELD_TOKENS = 200_000
 
@@ -252,7 +250,7 @@ def tokens(pages: DataFrame) -> DataFrame:
     return got.groupBy("host", "slot", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.sum("vector").alias("vector"), F.sum("also_vector").alias("also_vector"), F.bit_or("seen").alias("seen"), F.bit_or("also_seen").alias("also_seen"))
 
 
-def template_slots(pages: DataFrame) -> DataFrame:
+def template_slots(pages: DataFrame, scratch: Scratch) -> DataFrame:
     """(host, slot, token, sure) of what belongs to a host's template: whole slots have token 0, the others are single blocks.
 
     Tokens of a host with equal occurrence vectors form a class; it is valid with
@@ -262,7 +260,7 @@ def template_slots(pages: DataFrame) -> DataFrame:
     another block of a valid class is not ``sure``, and only goes where its element's name
     says so too.
     """
-    counted = stored(tokens(pages), "tokens")
+    counted = scratch.put(tokens(pages), "tokens")
     often = counted.filter((F.col("pages") >= MIN_SUPPORT) & (F.greatest(F.bit_count("seen"), F.bit_count("also_seen")) >= MIN_SUPPORT))
     valid = often.groupBy("host", "vector", "also_vector").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") >= MIN_CLASS).select("host", "vector", "also_vector")
     fixed = often.filter("token <> 0").join(valid, ["host", "vector", "also_vector"], "left_semi")
@@ -305,10 +303,13 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
     """
     bound_batches(pages.sparkSession)
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html")).withColumn("host", _host(F.col("url")))
-    slots = stored(template_slots(rows), "slots")
+    scratch = Scratch(pages.sparkSession)
+    slots = scratch.put(template_slots(rows, scratch), "slots")
     by_host = slots.groupBy("host").agg(F.collect_set(F.when(F.col("token") == 0, F.col("slot"))).alias("slots"), *(F.collect_set(F.when((F.col("token") != 0) & (F.col("sure") == sure), F.col("slot").bitwiseXOR(F.col("token")))).alias(name) for name, sure in (("blocks", True), ("unsure", False)))).withColumnRenamed("host", "_host")
-    small = slots.limit(BROADCAST_SLOTS + 1).count() <= BROADCAST_SLOTS
-    joined = rows.join(F.broadcast(by_host) if small else by_host, F.xxhash64("host") == F.col("_host"), "left").select("page_id", "url", "html", "slots", "blocks", "unsure")
+    # Written first, so that sets of a host are gathered once and their bytes are known.
+    by_host = scratch.keep(by_host, "by_host")
+    joined = rows.join(small(by_host, 8 * (F.size("slots") + F.size("blocks") + F.size("unsure"))), F.xxhash64("host") == F.col("_host"), "left").select("page_id", "url", "html", "slots", "blocks", "unsure")
+    scratch.close()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -7,6 +7,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bare, column_at
+
 # Sentences of licences and notices, in normal form, and their identifiers.
 SENTENCES = {
     "licensed under the apache license version 2 0": "apache2-short",
@@ -138,14 +140,16 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     holds the identifiers of the known ones in order, ``licenses`` the distinct licences
     in order of RULES and MORE_RULES, ``rules`` the number of rules that match. A rule matches where its
     identifiers follow one another and none of UNLESS comes next. A null or empty text has none; repeated rows are
-    scanned each; columns of these names are replaced; an empty table gives no rows.
+    scanned each; columns of these names, in any case, are replaced; an empty table gives no rows.
     One pass without a shuffle.
     """
     missing = [s for s in (*SENTENCES, *MORE_SENTENCES) if not any(m in s for m in MARKS.split("|"))]
     if missing:
         raise ValueError(f"sentences without a mark: {missing}")
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rest = [c for c in docs.columns if c.lower() not in ("sentence_ids", "licenses", "rules")]
+    given = docs.columns
+    docs = bare(docs)[0]
+    text = F.coalesce(F.col(column_at(given, text_col)).cast("string"), F.lit(""))
+    rest = [f"_in{k}" for k, c in enumerate(given) if c.lower() not in ("sentence_ids", "licenses", "rules")]
     ids = F.when(F.rlike(F.lower(text), F.lit(MARKS)), identifiers(text)).otherwise(F.array().cast("array<string>"))
     seen = docs.select(*rest, ids.alias("sentence_ids"))
     sequence = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
@@ -155,7 +159,7 @@ def scan(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
         return F.rlike("_seq", F.lit(f"{run}(?!(?:{'|'.join(UNLESS[rule])}),)")) if rule in UNLESS else F.contains(F.col("_seq"), F.lit(run))
 
     hits = F.array(*(F.when(match(rule), F.lit(name)) for name, rule in (*RULES, *MORE_RULES)))
-    return seen.withColumn("_seq", sequence).withColumn("_hits", F.array_compact(hits)).select(*rest, "sentence_ids", F.array_distinct("_hits").alias("licenses"), F.size("_hits").alias("rules"))
+    return seen.withColumn("_seq", sequence).withColumn("_hits", F.array_compact(hits)).select(*rest, "sentence_ids", F.array_distinct("_hits").alias("licenses"), F.size("_hits").alias("rules")).toDF(*(given[int(c[3:])] for c in rest), "sentence_ids", "licenses", "rules")
 
 
 def _q(value: str) -> str:
