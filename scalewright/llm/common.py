@@ -140,11 +140,6 @@ def stream(seed: int, n: int) -> np.ndarray:
     return mix((np.arange(1, n + 1, dtype=np.uint64) + np.uint64(seed << 32)) * _GOLDEN)
 
 
-_BYTE = stream(1, 256)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_FOLDED = _BYTE.copy()
-_FOLDED[65:91] = _BYTE[97:123]
 _STEP = 0x9FB21C651E98DF25
 _powers = {step: np.ones(1, np.uint64) for step in (_STEP, pow(_STEP, -1, 1 << 64))}
 
@@ -169,15 +164,16 @@ def hash_words(data: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.nda
     """
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    space = _SPACE[data]
+    # Bytes wrap around, so one comparison tests a range.
+    space = (data == 0x20) | (data - np.uint8(0x09) < 5)
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if not space[0]:
         edge = np.append(0, edge)
     if len(edge) % 2:
         edge = np.append(edge, len(data))
     starts, ends = edge[::2], edge[1::2]
-    sums = (_FOLDED if lower else _BYTE)[data]
-    sums *= powers(len(data))
+    value = data + ((data - np.uint8(65) < 26).view(np.uint8) << np.uint8(5)) if lower else data
+    sums = np.multiply(powers(len(data)), value + np.uint8(1), dtype=np.uint64)
     np.cumsum(sums, out=sums)
     value = sums[ends - 1]
     value[starts > 0] -= sums[starts[starts > 0] - 1]

@@ -172,7 +172,7 @@ def profile(docs: DataFrame, by_line: bool, scratch: Scratch) -> tuple[DataFrame
         def firsts() -> pa.RecordBatch:
             got = _first_units([np.concatenate(c) for c in zip(*units, strict=True)])
             units.clear()
-            rows = list(deal.cut(got[0], [_bytes(c, w) for c, w in zip(got, _UNIT, strict=True)]))
+            rows = list(deal.cut(got[0], got, _UNIT))
             return record(part=pa.array([r[0] for r in rows], pa.int32()), sub=pa.array([r[1] for r in rows], pa.int32()), data=pa.array([r[2] for r in rows], pa.binary()))
 
         for batch in batches:
@@ -290,15 +290,15 @@ class _Deal:
     def shuffled(self, df: DataFrame, function: Callable, schema: str) -> DataFrame:
         return df.repartition(len(self.keys), "part").sortWithinPartitions("part", "sub").mapInArrow(function, schema)
 
-    def cut(self, by: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, int, bytes]]:
-        """(part, sub, entries) of the buckets of ``by``; a column is an array of bytes by entry."""
+    def cut(self, by: np.ndarray, columns: list[np.ndarray], widths: tuple[int, ...]) -> Iterator[tuple[int, int, bytes]]:
+        """(part, sub, entries) of the buckets of ``by``; of each column's numbers the low bytes go."""
         at = self.bucket(by)
         order = np.argsort(at.astype(np.uint16) if len(self.keys) * self.subs < 1 << 16 else at, kind="stable")
         at = at[order]
         bounds = np.append(np.flatnonzero(np.diff(at, prepend=-1)), len(at))
-        columns = [c[order] for c in columns]
-        for x, y in zip(bounds[:-1], bounds[1:], strict=True):
-            yield int(self.keys[at[x] // self.subs]), int(at[x] % self.subs), b"".join(c[x:y].tobytes() for c in columns)
+        columns = [memoryview(_bytes(c[order], w).tobytes()) for c, w in zip(columns, widths, strict=True)]
+        for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            yield int(self.keys[at[x] // self.subs]), int(at[x] % self.subs), b"".join(c[x * w : y * w] for c, w in zip(columns, widths, strict=True))
 
 
 def _bytes(values: np.ndarray, n: int) -> np.ndarray:
@@ -362,7 +362,7 @@ def alive(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
 
         def send() -> pa.RecordBatch:
             token, node, length = (np.concatenate(c) for c in zip(*held, strict=True))
-            rows = [(part, sub, None, None, data) for part, sub, data in deal.cut(token, [_bytes(token, 6), _bytes(node, 6), _bytes(length, 2)])]
+            rows = [(part, sub, None, None, data) for part, sub, data in deal.cut(token, [token, node, length], (6, 6, 2))]
             node, n = (np.concatenate(c) for c in zip(*hot, strict=True))
             if len(node):
                 rows.append((int(deal.keys[int(node[0]) % len(deal.keys)]), deal.subs, None, None, _bytes(node, 6).tobytes() + _bytes(n, 4).tobytes()))
@@ -459,11 +459,11 @@ def ranked(docs: DataFrame, nodes: DataFrame, table: np.ndarray, by_line: bool,
         def send() -> pa.RecordBatch:
             token, node, kind = (np.concatenate(c) for c in zip(*held, strict=True))
             cold = kind < HOT
-            rows = [(part, sub, None, None, data) for part, sub, data in deal.cut(token[cold], [_bytes(token[cold], 8), _bytes(node[cold], 8)])]
+            rows = [(part, sub, None, None, data) for part, sub, data in deal.cut(token[cold], [token[cold], node[cold]], (8, 8))]
             head, n = (np.concatenate(c) for c in zip(*heads, strict=True))
             node = np.append(head, node[~cold])
             count = np.append(np.zeros(len(head), np.uint64), (1 << 30) + kind[~cold].astype(np.uint64))
-            there = [(part, sub, data) for part, sub, data in deal.cut(node, [_bytes(node, 8), _bytes(count, 4), _bytes(np.append(n, token[~cold]), 8)])]
+            there = [(part, sub, data) for part, sub, data in deal.cut(node, [node, count, np.append(n, token[~cold])], (8, 4, 8))]
             # What needs no count passes the first meeting beside the rest.
             rows += [(part, deal.subs, part, sub, data) for part, sub, data in there]
             held.clear()
@@ -493,7 +493,7 @@ def ranked(docs: DataFrame, nodes: DataFrame, table: np.ndarray, by_line: bool,
         def send() -> pa.RecordBatch:
             token, node, n = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
-            return _blobs([(part, sub, None, None, data) for part, sub, data in deal.cut(node, [_bytes(node, 8), _bytes(n, 4), _bytes(token, 8)])])
+            return _blobs([(part, sub, None, None, data) for part, sub, data in deal.cut(node, [node, n, token], (8, 4, 8))])
 
         for sub, rows in _met(batches):
             if sub == deal.subs:
