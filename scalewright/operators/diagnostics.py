@@ -57,8 +57,10 @@ class Setting:
         """A point set's coordinates beside filtered columns; a grid has them by index."""
         if isinstance(self.space, Grid):
             return filtered
-        own = df.select(*self.keys, *self.space.coords, *([self.space.area] if self.space.area else []))
-        return filtered.join(own, self.keys)
+        # Filtered at several scales at once, a row has keys that the points don't have.
+        keys = [k for k in self.keys if k in df.columns]
+        own = df.select(*keys, *self.space.coords, *([self.space.area] if self.space.area else []))
+        return filtered.join(own, keys)
 
     def coord(self, d: int) -> Column:
         return self.space.coord(d) if isinstance(self.space, Grid) else F.col(self.space.coords[d]).cast("double")

@@ -195,7 +195,7 @@ def _separable(df, grid, kernel, scale, exprs, batch, strategy, active):
             elif a.period is not None:
                 sums += w
             else:
-                lo, hi = max(0, t), min(a.n, a.n + t)
+                lo, hi = max(0, t), max(0, min(a.n, a.n + t))
                 sums[lo:hi] += w
         total = total * grid.at(sums, d)
         table = _table(spark, rows, "_s int, _t int, _g double")

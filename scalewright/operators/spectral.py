@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
@@ -260,3 +261,28 @@ def auto_filter(df: DataFrame, space: Grid | Points, kernel: Kernel, scale: floa
     if spectral_exact(space, kernel):
         return fft_filter(df, space, kernel, [scale], exprs, **kw).drop("scale_idx", "scale")
     return filter_exprs(df, space, kernel, scale, exprs, **kw)
+
+
+def transform_of(space: Grid | Points):
+    """The transform that serves a space: FFT or harmonics on a grid, direct sums on nodes."""
+    if isinstance(space, Points):
+        return sphere_node_filter if space.spherical else node_transform_filter
+    return sphere_grid_filter if space.spherical else fft_filter
+
+
+def analyze_sweep(df: DataFrame, setting, scales: Sequence[float], u: str = "u", v: str | None = "v", w: str | None = None, *, transform=None) -> DataFrame:
+    """``energy_flux`` at all scales, with scale_idx and scale, from one forward transform of each field and product.
+
+    ``transform`` is one of those above; without it the space's own is taken. The scale of
+    ``setting`` doesn't matter.
+    """
+    from .diagnostics import energy_flux
+
+    if not len(scales):
+        raise ValueError("scales must be given")
+    run = transform or transform_of(setting.space)
+
+    def every(fields: DataFrame, at, exprs: Mapping[str, Column]) -> DataFrame:
+        return run(fields, at.space, at.kernel, list(scales), exprs, batch=setting.batch, strategy=at.strategy, active=at.active)
+
+    return energy_flux(df, replace(setting, scale=check_scale(scales[0]), batch=(*setting.batch, "scale_idx", "scale"), transform=every), u, v, w)

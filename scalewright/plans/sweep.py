@@ -12,10 +12,14 @@ from pyspark.sql import functions as F
 from ..functions.kernels import STRICT, Kernel, TopHat, check_scale, gate_spectrum
 from ..operators.diagnostics import Setting, energy_flux, filtered_energy, spectral_density
 from ..operators.filtering import ZEROFILL
+from ..operators.spectral import analyze_sweep, spectral_exact
 from ..sources.grids import Grid
 from ..sources.points import Points
 
 
+REAL, SPECTRAL, AUTO = "real", "spectral", "auto"
+
+
 @dataclass(frozen=True)
 class Result:
     """flux: keys, scale_idx, scale, pi and the filtered velocity; spectrum: a row for each slice and scale."""
@@ -28,10 +32,12 @@ class Result:
         return Result(keep(self.flux), keep(self.spectrum))
 
 
-def coarse_grain(df: DataFrame, space: Grid | Points, scales: Sequence[float], u: str = "u", v: str | None = "v", w: str | None = None, *, kernel: Kernel | None = None, batch: Sequence[str] = (), strategy: str = ZEROFILL, active: str | None = None, engine: str = "auto", length: float = 1.0, spectrum: str = STRICT, edges: Mapping[float, DataFrame] | None = None, stencil: DataFrame | None = None, transform=None, rho0: float = 1.0, check: bool = False) -> Result:
+def coarse_grain(df: DataFrame, space: Grid | Points, scales: Sequence[float], u: str = "u", v: str | None = "v", w: str | None = None, *, kernel: Kernel | None = None, batch: Sequence[str] = (), strategy: str = ZEROFILL, active: str | None = None, engine: str = "auto", length: float = 1.0, spectrum: str = STRICT, edges: Mapping[float, DataFrame] | None = None, stencil: DataFrame | None = None, transform=None, rho0: float = 1.0, check: bool = False, method: str = REAL) -> Result:
     """Flux of every cell and energy of every slice, at each scale, in the order of ``scales``.
 
     ``batch`` columns are independent slices on the same grid: times, levels, members.
+    ``method`` is REAL, SPECTRAL (all scales from one forward transform of each slice), or
+    AUTO, which takes the transform where it gives the same operator.
     """
     kernel = kernel or TopHat()
     if not len(scales):
@@ -41,9 +47,15 @@ def coarse_grain(df: DataFrame, space: Grid | Points, scales: Sequence[float], u
     wanted = gate_spectrum(kernel, spectrum)
     if check and isinstance(space, Grid):
         space.check(df, batch=batch)
+    if method not in (REAL, SPECTRAL, AUTO):
+        raise ValueError(f"unknown method {method}")
     flux = None
     base = Setting(space, kernel, float(scales[0]), tuple(batch), strategy, active, engine, None, stencil, transform)
-    for n, scale in enumerate(scales, 1):
+    whole = method == SPECTRAL or (method == AUTO and transform is None and spectral_exact(space, kernel))
+    if whole:
+        flux = analyze_sweep(df, base, [float(x) for x in scales], u, v, w)
+        flux = base.place(flux, df)
+    for n, scale in enumerate([] if whole else scales, 1):
         s = replace(base, scale=float(scale), edges=(edges or {}).get(scale))
         one = energy_flux(df, s, u, v, w).withColumns({"scale_idx": F.lit(n), "scale": F.lit(float(scale))})
         if isinstance(space, Points):

@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,7 +18,7 @@ from . import Axis, Gaussian, Grid, HighOrder, HyperGaussian, Points, Setting, S
 from .operators import diagnostics as D
 from .operators import spectral as S
 from .operators.derivatives import derivatives, level_derivative
-from .operators.filtering import DEFORMABLE, ZEROFILL, filter_exprs, filter_field
+from .operators.filtering import DEFORMABLE, ZEROFILL, filter_exprs, filter_field, filter_slices
 from .plans.sweep import map_data, spectrum_data
 from .sources import corner_areas, neighbours
 
@@ -409,7 +410,7 @@ def _build_diagnostics() -> None:
 
     both = {"u": "n.u", "v": "n.v", "su": "n.u * n.u", "sv": "n.v * n.v"}
     add("band_energies", bands, f"WITH {CELLS_SQL}, a AS ({sql_filter(both, disk(4), mask=True)}), b AS ({sql_filter(both, disk(6), source='a', mask=True)}), r AS (SELECT (SELECT sum(su + sv - u * u - v * v) / 2 / count(*) FROM a WHERE active) AS band_1, (SELECT sum(su + sv - u * u - v * v) / 2 / count(*) FROM b WHERE active) AS band_2, (SELECT sum(u * u + v * v) / 2 / count(*) FROM b WHERE active) AS resolved) SELECT {_rs('band_1', 'band_2', 'resolved')}, round(band_1 + band_2 + resolved, 6) + 0.0 AS total FROM r")
-    add("active_area", lambda spark, sf: D.area_mean(cells(spark, sf), S_MASKED, {"mean_u": F.col("u")}).crossJoin(cells(spark, sf).agg(F.sum(F.when(F.col("active"), PLANE.measure())).alias("area"))).select((F.round("mean_u", 6) + 0.0).alias("mean_u"), "area"), f"WITH {CELLS_SQL} SELECT round(avg(u), 6) + 0.0 AS mean_u, count(*)::DOUBLE AS area FROM cells WHERE active")
+    add("active_area", lambda spark, sf: D.area_mean(cells(spark, sf), S_MASKED, {"mean_u": F.col("u")}).select((F.round("mean_u", 6) + 0.0).alias("mean_u"), F.lit(D.active_area(cells(spark, sf), S_MASKED)).alias("area")), f"WITH {CELLS_SQL} SELECT round(avg(u), 6) + 0.0 AS mean_u, count(*)::DOUBLE AS area FROM cells WHERE active")
 
     def binned(spark, sf):
         flux = D.strain_convergence(cells(spark, sf), S_MASKED)
@@ -474,14 +475,142 @@ def _build_pipelines() -> None:
 
     def events_masked(spark, sf):
         e = _read(spark, sf, "events")
-        g = Grid.box(30, 24)
-        dense = g.densify(e.groupBy(F.dayofmonth("ts").alias("i"), (F.hour("ts") + 1).alias("j")).agg(F.count(F.lit(1)).cast("double").alias("n")).filter("i <= 30"), ["n"])
+        g = Grid.box(31, 24)
+        dense = g.densify(e.groupBy(F.dayofmonth("ts").alias("i"), (F.hour("ts") + 1).alias("j")).agg(F.count(F.lit(1)).cast("double").alias("n")), ["n"])
         return _r(filter_field(dense, g, TopHat(), 4.0, "n", active="active", strategy=DEFORMABLE), "n")
 
-    ev = "c AS (SELECT day(ts)::INT AS i, (hour(ts) + 1)::INT AS j, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), cells AS (SELECT a.i::INT AS i, b.j::INT AS j, coalesce(n, 0) AS n, n IS NOT NULL AS active FROM range(1, 31) a(i) CROSS JOIN range(1, 25) b(j) LEFT JOIN c ON c.i = a.i AND c.j = b.j)"
+    ev = "c AS (SELECT day(ts)::INT AS i, (hour(ts) + 1)::INT AS j, count(*)::DOUBLE AS n FROM events GROUP BY 1, 2), cells AS (SELECT a.i::INT AS i, b.j::INT AS j, coalesce(n, 0) AS n, n IS NOT NULL AS active FROM range(1, 32) a(i) CROSS JOIN range(1, 25) b(j) LEFT JOIN c ON c.i = a.i AND c.j = b.j)"
     add("filter_events_densified", events_masked, _plain(sql_filter({"n": "n.n"}, disk(4), strategy=DEFORMABLE, mask=True), "n", ctes=ev))
 
 
+def _torus_pi(scale: float, n) -> str:
+    """CTEs that end in pi{n}: the flux on the torus through the transform of a Gaussian, whose kernel is a product of two circulants."""
+    g = lambda m: f"(SELECT d, sum(cos(2 * pi() * m * d / {m}) * exp(-pow(2 * pi() * least(m, {m} - m) / {m} * {scale!r}, 2) / 24.0)) / {m} AS g FROM range(0, {m}) a(m), range(0, {m}) b(d) GROUP BY d)"
+    along = lambda by: ", ".join(f"sum({e} * {by}.g) AS {k}" for k, e in FLUX.items())
+    again = ", ".join(f"sum(a.{k} * gj{n}.g) AS {k}" for k in FLUX)
+    fields = f"gi{n} AS {g(NX)}, gj{n} AS {g(NY)}, a{n} AS (SELECT t.i, n.j, {along(f'gi{n}')} FROM (SELECT DISTINCT i FROM cells) t CROSS JOIN cells n JOIN gi{n} ON gi{n}.d = (n.i - t.i + 50) % 50 GROUP BY 1, 2), b{n} AS (SELECT a.i, t.j, {again} FROM (SELECT DISTINCT j FROM cells) t CROSS JOIN a{n} a JOIN gj{n} ON gj{n}.d = (a.j - t.j + 11) % 11 GROUP BY 1, 2)"
+    near = f"b{n} t JOIN b{n} e ON e.j = t.j AND e.i = t.i % 50 + 1 JOIN b{n} w ON w.j = t.j AND w.i = (t.i + 48) % 50 + 1 JOIN b{n} o ON o.i = t.i AND o.j = t.j % 11 + 1 JOIN b{n} s ON s.i = t.i AND s.j = (t.j + 9) % 11 + 1"
+    t = lambda x, y: f"(t.{x}{y} - t.{x}b * t.{y}b)"
+    pi = f"-((e.ub - w.ub) / 2 * {t('u', 'u')} + ((o.ub - s.ub) / 2 + (e.vb - w.vb) / 2) * {t('u', 'v')} + (o.vb - s.vb) / 2 * {t('v', 'v')})"
+    return f"{fields}, pi{n} AS (SELECT t.i, t.j, {pi} AS pi FROM {near})"
+
+
+def _build_variants() -> None:
+    """The same operators in more dimensions, on other geometries and through other entries."""
+    add = _register
+    x3, y3, z3 = (lambda f: sql_slope(f, "i", "j, k")), (lambda f: sql_slope(f, "j", "i, k")), (lambda f: sql_slope(f, "k", "i, j"))
+    axes = (x3, y3, z3)
+    near3 = lambda s: f"(n.i - t.i) * (n.i - t.i) + (n.j - t.j) * (n.j - t.j) + (n.k - t.k) * (n.k - t.k) <= {s * s / 4}"
+    at3 = ("i", "j", "k")
+
+    tracer = {f"b{a}": f"n.{c}" for a, c in enumerate("uvw")} | {"tb": "n.th"} | {f"p{a}": f"n.{c} * n.th" for a, c in enumerate("uvw")}
+    body = " + ".join(f"(p{k} - b{k} * tb) * {axes[k]('tb')}" for k in range(3))
+    add("tracer_flux_3d", lambda spark, sf: _r(D.tracer_flux(volume_cells(spark, sf), Setting(BOX, TopHat(), 4.0), "th", "u", "v", "w"), "pi_tracer", keys=at3), f"WITH {VOLUME_SQL}, f AS ({sql_filter(tracer, near3(4), source='volume', keys=at3)}), g AS (SELECT i, j, k, -({body}) AS pi_tracer FROM f) SELECT i, j, k, {_rs('pi_tracer')} FROM g")
+
+    parts = {"r0": "n.th", "r1": "n.w", "r2": "n.rho", "d0": "(n.u - n.th)", "d1": "(n.v - n.w)", "d2": "(n.w - n.rho)"}
+    names = list(parts)
+    exprs = {f"f{a}": parts[a] for a in names} | {f"f{a}{b}": f"{parts[a]} * {parts[b]}" for k, a in enumerate(names) for b in names[k:]}
+    m = lambda a, b: f"(f{a}{b} - f{a} * f{b})" if f"f{a}{b}" in exprs else f"(f{b}{a} - f{a} * f{b})"
+    tau = {"rr": lambda a, b: m(f"r{a}", f"r{b}"), "dd": lambda a, b: m(f"d{a}", f"d{b}"), "x": lambda a, b: f"({m(f'r{a}', f'd{b}')} + {m(f'd{a}', f'r{b}')})"}
+
+    def con(p: str, q: str) -> str:
+        terms = [f"{axes[a](f'f{p}{a}')} * {tau[q](a, a)}" for a in range(3)] + [f"({axes[b](f'f{p}{a}')} + {axes[a](f'f{p}{b}')}) * {tau[q](a, b)}" for a in range(3) for b in range(a + 1, 3)]
+        return f"(-({' + '.join(terms)}))"
+
+    split = lambda spark, sf: _r(D.flux_decomposed(volume_cells(spark, sf), Setting(BOX, TopHat(), 4.0), ["u", "v", "w"], ["th", "w", "rho"]), "rotational", "cross", "divergent", "total", keys=at3)
+    add("pi_decomposed_3d", split, f"WITH {VOLUME_SQL}, f AS ({sql_filter(exprs, near3(4), source='volume', keys=at3)}), g AS (SELECT i, j, k, {con('r', 'rr')} AS rotational, {con('d', 'dd')} AS divergent, {con('r', 'dd')} + {con('d', 'rr')} + {con('r', 'x')} + {con('d', 'x')} AS \"cross\" FROM f) SELECT i, j, k, {_rs('rotational', 'divergent')}, round(\"cross\", 6) + 0.0 AS \"cross\", round(rotational + divergent + \"cross\", 6) + 0.0 AS total FROM g")
+
+    lon, lat = f"({2 * math.pi / NX!r} * (i - 1))", "radians(10.0 * (j - 6))"
+    frame = f"SELECT *, sin({lon}) AS sl, cos({lon}) AS cl, sin({lat}) AS sp, cos({lat}) AS cp FROM "
+    xyz = f"xyz AS (SELECT i, j, th, -u * sl - v * sp * cl AS u, u * cl - v * sp * sl AS v, v * cp AS w FROM ({frame} cells))"
+    ring = lambda f: f"((CASE WHEN i = 50 THEN first_value({f}) OVER (PARTITION BY j ORDER BY i) ELSE lead({f}) OVER (PARTITION BY j ORDER BY i) END - CASE WHEN i = 1 THEN last_value({f}) OVER (PARTITION BY j ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) ELSE lag({f}) OVER (PARTITION BY j ORDER BY i) END) / {4 * math.pi / NX!r} / (60.0 * cp))"
+    north = lambda f: _dy(f, step=repr(60.0 * math.radians(10.0)))
+    weight = f"cos({LAT.format('n')})"
+    j = [f"(p{k} - b{k} * tb)" for k in range(3)]
+    east, up = f"(-sl * {j[0]} + cl * {j[1]})", f"(-sp * cl * {j[0]} - sp * sl * {j[1]} + cp * {j[2]})"
+    add("tracer_flux_spherical", lambda spark, sf: _r(D.tracer_flux(cells(spark, sf), Setting(SPHERE, TopHat(), 30.0), "th"), "pi_tracer"), f"WITH {CELLS_SQL}, {xyz}, f AS ({sql_filter(tracer, f'{ARC} <= 15.0', weight, source='xyz')}), g AS (SELECT i, j, -({east} * {ring('tb')} + {up} * {north('tb')}) AS pi_tracer FROM ({frame} f)) SELECT i, j, {_rs('pi_tracer')} FROM g")
+
+    six = [f"{p}{k}" for p in "md" for k in range(3)]
+    first = f"m AS ({sql_filter({f'm{k}': f'n.{c}' for k, c in enumerate('uvw')}, f'{ARC} <= 15.0', weight, source='xyz')}), d AS (SELECT i, j, m0, m1, m2, u - m0 AS d0, v - m1 AS d1, w - m2 AS d2 FROM xyz JOIN m USING (i, j))"
+    second = {f"f{a}": f"n.{a}" for a in six} | {f"f{a}{b}": f"n.{a} * n.{b}" for k, a in enumerate(six) for b in six[k:]}
+    mm = lambda a, b: f"(f{a}{b} - f{a} * f{b})" if f"f{a}{b}" in second else f"(f{b}{a} - f{a} * f{b})"
+    kinds = {"l": lambda a, b: mm(f"m{a}", f"m{b}"), "c": lambda a, b: f"({mm(f'm{a}', f'd{b}')} + {mm(f'd{a}', f'm{b}')})", "r": lambda a, b: mm(f"d{a}", f"d{b}")}
+    e, n = ("(-sl)", "cl", "0.0"), ("(-sp * cl)", "(-sp * sl)", "cp")
+    local = lambda t, a, b: " + ".join(f"{a[p]} * {t(p, q)} * {b[q]}" for p in range(3) for q in range(3))
+    keep = [f"{p}_{x}" for p in "lcr" for x in ("xx", "xy", "yy")]
+    lcr = ", ".join(f"{local(t, a, b)} AS {p}_{x}" for p, t in kinds.items() for x, a, b in (("xx", e, e), ("xy", e, n), ("yy", n, n)))
+    add("tau_lcr_spherical", lambda spark, sf: _r(D.stress_decomposition(cells(spark, sf), Setting(SPHERE, TopHat(), 30.0)), *keep), f"WITH {CELLS_SQL}, {xyz}, {first}, f AS ({sql_filter(second, f'{ARC} <= 15.0', weight, source='d')}), g AS (SELECT i, j, {lcr} FROM ({frame} f)) SELECT i, j, {_rs(*keep)} FROM g")
+
+    def fitted(source: str, keys: tuple[str, ...], edges: str, dx: str, dy: str, on: str = "true") -> str:
+        """CTE g: the plane flux of ``source`` by least squares over ``edges`` of t to n."""
+        w = f"(1 / ({dx} * {dx} + {dy} * {dy}))"
+        sums = ", ".join(f"sum({w} * {a} * {b}) AS {k}" for k, a, b in (("xx", dx, dx), ("xy", dx, dy), ("yy", dy, dy), ("xu", dx, "(n.ub - t.ub)"), ("yu", dy, "(n.ub - t.ub)"), ("xv", dx, "(n.vb - t.vb)"), ("yv", dy, "(n.vb - t.vb)")))
+        key = ", ".join(f"t.{k}" for k in keys)
+        det = "(xx * yy - xy * xy)"
+        slope = lambda a, b, c, d: f"coalesce(CASE WHEN {det} > 1e-12 * xx * yy THEN ({a} * {b} - {c} * {d}) / {det} ELSE 0 END, 0)"
+        ux, uy, vx, vy = slope("yy", "xu", "xy", "yu"), slope("xx", "yu", "xy", "xu"), slope("yy", "xv", "xy", "yv"), slope("xx", "yv", "xy", "xv")
+        return f"s AS (SELECT {key}, {sums} FROM {edges} WHERE {on} GROUP BY {key}), g AS (SELECT {', '.join(keys)}, -({ux} * (uu - ub * ub) + ({uy} + {vx}) * (uv - ub * vb) + {vy} * (vv - vb * vb)) AS pi FROM {source} LEFT JOIN s USING ({', '.join(keys)}))"
+
+    mesh = Points(("i", "j"))
+
+    def curvilinear(spark, sf):
+        df = cells(spark, sf).withColumns({"x": 2.0 * F.col("i") + 0.5 * F.col("j"), "y": 3.0 * F.col("j") - 0.25 * F.col("i"), "area": F.lit(6.125)})
+        at = lambda p: df.select(F.col("i").alias(f"{p}_i"), F.col("j").alias(f"{p}_j"), F.col("x").alias(f"{p}x"), F.col("y").alias(f"{p}y"))
+        ends = neighbours(df).select(F.col("i").alias("t_i"), F.col("j").alias("t_j"), F.col("n_i").alias("s_i"), F.col("n_j").alias("s_j")).join(at("t"), ["t_i", "t_j"]).join(at("s"), ["s_i", "s_j"])
+        dx, dy = F.col("sx") - F.col("tx"), F.col("sy") - F.col("ty")
+        stencil = ends.select("t_i", "t_j", "s_i", "s_j", F.sqrt(dx * dx + dy * dy).alias("d"), F.array(dx, dy).alias("delta"))
+        return _r(D.energy_flux(df, Setting(mesh, TopHat(), 12.1, active="active", stencil=stencil)), "pi")
+
+    gx, gy = "(2.0 * (n.i - t.i) + 0.5 * (n.j - t.j))", "(3.0 * (n.j - t.j) - 0.25 * (n.i - t.i))"
+    f = f"f AS ({sql_filter(FLUX, f'sqrt({gx} * {gx} + {gy} * {gy}) <= 6.05', mask=True)})"
+    add("pi_curvilinear", curvilinear, f"WITH {CELLS_SQL}, {f}, {fitted('f', ('i', 'j'), 'f t JOIN f n ON abs(n.i - t.i) + abs(n.j - t.j) = 1', gx, gy, 'n.active AND t.active')} SELECT i, j, {_rs('pi')} FROM g")
+
+    def node_flux(spark, sf):
+        df = supplier_nodes(spark, sf).withColumns({"u": F.col("f"), "v": F.col("area")})
+        got = D.energy_flux(df, Setting(NODES, TopHat(), 1500.0, stencil=NODES.nearest(df, 6, 20000.0)))
+        return got.select("node", (F.round("pi", 4) + 0.0).alias("pi"))
+
+    nodes = NODES_SQL.replace("AS f FROM supplier", "AS f, (s_nationkey % 13)::DOUBLE AS u, (s_suppkey % 5 + 1)::DOUBLE AS v FROM supplier")
+    near = "(n.x - t.x) * (n.x - t.x) + (n.y - t.y) * (n.y - t.y)"
+    f = f"b AS ({sql_filter(FLUX, f'{near} <= 750.0 * 750.0', 'n.area', source='nodes', keys=('node',))}), f AS (SELECT * FROM b JOIN (SELECT node, x, y FROM nodes) USING (node))"
+    ranks = f"p AS (SELECT t.node AS t, n.node AS n, row_number() OVER (PARTITION BY t.node ORDER BY sqrt({near}), n.node) AS rank FROM nodes t JOIN nodes n ON n.node <> t.node)"
+    add("pi_nodes", node_flux, f"WITH {nodes}, {f}, {ranks}, {fitted('f', ('node',), 'p JOIN f t ON t.node = p.t JOIN f n ON n.node = p.n', '(n.x - t.x)', '(n.y - t.y)', 'p.rank <= 6')} SELECT node, round(pi, 4) + 0.0 AS pi FROM g")
+
+    narrow = Grid.box(NX, 8)
+    ragged = lambda spark, sf: volume_cells(spark, sf).filter((F.col("k") != 2) | (F.col("j") <= 8))
+    add("filter_slices", lambda spark, sf: _r(filter_slices(ragged(spark, sf), "k", {1: PLANE, 2: narrow, 3: PLANE}, TopHat(), 4.0, ["u", "v"]), "u", "v", keys=at3), f"WITH {VOLUME_SQL}, part AS (SELECT * FROM volume WHERE k <> 2 OR j <= 8), f AS ({sql_filter({'u': 'n.u', 'v': 'n.v'}, disk(4) + ' AND n.k = t.k', source='part', keys=at3)}) SELECT i, j, k, {_rs('u', 'v')} FROM f")
+
+    line = CELLS_SQL.replace("cells AS", "line AS").replace("CAST(round(l_discount * 100) AS INT) + 1 AS j,", "0 AS j,")
+    one = " UNION ALL ".join(f"(WITH f AS ({sql_filter({'ub': 'n.u', 'uu': 'n.u * n.u'}, f'abs(n.i - t.i) <= {x / 2}', source='line', keys=('i',))}), g AS (SELECT i, -{sql_slope('ub', 'i', '')} * (uu - ub * ub) AS pi FROM f) SELECT i, {n} AS scale_idx, {x!r}::DOUBLE AS scale, {_rs('pi')} FROM g)" for n, x in enumerate(SCALES, 1))
+    add("coarse_grain_1d", lambda spark, sf: _r(coarse_grain(_fields(_sums(_read(spark, sf, "lineitem"), _i())), LINE, SCALES, "u", None, spectrum="force").flux, "pi", keys=("i", "scale_idx", "scale")), f"WITH {line} {one}")
+
+    moments = {f"b{a}": f"n.{c}" for a, c in enumerate("uvw")} | {f"p{a}{b}": f"n.{c} * n.{d}" for a, c in enumerate("uvw") for b, d in enumerate("uvw") if a <= b}
+    t = lambda a, b: f"(p{a}{b} - b{a} * b{b})"
+    pi3 = f"-({x3('b0')} * {t(0, 0)} + {y3('b1')} * {t(1, 1)} + {z3('b2')} * {t(2, 2)} + ({y3('b0')} + {x3('b1')}) * {t(0, 1)} + ({z3('b0')} + {x3('b2')}) * {t(0, 2)} + ({z3('b1')} + {y3('b2')}) * {t(1, 2)})"
+    three = " UNION ALL ".join(f"(WITH f AS ({sql_filter(moments, near3(x), source='volume', keys=at3)}), g AS (SELECT i, j, k, {pi3} AS pi FROM f) SELECT i, j, k, {n} AS scale_idx, {x!r}::DOUBLE AS scale, round(pi, 5) + 0.0 AS pi FROM g)" for n, x in enumerate([2.0, 4.0], 1))
+    add("coarse_grain_3d", lambda spark, sf: coarse_grain(volume_cells(spark, sf), BOX, [2.0, 4.0], "u", "v", "w", spectrum="none").flux.select(*at3, "scale_idx", "scale", (F.round("pi", 5) + 0.0).alias("pi")), f"WITH {VOLUME_SQL} {three}")
+
+    both = lambda n, x: f"SELECT {n} AS scale_idx, {x!r} AS scale, sum(ub * ub + vb * vb) / 2 / count(*) AS cumulative_energy FROM ({sql_filter({'ub': 'n.u', 'vb': 'n.v'}, square(Gaussian(), x), gauss(x), mask=True)}) q WHERE active"
+    energies = " UNION ALL ".join(both(n, x) for n, x in enumerate(SCALES, 1))
+    by = "OVER (ORDER BY scale_idx)"
+    slope = f"(coalesce(lead(cumulative_energy) {by}, cumulative_energy) - coalesce(lag(cumulative_energy) {by}, cumulative_energy)) / (coalesce(lead(1 / scale) {by}, 1 / scale) - coalesce(lag(1 / scale) {by}, 1 / scale))"
+    strict = lambda spark, sf: D.filtering_spectrum(cells(spark, sf), Setting(PLANE, Gaussian(), 4.0, active="active"), SCALES, spectrum="strict").select("scale_idx", "scale", *((F.round(c, 6) + 0.0).alias(c) for c in ("cumulative_energy", "filtering_spectrum")))
+    add("filtering_spectrum_strict", strict, f"WITH {CELLS_SQL}, e AS ({energies}), s AS (SELECT scale_idx, scale::DOUBLE AS scale, cumulative_energy, {slope} AS filtering_spectrum FROM e) SELECT scale_idx, scale, {_rs('cumulative_energy', 'filtering_spectrum')} FROM s")
+
+    def growing(spark, sf):
+        """Part by discount: as many rows of cells as there are parts, so the field grows with the data."""
+        sums = _sums(_read(spark, sf, "lineitem"), F.col("l_partkey").cast("int").alias("i"), _j())
+        most = sums.agg(F.max("i")).first()[0]
+        grid = Grid.box(most, NY)
+        dense = grid.densify(_fields(sums).select("i", "j", "u"), ["u"])
+        return _r(filter_field(dense, grid, TopHat(), 6.0, "u", active="active", strategy=DEFORMABLE), "u")
+
+    sums = "SELECT l_partkey::INT AS i, CAST(round(l_discount * 100) AS INT) + 1 AS j, sum(l_linenumber * 3 + l_suppkey % 7)::BIGINT AS a FROM lineitem GROUP BY 1, 2"
+    wide = f"c AS ({sums}), cells AS (SELECT x.i::INT AS i, y.j::INT AS j, coalesce(a % 41 - 20, 0)::DOUBLE AS u, a IS NOT NULL AS active FROM range(1, (SELECT max(i) + 1 FROM c)) x(i) CROSS JOIN range(1, {NY + 1}) y(j) LEFT JOIN c ON c.i = x.i AND c.j = y.j), rows3 AS (SELECT i + o.o AS ti, i, j, u, active FROM cells, (VALUES (-3), (-2), (-1), (0), (1), (2), (3)) o(o))"
+    here = "sum(CASE WHEN n.active AND (n.i - t.i) * (n.i - t.i) + (n.j - t.j) * (n.j - t.j) <= 9.0 THEN {} END)"
+    add("filter_growing_grid", growing, f"WITH {wide}, f AS (SELECT t.i, t.j, CASE WHEN t.active THEN coalesce({here.format('n.u')} / {here.format('1.0')}, 0) ELSE 0 END AS u FROM cells t JOIN rows3 n ON n.ti = t.i GROUP BY t.i, t.j, t.active) SELECT i, j, {_rs('u')} FROM f")
+
+
 def _build_transforms() -> None:
     add = _register
     def fft(spark, sf):
@@ -491,7 +620,17 @@ def _build_transforms() -> None:
     g = lambda n: f"(SELECT d, sum(cos(2 * pi() * m * d / {n}) * exp(-pow(2 * pi() * least(m, {n} - m) / {n} * 5.0, 2) / 24.0)) / {n} AS g FROM range(0, {n}) a(m), range(0, {n}) b(d) GROUP BY d)"
     add("spectral_fft", fft, f"WITH {CELLS_SQL}, gi AS {g(NX)}, gj AS {g(NY)}, a AS (SELECT t.i, n.j, sum(n.u * gi.g) AS u FROM (SELECT DISTINCT i FROM cells) t CROSS JOIN cells n JOIN gi ON gi.d = (n.i - t.i + 50) % 50 GROUP BY 1, 2), b AS (SELECT a.i, t.j, sum(a.u * gj.g) AS u FROM (SELECT DISTINCT j FROM cells) t CROSS JOIN a JOIN gj ON gj.d = (a.j - t.j + 11) % 11 GROUP BY 1, 2) SELECT i, j, {_rs('u')} FROM b")
     add("spectral_padded_fft", lambda spark, sf: _r(S.padded_fft_filter(cells(spark, sf), PLANE, TopHat(), [6.0], {"u": F.col("u")}, active="active"), "u"), _plain(sql_filter({"u": "n.u"}, disk(6), mask=True), "u"))
-    add("pi_spectral", lambda spark, sf: _r(D.energy_flux(cells(spark, sf), replace(S_PLAIN, space=TORUS, kernel=Gaussian(), scale=5.0, transform=S.transform_setting(S.fft_filter))), "pi"), None)
+    add("pi_spectral", lambda spark, sf: _r(D.energy_flux(cells(spark, sf), replace(S_PLAIN, space=TORUS, kernel=Gaussian(), scale=5.0, transform=S.transform_setting(S.fft_filter))), "pi"), f"WITH {CELLS_SQL}, {_torus_pi(5.0, '')} SELECT i, j, {_rs('pi')} FROM pi")
+    scales = [4.0, 5.0, 8.0]
+    union = " UNION ALL ".join(f"SELECT i, j, {n} AS scale_idx, {x!r}::DOUBLE AS scale, {_rs('pi')} FROM pi{n}" for n, x in enumerate(scales, 1))
+    sweep = f"WITH {CELLS_SQL}, {', '.join(_torus_pi(x, n) for n, x in enumerate(scales, 1))} {union}"
+
+    def one_forward(spark, sf):
+        return _r(S.analyze_sweep(cells(spark, sf), Setting(TORUS, Gaussian(), 5.0), scales), "pi", keys=("i", "j", "scale_idx", "scale"))
+
+    add("analyze_sweep", one_forward, sweep)
+    for method in ("spectral", "auto"):
+        add(f"coarse_grain_{method}", lambda spark, sf, method=method: _r(coarse_grain(cells(spark, sf), TORUS, scales, kernel=Gaussian(), method=method).flux, "pi", keys=("i", "j", "scale_idx", "scale")), sweep)
     points = Points(("i", "j"), ("x", "y"), None)
 
     def ndft(spark, sf):
@@ -511,13 +650,19 @@ def _build_transforms() -> None:
         df = cells(spark, sf).withColumns({"lon": F.col("i") * (2 * math.pi / NX), "lat": F.asin((F.col("j") - 6) / 6.0)})
         return _r(S.sphere_node_filter(df, Points(("i", "j"), ("lon", "lat"), None, "spherical"), Gaussian(), [1.0], {"u": F.col("u")}), "u")
 
-    add("spectral_nusht", nusht, None)
+    # By the addition theorem, a sum over degrees of the angle between two nodes; degrees as many as the nodes bear.
+    top = math.isqrt(NX * NY) - 1
+    series = np.polynomial.legendre.leg2poly([math.exp(-k * (k + 1) / 24) * (2 * k + 1) / (NX * NY) for k in range(top + 1)])
+    x = f"((n.j - 6) / 6.0 * (t.j - 6) / 6.0 + sqrt(greatest(0.0, (1 - pow((n.j - 6) / 6.0, 2)) * (1 - pow((t.j - 6) / 6.0, 2)))) * cos({2 * math.pi / NX!r} * (n.i - t.i)))"
+    horner = reduce(lambda inner, c: f"({c!r}::DOUBLE + x * {inner})", [float(c) for c in series[-2::-1]], f"{float(series[-1])!r}::DOUBLE")
+    add("spectral_nusht", nusht, f"WITH {CELLS_SQL}, pairs AS (SELECT t.i, t.j, n.u, {x} AS x FROM cells t CROSS JOIN cells n), f AS (SELECT i, j, sum(u * {horner}) AS u FROM pairs GROUP BY i, j) SELECT i, j, {_rs('u')} FROM f")
 
 
 _build_filters()
 _build_derivatives()
 _build_diagnostics()
 _build_pipelines()
+_build_variants()
 _build_transforms()
 
 

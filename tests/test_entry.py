@@ -5,7 +5,7 @@ import __spark_entry__ as entry
 from scalewright import queries as fields
 
 SF = "/root/testdata/sf0.001"
-SHORT = ["filter_tophat_zerofill", "filter_gaussian_deformable", "filter_highorder3", "filter_3d", "pi_2d", "pi_spherical", "wlsq_gradient", "coarse_grain_slices", "spectral_fft"]
+SHORT = ["filter_tophat_zerofill", "filter_gaussian_deformable", "filter_highorder3", "filter_3d", "pi_2d", "pi_spherical", "wlsq_gradient", "coarse_grain_slices", "spectral_fft", "analyze_sweep", "coarse_grain_auto", "pi_spectral", "pi_curvilinear", "tau_lcr_spherical", "pi_decomposed_3d", "filtering_spectrum_strict", "spectral_nusht", "filter_growing_grid", "filter_events_densified"]
 
 
 def test_registered_names():

@@ -260,3 +260,29 @@ def test_stream_of_slices(spark, tmp_path):
     query = sweep_stream(stream, grid, [3.0], lambda r, n: r.flux.write.mode("overwrite").parquet(f"{tmp_path}/out/{n}"), slice_key="t", checkpoint=f"{tmp_path}/check", kernel=Gaussian())
     query.awaitTermination(120)
     assert spark.read.parquet(f"{tmp_path}/out/*").groupBy("t").count().orderBy("t").collect() == [(1, 36), (2, 36)]
+
+
+def test_gaussian_wider_than_the_grid(spark):
+    grid = Grid.box(30, 5)
+    rng = np.random.default_rng(3)
+    rows = [(i, j, float(rng.integers(-9, 9)), bool(i % 7)) for i in range(1, 31) for j in range(1, 6)]
+    df = spark.createDataFrame(rows, "i int, j int, u double, active boolean")
+    got = {(r.i, r.j): r.u for r in filter_field(df, grid, Gaussian(), 6.0, "u", active="active").collect()}
+    for i, j, _, here in rows:
+        w = [(math.exp(-6 * ((i - a) ** 2 + (j - b) ** 2) / 36), u if on else 0.0) for a, b, u, on in rows if abs(i - a) <= 12 and abs(j - b) <= 12]
+        assert abs(got[i, j] - (sum(x * u for x, u in w) / sum(x for x, _ in w) if here else 0.0)) < 1e-12
+
+
+def test_methods_of_a_sweep(spark):
+    grid = Grid.box(8, 6, periodic=True)
+    df = spark.createDataFrame([(t, i, j, float((i * j + t) % 5), float((i + 2 * j) % 3)) for t in (1, 2) for i in range(1, 9) for j in range(1, 7)], "t int, i int, j int, u double, v double")
+    whole = coarse_grain(df, grid, [2.0, 3.0], kernel=Gaussian(), batch=["t"], method="auto")
+    flux = {(r.t, r.i, r.j, r.scale_idx): r.pi for r in whole.flux.collect()}
+    for n, scale in enumerate([2.0, 3.0], 1):
+        alone = D.energy_flux(df, Setting(grid, Gaussian(), scale, ("t",), transform=S.transform_setting(S.fft_filter))).collect()
+        assert all(abs(flux[r.t, r.i, r.j, n] - r.pi) < 1e-12 for r in alone)
+    assert len(flux) == 192 and whole.spectrum.count() == 4
+    with pytest.raises(ValueError, match="method"):
+        coarse_grain(df, grid, [2.0], kernel=Gaussian(), batch=["t"], method="other")
+    bounded = coarse_grain(df, Grid.box(8, 6), [2.0], kernel=Gaussian(), batch=["t"], method="auto").flux
+    assert bounded.filter("scale = 2.0").count() == 96
