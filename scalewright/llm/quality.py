@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bare, column_at
 
-# White space of words, symbols, line ends, separators of navigation, boilerplate.
+# White space of words, symbols, marks at the end of a line, what may follow them, separators of navigation, boilerplate.
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-ENDS = r"[.!?:;,…\"”»’')\]。！？：；、，．」』）】؟؛،۔।॥።፧។၊။‼⁇⁈⁉][ \t]*$"
+ENDS = ".!?:;,…\"”»’')]。！？：；、，．」』）】؟؛،۔।॥።፧။၊‼⁇⁈⁉"
+TRAILING = " \t\r"
 INNER_END = r"[.!?…؟۔।॥።፧။][ \t]|[。！？．]"
 SEPARATORS = "|»›•·"
 BOILERPLATE = ("all rights reserved", "cookie policy", "privacy policy", "terms of use", "terms of service", "enable javascript", "javascript is disabled", "lorem ipsum", "click here to", "subscribe to our newsletter", "skip to content", "tous droits réservés", "politique de confidentialité", "alle rechte vorbehalten", "datenschutzerklärung", "todos los derechos reservados", "política de privacidad")
@@ -93,9 +94,10 @@ def line_fails(line: Column, phrases: tuple[str, ...] = BOILERPLATE) -> Column:
     characters. Navigation: MIN_SEPARATORS separators or more. Boilerplate: it holds
     one of the phrases.
     """
-    unended = ~F.rlike(line, F.lit(ENDS)) & ((F.length(line) < LONG_LINE) | ~F.rlike(line, F.lit(INNER_END)))
+    last = F.right(F.rtrim(line, F.lit(TRAILING)), F.lit(1))
+    unended = ~((last != "") & F.contains(F.lit(ENDS), last)) & ((F.length(line) < LONG_LINE) | ~F.rlike(line, F.lit(INNER_END)))
     signs = F.when(F.rlike(line, F.lit(f"[{SYMBOLS}{SEPARATORS}]")), (100 * _count(line, SYMBOLS) > MAX_SYMBOL_PERCENT * F.length(line)) | (_count(line, SEPARATORS) >= MIN_SEPARATORS)).otherwise(False)
-    return unended | signs | F.rlike(line, F.lit(f"(?iu){'|'.join(map(re.escape, phrases))}"))
+    return unended | signs | let(F.lower(line), lambda x: reduce(lambda a, b: a | b, (F.contains(x, F.lit(p)) for p in phrases)))
 
 
 def assess(docs: DataFrame, *, text_col: str = "text", phrases: tuple[str, ...] = BOILERPLATE) -> DataFrame:
@@ -149,7 +151,7 @@ g AS (SELECT r, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELE
 d AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM g) WHERE n > 1),
 c AS (SELECT r, count(DISTINCT i + k) AS n FROM d, (VALUES (0), (1), (2)) AS x(k) GROUP BY r),
 l AS (SELECT r, unnest(string_split(text, chr(10))) AS line FROM t),
-f AS (SELECT r, line, (NOT regexp_matches(line, '{ENDS.replace("'", "''").replace(chr(92) + chr(34), chr(34))}') AND (length(line) < {LONG_LINE} OR NOT regexp_matches(line, '{INNER_END}')))
+f AS (SELECT r, line, (NOT contains({_sql_list([ENDS])}, right(rtrim(line, ' ' || chr(9) || chr(13)), 1)) AND (length(line) < {LONG_LINE} OR NOT regexp_matches(line, '{INNER_END}')))
     OR 100 * length(regexp_replace(line, '[^#*$%&|<>]', '', 'g')) > {MAX_SYMBOL_PERCENT} * length(line)
     OR length(regexp_replace(line, '[^{SEPARATORS}]', '', 'g')) >= {MIN_SEPARATORS}
     OR len(list_filter([{_sql_list(BOILERPLATE)}], lambda p: contains(lower(line), p))) > 0 AS failed

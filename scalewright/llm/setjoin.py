@@ -48,7 +48,7 @@ HUB = 500
 #: Leaders of its tokens that a node is tried with.
 LEADERS = 2
 #: Entries that a task gathers before it deals them out.
-HELD = 1 << 20
+HELD = 1 << 18
 #: Ranges of tokens or nodes in all partitions together that are looked at one at a time, at least.
 RANGES = 1024
 _PART = stream(11, WIDTH) | np.uint64(1)
@@ -145,7 +145,7 @@ def sets_of(batch: pa.RecordBatch, by_line: bool, table: np.ndarray | None = Non
 
 
 def input_of(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    bound_batches(docs.sparkSession, 2048)
+    bound_batches(docs.sparkSession)
     text = F.col(text_col).cast("string")
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_key"))
 

@@ -143,3 +143,14 @@ def test_wrapped_licences(spark, lead, end):
     rows = [(i, "Some code here\n" + "\n".join((lead + x).rstrip() + end for x in t.split("\n")) + "\nmore code") for i, t in enumerate(WRAPPED.values())]
     got = {r.doc_id: r.licenses for r in licenses.scan(frame(spark, rows)).collect()}
     assert [got[i] for i in range(len(rows))] == [[name] for name in WRAPPED]
+
+
+@pytest.mark.parametrize("line, fails", [("这一行说完了。", False), ("यह पंक्ति पूरी है।", False), ("هل هذا سطر كامل؟", False), ("Это вся строка.", False), ("ይህ ሙሉ ነው።", False), ("これで終わり！", False), ("A carriage return follows.\r", False), ("Blanks follow. \t", False), ("no mark here", True), ("没有结束", True), ("TOUS DROITS RÉSERVÉS.", True), ("Alle Rechte Vorbehalten.", True), ("All Rights reserved.", True), ("x | y | z | w.", True), ("长" * 199 + "。" + "长", False), ("长" * 150, True)])
+def test_marks_and_phrases_of_several_scripts(spark, line, fails):
+    r = quality.assess(spark.createDataFrame([(1, line)], "doc_id long, text string")).first()
+    assert (r.n_failed_lines == 1) is fails
+
+
+def test_phrases_are_a_parameter(spark):
+    df = spark.createDataFrame([(1, "All rights reserved.\nEigene Worte stehen hier.")], "doc_id long, text string")
+    assert [r.clean_text for r in quality.assess(df, phrases=("eigene worte",)).collect()] == ["All rights reserved."]
