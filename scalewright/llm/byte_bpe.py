@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BATCH_ROWS, bare, bound_batches, column_at
+from .common import BATCH_ROWS, bare, bound_batches, column_at, trimmed
 
 #: Words kept with their ids in a worker; beyond, the memory starts anew.
 CACHED_WORDS = 150_000
@@ -247,7 +247,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, *, id_col: str = "doc
                 part = ids[a : a + BATCH_ROWS]
                 yield pa.RecordBatch.from_arrays([pa.array(docs_ids[a : a + BATCH_ROWS], pa.int64()), pa.array([len(x) // 4 for x in part], pa.int64()), pa.array(part, pa.binary())], names=["doc_id", "n_tokens", "ids"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids binary")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(run), "doc_id long, n_tokens long, ids binary")
 
 
 def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -269,4 +269,4 @@ def decode(encoded: DataFrame, ranks_path: str, *, ids_col: str = "ids", out_col
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.binary())], names=[*kept, "_out"])
 
     schema = encoded.select(*kept).schema.add("_out", "binary")
-    return encoded.select(*kept).mapInArrow(run, schema).toDF(*names, out_col)
+    return encoded.select(*kept).mapInArrow(trimmed(run), schema).toDF(*names, out_col)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -124,6 +126,23 @@ def _murmur(x: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint32(16))).view(np.int32)
 
 
+def trimmed(function: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable:
+    """``function`` for mapInArrow, after which the worker gives freed memory back.
+
+    A worker serves tasks of many stages, and what each once needed at most would add up.
+    """
+
+    @functools.wraps(function)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim is not None:
+            trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit mixer, elementwise."""
     x = x.astype(np.uint64, copy=True)

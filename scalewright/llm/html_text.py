@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, mix, small
+from .common import Scratch, bound_batches, mix, small, trimmed
 
 #: Pages of a host that share a token at least, for it to be of the template.
 MIN_SUPPORT = 3
@@ -246,7 +246,7 @@ def tokens(pages: DataFrame) -> DataFrame:
                     yield send()
         yield send()
 
-    got = pages.select(F.xxhash64("host").alias("host"), F.xxhash64("page_id", "url", F.length("html")).alias("page"), "html").mapInArrow(run, "host long, slot long, token long, pages long, occurrences long, vector long, also_vector long, seen long, also_seen long")
+    got = pages.select(F.xxhash64("host").alias("host"), F.xxhash64("page_id", "url", F.length("html")).alias("page"), "html").mapInArrow(trimmed(run), "host long, slot long, token long, pages long, occurrences long, vector long, also_vector long, seen long, also_seen long")
     return got.groupBy("host", "slot", "token").agg(F.sum("pages").alias("pages"), F.sum("occurrences").alias("occurrences"), F.sum("vector").alias("vector"), F.sum("also_vector").alias("also_vector"), F.bit_or("seen").alias("seen"), F.bit_or("also_seen").alias("also_seen"))
 
 
@@ -316,4 +316,4 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
             texts = [main_text(page, *(set(x or ()) for x in known)) for page, *known in zip(*(c.to_pylist() for c in batch.columns[2:]), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return joined.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return joined.mapInArrow(trimmed(run), "page_id long, url string, text string, n_chars long")

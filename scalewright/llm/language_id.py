@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 from pyspark.sql import functions as F
 
-from .common import bare, bound_batches, column_at, mix, stream
+from .common import bare, bound_batches, column_at, mix, stream, trimmed
 
 SIZES = (1, 2, 3)
 BUCKETS = 1 << 15
@@ -92,7 +92,7 @@ def train(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", la
             at = np.flatnonzero(total)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * (len(at) + 1), pa.string()), pa.array(np.append(at, -1), pa.int64()), pa.array(np.append(total[at], seen[lang]), pa.int64())], names=["lang", "bucket", "n"])
 
-    got = rows.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("counts"))  # BUCKETS + 1 entries at most
+    got = rows.mapInArrow(trimmed(count), "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("counts"))  # BUCKETS + 1 entries at most
     langs, prior, table = [], [], []
     for lang, pairs in sorted((r["lang"], r["counts"]) for r in got.collect()):
         counts = np.full(BUCKETS, smoothing)
@@ -151,4 +151,4 @@ def predict(docs: DataFrame, model: Model, *, text_col: str = "text", pred_col:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(langs, pa.string()), pa.array(sure, pa.float64())], names=[*kept, "_lang", "_sure"])
 
     schema = T.StructType([*rows.select(*kept).schema, T.StructField("_lang", T.StringType()), T.StructField("_sure", T.DoubleType())])
-    return rows.select(*kept).mapInArrow(run, schema).toDF(*names, pred_col, score_col)
+    return rows.select(*kept).mapInArrow(trimmed(run), schema).toDF(*names, pred_col, score_col)

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, part_keys
+from .common import bound_batches, part_keys, trimmed
 
 #: A leaf longer than this is cut behind words chosen by their checksum.
 LONG_LEAF = 400
@@ -194,4 +194,4 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
             kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return ring(docs, id_col=id_col, text_col=text_col).mapInArrow(run, SCHEMA)
+    return ring(docs, id_col=id_col, text_col=text_col).mapInArrow(trimmed(run), SCHEMA)

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, trimmed
 
 #: Words kept with their ids in a worker; beyond, the memory starts anew.
 CACHED_WORDS = 600_000
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer_path: str, *, max_tokens: int = 4096, end_id
                     payload.append(tokens[4 * at : 4 * (at + n)])
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(starts, pa.int64()), pa.array(lengths, pa.int64()), pa.array(totals, pa.int64()), pa.array(payload, pa.binary())], names=["doc_id", "start", "length", "doc_tokens", "ids"])
 
-    cut_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(cut, SCHEMA)
+    cut_rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(trimmed(cut), SCHEMA)
     return cut_rows.withColumns({"bucket": F.bit_count(F.col("length") - 1), "sequence_id": F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
 
 

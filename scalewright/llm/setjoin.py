@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, blocks, bound_batches, buffers, hash_words, mix, part_keys, small, stream
+from .common import Scratch, blocks, bound_batches, buffers, hash_words, mix, part_keys, small, stream, trimmed
 
 WIDTH = 5
 PERCENT = 75
@@ -49,6 +49,8 @@ HUB = 500
 LEADERS = 2
 #: Entries that a task gathers before it deals them out.
 HELD = 1 << 18
+#: Nodes that a task remembers, so as to send them once.
+SEEN = 100_000
 #: Ranges of tokens or nodes in all partitions together that are looked at one at a time, at least.
 RANGES = 1024
 _PART = stream(11, WIDTH) | np.uint64(1)
@@ -198,7 +200,7 @@ def profile(docs: DataFrame, by_line: bool, scratch: Scratch) -> tuple[DataFrame
         parts = [_packed(counts[i : i + _CHUNK]) for i in range(0, COUNTERS, _CHUNK)]
         yield record(chunk=pa.array(range(len(parts)), pa.int32()), data=pa.array(parts, pa.binary()))
 
-    rows = scratch.put(docs.mapInArrow(run, "doc_id long, text_key long, line long, n long, node long, chunk int, part int, sub int, data binary"), "units")
+    rows = scratch.put(docs.mapInArrow(trimmed(run), "doc_id long, text_key long, line long, n long, node long, chunk int, part int, sub int, data binary"), "units")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, entries in _met(batches):
@@ -217,7 +219,7 @@ def profile(docs: DataFrame, by_line: bool, scratch: Scratch) -> tuple[DataFrame
                 sums[chunk] = sums.get(chunk, 0) + _unpacked(data)
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([_packed(x) for x in sums.values()], pa.binary())], names=["chunk", "data"])
 
-    counted = rows.filter("chunk IS NOT NULL").select("chunk", "data").mapInArrow(add, "chunk int, data binary").repartition(COUNTERS // _CHUNK, "chunk").mapInArrow(add, "chunk int, data binary")
+    counted = rows.filter("chunk IS NOT NULL").select("chunk", "data").mapInArrow(trimmed(add), "chunk int, data binary").repartition(COUNTERS // _CHUNK, "chunk").mapInArrow(trimmed(add), "chunk int, data binary")
     counts = np.zeros(COUNTERS, np.int64)
     for r in counted.collect():  # COUNTERS numbers
         counts[r["chunk"] * _CHUNK : (r["chunk"] + 1) * _CHUNK] += _unpacked(r["data"])
@@ -288,7 +290,7 @@ class _Deal:
         return (((values >> np.uint64(32)) * np.uint64(len(self.keys) * self.subs)) >> np.uint64(32)).astype(np.int64)
 
     def shuffled(self, df: DataFrame, function: Callable, schema: str) -> DataFrame:
-        return df.repartition(len(self.keys), "part").sortWithinPartitions("part", "sub").mapInArrow(function, schema)
+        return df.repartition(len(self.keys), "part").sortWithinPartitions("part", "sub").mapInArrow(trimmed(function), schema)
 
     def cut(self, by: np.ndarray, columns: list[np.ndarray], widths: tuple[int, ...]) -> Iterator[tuple[int, int, bytes]]:
         """(part, sub, entries) of the buckets of ``by``; of each column's numbers the low bytes go."""
@@ -373,7 +375,7 @@ def alive(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
         for batch in batches:
             for _, _, s in sets_of(batch, by_line, shared.value):
                 token, unit, kind = s.token, s.unit, s.kind
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 fresh = np.zeros(len(s.node), bool)
                 for i, x in enumerate(s.node.tolist()):
@@ -433,7 +435,7 @@ def alive(docs: DataFrame, table: np.ndarray, by_line: bool) -> DataFrame:
         if pending:
             yield send()
 
-    shares = deal.shuffled(docs.select("doc_id", "text").mapInArrow(run, _BLOB), fits, "key long, c long, length long").groupBy("key").agg(F.sum("c").alias("c"), F.max("length").alias("length"))
+    shares = deal.shuffled(docs.select("doc_id", "text").mapInArrow(trimmed(run), _BLOB), fits, "key long, c long, length long").groupBy("key").agg(F.sum("c").alias("c"), F.max("length").alias("length"))
     return shares.filter(F.col("c") >= _least(F.floor(F.exp(F.col("length") / _STEPS))))
 
 
@@ -476,7 +478,7 @@ def ranked(docs: DataFrame, nodes: DataFrame, table: np.ndarray, by_line: bool,
             for a, b in blocks(np.diff(offsets)):
                 s = token_sets(data, offsets[a : b + 1], False, shared.value)
                 # Rows that repeat id and text come again; here or where they meet, a node's tokens count once.
-                if len(seen) > 500_000:
+                if len(seen) > SEEN:
                     seen.clear()
                 fresh = np.array([not (x in seen or seen.add(x)) for x in s.node.tolist()], bool)
                 node, keep = s.node.view(np.uint64), fresh[s.unit]
@@ -527,7 +529,7 @@ def ranked(docs: DataFrame, nodes: DataFrame, table: np.ndarray, by_line: bool,
                 some = keep[x:y]
                 yield pa.RecordBatch.from_arrays([pa.array(node[begin[some]].view(np.int64)), pa.array(size[some]), pa.array(c[some].astype(np.int64)), pa.array(tokens[x:y], pa.binary())], names=["node", "n", "c", "tokens"])
 
-    once = deal.shuffled(near.mapInArrow(run, _BLOB), count, _BLOB)
+    once = deal.shuffled(near.mapInArrow(trimmed(run), _BLOB), count, _BLOB)
     return scratch.put(deal.shuffled(once, gather, "node long, n long, c long, tokens binary"), "ranked")
 
 
@@ -557,7 +559,7 @@ def prefixes(sets: DataFrame, scratch: Scratch) -> DataFrame:
             place = np.arange(len(of)) - np.repeat(np.cumsum(most) - most, most) + bare[of]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)), pa.array(node[of]), pa.array((n[of] << 32) | place), pa.array((bare / np.maximum(n, 1))[of])], names=["token", "node", "at", "own"])
 
-    return scratch.put(sets.mapInArrow(run, "token long, node long, at long, own double"), "prefixes")
+    return scratch.put(sets.mapInArrow(trimmed(run), "token long, node long, at long, own double"), "prefixes")
 
 
 def may_link(a: Column, b: Column) -> Column:
@@ -644,9 +646,9 @@ def linked(sets: DataFrame, pairs: DataFrame, scratch: Scratch) -> DataFrame:
         if sums:
             yield send()
 
-    parts = sets.select("node", "n", "tokens").join(small(scratch.put(roles, "roles"), 24), "node").select("node", "n", "tokens", "hub", "salt").mapInArrow(cut, "hub long, salt int, fragment int, partner boolean, node long, n long, tokens binary")
+    parts = sets.select("node", "n", "tokens").join(small(scratch.put(roles, "roles"), 24), "node").select("node", "n", "tokens", "hub", "salt").mapInArrow(trimmed(cut), "hub long, salt int, fragment int, partner boolean, node long, n long, tokens binary")
     n_parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    summed = parts.repartition(n_parts, "hub", "salt").sortWithinPartitions("hub", "salt", "fragment", "partner", "node").mapInArrow(count, "a long, b long, na long, nb long, both long")
+    summed = parts.repartition(n_parts, "hub", "salt").sortWithinPartitions("hub", "salt", "fragment", "partner", "node").mapInArrow(trimmed(count), "a long, b long, na long, nb long, both long")
     return summed.filter(100 * F.col("both") >= PERCENT * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, bound_batches, small
+from .common import Scratch, bound_batches, small, trimmed
 
 CRLF = "\r\n"
 END = CRLF + CRLF
@@ -156,7 +156,7 @@ def import_files(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError("a WARC file ends within a record")
 
     bound_batches(spark)
-    return spark.read.option("lineSep", END).text(path).mapInArrow(run, RECORD)
+    return spark.read.option("lineSep", END).text(path).mapInArrow(trimmed(run), RECORD)
 
 
 def read_records(records: DataFrame) -> DataFrame:
