@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from ..functions.geometry import euclid, great_circle, position
 from .grids import CARTESIAN, SPHERICAL
 
+#: Times that a cube as wide as the reach is halved in the search for nearest points, at most.
+LEVELS = 24
+
 
 @dataclass(frozen=True)
 class Points:
@@ -53,52 +56,110 @@ class Points:
             return c
         return list(position(c[0], c[1], c[2] if len(c) == 3 else self.radius))
 
-    def edges(self, df: DataFrame, reach: float, *, batch: Sequence[str] = (), targets: DataFrame | None = None) -> DataFrame:
-        """(batch, t_keys, s_keys, d, delta) of all pairs within ``reach``, each point with itself included.
-
-        Space is cut into cubes as wide as ``reach``; a target looks into its own cube
-        and those around it, so the join is on equal cubes and its size follows the
-        density of points. ``delta`` is the array of coordinate differences, source less
-        target, over the seam where that is nearer. Coordinates must not be null.
-        """
+    def _cube(self, reach: float) -> float:
+        """The side of cubes of which those around a point's own hold all within ``reach``."""
         if not (math.isfinite(reach) and reach > 0):
             raise ValueError("the reach must be positive and finite")
         chord = reach
         if self.spherical and self.rank == 2:
             chord = 2 * self.radius * math.sin(min(reach / (2 * self.radius), math.pi / 2))
-        cube = max(chord, 1e-12) * (1 + 1e-9)
-        keys = list(self.keys)
-        source = df.select(*batch, *(F.col(k).alias(f"s_{k}") for k in keys), *(F.col(c).cast("double").alias(f"s{d}") for d, c in enumerate(self.coords)))
-        target = (df if targets is None else targets).select(*batch, *(F.col(k).alias(f"t_{k}") for k in keys), *(F.col(c).cast("double").alias(f"t{d}") for d, c in enumerate(self.coords)))
+        return max(chord, 1e-12) * (1 + 1e-9)
+
+    def _side(self, df: DataFrame, side: str, batch: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+        """Rows of sources (s) or targets (t): keys, coordinates and ``more`` with the side before their names."""
+        return df.select(*batch, *(F.col(k).alias(f"{side}_{k}") for k in self.keys), *(F.col(c).cast("double").alias(f"{side}{d}") for d, c in enumerate(self.coords)), *more)
+
+    def _images(self, source: DataFrame, reach: float) -> DataFrame:
         for d, p in enumerate(self.period or ()):
             if p is not None and not self.spherical:
                 images = math.ceil(reach / p)
                 source = source.withColumn("_image", F.explode(F.sequence(F.lit(-images), F.lit(images)))).withColumn(f"s{d}", F.col(f"s{d}") + F.col("_image") * p).drop("_image")
+        return source
 
-        def flat(side: str) -> list[Column]:
-            return replace_coords(self, side)._flat()
-
-        source = source.withColumns({f"b{k}": F.floor(x / cube) for k, x in enumerate(flat("s"))})
-        own = flat("t")
-        around = F.explode(F.array(*(F.struct(*(F.lit(s).alias(f"o{k}") for k, s in enumerate(shift))) for shift in product((-1, 0, 1), repeat=len(own)))))
-        target = target.withColumns({f"c{k}": F.floor(x / cube) for k, x in enumerate(own)}).withColumn("o", around)
-        target = target.withColumns({f"b{k}": F.col(f"c{k}") + F.col(f"o.o{k}") for k in range(len(own))}).drop("o", *(f"c{k}" for k in range(len(own))))
-        joined = target.join(source, [*batch, *(f"b{k}" for k in range(len(own)))])
+    def _within(self, joined: DataFrame, limit: Column, batch: Sequence[str], more: Sequence[str] = ()) -> DataFrame:
+        """Of joined targets and sources those within ``limit``, with d and delta."""
+        keys = self.keys
         if self.spherical:
-            d = great_circle(F.col("t0"), F.col("t1"), F.col("s0"), F.col("s1"), self.radius) if self.rank == 2 else euclid(*(a - b for a, b in zip(flat("t"), flat("s"), strict=True)))
+            flat = [replace_coords(self, side)._flat() for side in "ts"]
+            d = great_circle(F.col("t0"), F.col("t1"), F.col("s0"), F.col("s1"), self.radius) if self.rank == 2 else euclid(*(a - b for a, b in zip(*flat, strict=True)))
         else:
             d = euclid(*(F.col(f"s{k}") - F.col(f"t{k}") for k in range(self.rank)))
         delta = [F.col(f"s{k}") - F.col(f"t{k}") for k in range(self.rank)]
         if self.spherical:
             turn = 2 * math.pi
             delta[0] = delta[0] - turn * F.round(delta[0] / turn)
-        found = joined.withColumn("d", d).filter(F.col("d") <= reach)
-        return found.select(*batch, *(f"t_{k}" for k in keys), *(f"s_{k}" for k in keys), "d", F.array(*delta).alias("delta"))
+        found = joined.withColumn("d", d).filter(F.col("d") <= limit)
+        return found.select(*batch, *(f"t_{k}" for k in keys), *(f"s_{k}" for k in keys), "d", F.array(*delta).alias("delta"), *more)
+
+    def edges(self, df: DataFrame, reach: float, *, batch: Sequence[str] = (), targets: DataFrame | None = None, carry: Sequence[str] = ()) -> DataFrame:
+        """(batch, t_keys, s_keys, d, delta) of all pairs within ``reach``, each point with itself included.
+
+        Space is cut into cubes as wide as ``reach``; a target looks into its own cube
+        and those around it, so the join is on equal cubes and its size follows the
+        density of points. ``delta`` is the array of coordinate differences, source less
+        target, over the seam where that is nearer. Coordinates must not be null. Columns
+        to ``carry`` come along from the source.
+        """
+        cube = self._cube(reach)
+        source = self._images(self._side(df, "s", batch, carry), reach)
+        target = self._side(df if targets is None else targets, "t", batch)
+        source = source.withColumns({f"b{k}": F.floor(x / cube) for k, x in enumerate(replace_coords(self, "s")._flat())})
+        own = replace_coords(self, "t")._flat()
+        around = F.explode(F.array(*(F.struct(*(F.lit(s).alias(f"o{k}") for k, s in enumerate(shift))) for shift in product((-1, 0, 1), repeat=len(own)))))
+        target = target.withColumns({f"c{k}": F.floor(x / cube) for k, x in enumerate(own)}).withColumn("o", around)
+        target = target.withColumns({f"b{k}": F.col(f"c{k}") + F.col(f"o.o{k}") for k in range(len(own))}).drop("o", *(f"c{k}" for k in range(len(own))))
+        joined = target.join(source, [*batch, *(f"b{k}" for k in range(len(own)))])
+        return self._within(joined, F.lit(reach), batch, carry)
 
     def nearest(self, df: DataFrame, k: int, reach: float, *, batch: Sequence[str] = ()) -> DataFrame:
-        """The k nearest others of each point within ``reach``, with their rank; ties go to smaller keys."""
-        others = self.edges(df, reach, batch=batch).filter(~reduce(lambda a, b: a & b, (F.col(f"t_{c}") == F.col(f"s_{c}") for c in self.keys)))
-        by = Window.partitionBy(*batch, *(f"t_{c}" for c in self.keys)).orderBy("d", *(f"s_{c}" for c in self.keys))
+        """The k nearest others of each point within ``reach``, with their rank; ties go to smaller keys.
+
+        Cubes as wide as ``reach`` are halved up to ``LEVELS`` times. A point looks around in
+        cubes of the finest level on which its own holds more than k points: k others are
+        within a cube's diagonal, so none nearer is farther off, however wide the reach. If
+        already the widest holds no more than k, it looks through the reach. At a place
+        with many points only the k + 1 smallest keys can be among a point's nearest. So
+        work follows the number of points, not of pairs, unless more than k places lie in
+        one cube of the finest level. Points with coordinates that are null or not finite have no neighbours.
+        """
+        keys, cube = list(self.keys), self._cube(reach)
+        dims = range(len(self._flat()))
+        apart = math.sqrt(len(dims)) + 0.1  # A diagonal in cubes, with room for rounding; less than 2.
+        at, cells = [f"_y{m}" for m in dims], ["_fine", *(f"_b{m}" for m in dims)]
+        levels = F.explode(F.array(*(F.lit(1 << n) for n in range(LEVELS + 1))))
+
+        def placed(rows: DataFrame, side: str) -> DataFrame:
+            rows = rows.withColumns({f"_y{m}": x / cube for m, x in enumerate(replace_coords(self, side)._flat())})
+            return rows.filter(reduce(lambda a, b: a & b, (F.abs(y) < math.inf for y in at)))
+
+        def in_cells(rows: DataFrame) -> DataFrame:
+            return rows.withColumns({f"_b{m}": F.floor(F.col(y) * F.col("_fine")) for m, y in enumerate(at)})
+
+        target, source = placed(self._side(df, "t", batch), "t"), self._side(df, "s", batch)
+        spot, whole = [f"s{d}" for d in range(self.rank)], reduce(lambda a, b: a & b, (F.col(f"s_{c}").isNotNull() for c in keys))
+        source = source.withColumn("_whole", whole)
+        source = source.withColumn("_first", F.dense_rank().over(Window.partitionBy(*batch, *spot, "_whole").orderBy(*(f"s_{c}" for c in keys)))).filter(F.col("_first") <= k + 1).drop("_first")
+
+        # Beyond 2^44 cubes from the origin rounding would count: there levels are coarser.
+        sound = (F.col("_fine") == 1) | reduce(lambda a, b: a & b, (F.abs(F.col(y) * F.col("_fine")) < float(1 << 44) for y in at))
+        counted = in_cells(placed(source.filter("_whole"), "s").withColumn("_fine", levels).filter(sound))
+        full = counted.select(*batch, *cells, *(f"s_{c}" for c in keys)).distinct().groupBy(*batch, *cells).count().filter(F.col("count") > k).drop("count")
+        tried = in_cells(target.select(*batch, *at).distinct().withColumn("_fine", levels).filter(sound))
+        finest = tried.join(full, [*batch, *cells]).groupBy(*batch, *at).agg(F.max("_fine").alias("_fine"))
+
+        target = in_cells(target.join(finest, [*batch, *at], "left").withColumn("_fine", F.coalesce("_fine", F.lit(1))))
+        around = F.explode(F.array(*(F.struct(*(F.lit(s).alias(f"o{m}") for m, s in enumerate(shift))) for shift in product(range(-2, 3), repeat=len(dims)))))
+        target = target.withColumn("_o", around).withColumns({f"_b{m}": F.col(f"_b{m}") + F.col(f"_o.o{m}") for m in dims})
+        gaps = [F.greatest(F.col(f"_b{m}") - F.col(y) * F.col("_fine"), F.col(y) * F.col("_fine") - F.col(f"_b{m}") - 1, F.lit(0.0)) for m, y in enumerate(at)]
+        target = target.filter(reduce(lambda a, b: a + b, (g * g for g in gaps)) <= apart * apart).drop("_o", *at)
+        source = in_cells(placed(self._images(source.drop("_whole"), reach), "s").withColumn("_fine", levels)).drop(*at)
+
+        limit = apart * cube / F.col("_fine")
+        if self.spherical and self.rank == 2:
+            limit = 2 * self.radius * F.asin(F.least(F.lit(1.0), limit / (2 * self.radius)))
+        joined = target.join(source, [*batch, *cells]).filter(~reduce(lambda a, b: a & b, (F.col(f"t_{c}") == F.col(f"s_{c}") for c in keys)))
+        others = self._within(joined, F.least(F.lit(float(reach)), limit), batch)
+        by = Window.partitionBy(*batch, *(f"t_{c}" for c in keys)).orderBy("d", *(f"s_{c}" for c in keys))
         return others.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= k)
 
     def gradient(self, df: DataFrame, edges: DataFrame, columns: Sequence[str], *, batch: Sequence[str] = (), active: str | None = None) -> DataFrame:

@@ -2,9 +2,11 @@
 
 import math
 from dataclasses import replace
+from functools import reduce
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from scalewright import DEFORMABLE, ZEROFILL, Axis, Gaussian, Grid, HighOrder, Points, Setting, SmoothHat, TopHat, check_setup, choose_engine, coarse_grain, coarse_grain_profile, coarse_grain_slices, filter_field, filter_slices
@@ -286,3 +288,53 @@ def test_methods_of_a_sweep(spark):
         coarse_grain(df, grid, [2.0], kernel=Gaussian(), batch=["t"], method="other")
     bounded = coarse_grain(df, Grid.box(8, 6), [2.0], kernel=Gaussian(), batch=["t"], method="auto").flux
     assert bounded.filter("scale = 2.0").count() == 96
+
+
+def _joined_rows(df):
+    """Rows that the joins of a DataFrame put out when it is collected, and the rows."""
+    rows = df.collect()
+    plans, made = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        plan = plans.pop()
+        name = plan.getClass().getSimpleName()
+        if name == "AdaptiveSparkPlanExec":
+            plans.append(plan.executedPlan())
+        elif name.endswith("QueryStageExec"):
+            plans.append(plan.plan())
+        elif "Join" in name:
+            made += plan.metrics().apply("numOutputRows").value()
+        children = plan.children()
+        plans += [children.apply(n) for n in range(children.size())]
+    return made, rows
+
+
+def test_nearest_takes_clusters_copies_and_gaps_without_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    xy = np.concatenate([rng.uniform(0, 1000, (700, 2)), 500 + rng.normal(0, 0.01, (400, 2)).round(3), np.repeat([[250.0, 250.0]], 400, 0), [[90000.0, 90000.0], [-3000.0, 70.5]]])
+    node = rng.permutation(len(xy))
+    rows = [(int(n), float(x), float(y)) for n, (x, y) in zip(node, xy, strict=True)]
+    df = spark.createDataFrame([*rows, (9001, None, 1.0), (9002, math.nan, 1.0), (9003, math.inf, 1.0)], "node long, x double, y double")
+    made, got = _joined_rows(Points().nearest(df, 3, 50000.0).select("t_node", "rank", "s_node", "d"))
+    want = []
+    for n, p in zip(node, xy, strict=True):
+        dx, dy = xy[:, 0] - p[0], xy[:, 1] - p[1]
+        d = np.sqrt(dx * dx + dy * dy)
+        order = [k for k in np.lexsort((node, d)) if node[k] != n and d[k] <= 50000.0][:3]
+        want += [(int(n), r, int(node[k]), float(d[k])) for r, k in enumerate(order, 1)]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert made < 600 * len(rows)
+
+
+@pytest.mark.parametrize("points", [Points(period=(100.0, None)), Points(period=(30.0, 40.0)), Points(coords=("x", "y", "z")), Points(geometry="spherical", radius=100.0), Points(coords=("x", "y", "z"), geometry="spherical"), Points(keys=("node", "b"))], ids=str)
+def test_nearest_equals_ranked_edges(spark, points):
+    """On seams, spheres, in three dimensions, with repeated rows and slices: the first of all edges by distance and key."""
+    turn = F.lit(2 * math.pi / 100 if points.spherical else 1.0)
+    at = lambda a, m: F.pmod(F.col("id") * a, F.lit(m)).cast("double") * turn
+    df = spark.range(160).select((F.col("id") % 150).alias("node"), (F.col("id") % 2).alias("b"), F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 2).alias("t"), at(37, 97).alias("x"), (at(11, 23) - 11 * turn).alias("y"), (at(5, 13) + 20).alias("z"))
+    reach = 60.0
+    keys = list(points.keys)
+    edges = points.edges(df, reach, batch=["t"]).filter(~reduce(lambda a, b: a & b, (F.col(f"t_{c}") == F.col(f"s_{c}") for c in keys)))
+    by = Window.partitionBy("t", *(f"t_{c}" for c in keys)).orderBy("d", *(f"s_{c}" for c in keys))
+    want = edges.withColumn("rank", F.row_number().over(by)).filter("rank <= 4")
+    columns = ["t", *(f"t_{c}" for c in keys), "rank", *(f"s_{c}" for c in keys), "d"]
+    assert sorted(map(tuple, points.nearest(df, 4, reach, batch=["t"]).select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
