@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import setjoin
 from .common import Scratch, bare, column_at, small
 
+#: Leaders of a token's largest component that a node outside it is tried with at a time.
+MET = 8
+#: Times that it is, at most, before all pairs that are left.
+TRIES = 3
+
 
 def _labels(sets: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, label) of the nodes that link with another: the least node of the component."""
@@ -18,23 +23,54 @@ def _labels(sets: DataFrame, scratch: Scratch) -> DataFrame:
     edges = scratch.put(setjoin.linked(sets, tried, scratch), "links")
     labels = setjoin.components(edges, scratch)
 
-    # Tokens whose nodes lie in several components: nodes outside the largest meet all others.
-    with_label = scratch.put(rows.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
-    counted = with_label.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
-    several = scratch.put(counted.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main")), "several")
-    apart = scratch.put(with_label.join(small(several), "token"), "apart")
+    # Nodes outside a token's largest component meet the few of it with the least share of own
+    # tokens: leaders may have been ill chosen, and a link to one of a group spares all others.
+    for _ in range(TRIES):
+        apart = _apart(rows, labels, scratch)
+        if apart.isEmpty():
+            return labels
+        met = setjoin.leading(_met_leaders(apart).join(_ways(tried), ["a", "b"], "left_anti"), MET)
+        new = scratch.put(met, "pairs")
+        more = scratch.put(setjoin.linked(sets, new, scratch), "links")
+        tried = tried.select("a", "b").unionAll(new)
+        if more.isEmpty():
+            break
+        edges = edges.unionAll(more)
+        labels = setjoin.components(edges, scratch)
+    else:
+        apart = _apart(rows, labels, scratch)
+
+    # Then they meet all others that still lie elsewhere.
     one = apart.filter("label <> main").select("token", F.col("node").alias("a"), F.col("at").alias("a_at"), F.col("label").alias("a_label"))
     other = apart.select(F.col("token").alias("t"), F.col("node").alias("b"), F.col("at").alias("b_at"), F.col("label").alias("b_label"), "main")
     meet = (F.col("token") == F.col("t")) & (F.col("a_label") != F.col("b_label")) & ((F.col("b_label") == F.col("main")) | (F.col("a") < F.col("b"))) & setjoin.may_link(F.col("a_at"), F.col("b_at"))
     found = setjoin.candidates(one.join(other, meet))
-    before = tried.select("a", "b").unionAll(tried.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    new = scratch.put(found.join(before, ["a", "b"], "left_anti"), "pairs")
+    new = scratch.put(found.join(_ways(tried), ["a", "b"], "left_anti"), "pairs")
     if new.isEmpty():
         return labels
     more = scratch.put(setjoin.linked(sets, new, scratch), "links")
     return labels if more.isEmpty() else setjoin.components(edges.union(more), scratch)
 
 
+def _apart(rows: DataFrame, labels: DataFrame, scratch: Scratch) -> DataFrame:
+    """The rows of tokens whose nodes lie in several components, with label and main, the token's largest component."""
+    with_label = scratch.put(rows.join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+    counted = with_label.groupBy("token", "label").agg(F.count(F.lit(1)).alias("c"))
+    several = scratch.put(counted.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.count(F.lit(1)).alias("k")).filter("k > 1").select("token", F.col("m.label").alias("main")), "several")
+    return scratch.put(with_label.join(small(several), "token"), "apart")
+
+
+def _met_leaders(apart: DataFrame) -> DataFrame:
+    """Rows (a, b, a_at, b_at): each b outside its token's largest component beside the token's MET leaders a of it."""
+    first = F.row_number().over(Window.partitionBy("token").orderBy("own", "node"))
+    lead = apart.filter("label = main").withColumn("k", first).filter(F.col("k") <= MET).select("token", F.col("node").alias("a"), F.col("at").alias("a_at"))
+    return apart.filter("label <> main").select("token", F.col("node").alias("b"), F.col("at").alias("b_at")).join(lead, "token")
+
+
+def _ways(pairs: DataFrame) -> DataFrame:
+    return pairs.select("a", "b").unionAll(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
+
+
 def _grouped(docs: DataFrame, id_col: str, text_col: str, scratch: Scratch) -> DataFrame:
     """The units of ``docs`` with the label of their component, null for texts without a word."""
     rows = setjoin.input_of(docs, id_col, text_col)
@@ -47,8 +83,8 @@ def component_rows(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     """doc_id, n_shingles, node, component_id for every row.
 
     The set of a document, and when two link, is said in ``setjoin``. Components are
-    those of the links: first each node is tried with leaders of its tokens; then all
-    pairs that still lie in different components. ``component_id`` is the smallest id in
+    those of the links: first each node is tried with leaders of its tokens; then with
+    leaders of their largest components; then all pairs that still lie in different components. ``component_id`` is the smallest id in
     the component. Texts without a word have size 0 and stay alone; ids may be null
     (ignored for the smallest) or repeat (each row is judged by its text); other columns
     are ignored, whatever their names; an empty table gives no rows. Equal sets are one
