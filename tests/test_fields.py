@@ -14,6 +14,7 @@ from scalewright.operators import diagnostics as D
 from scalewright.operators import spectral as S
 from scalewright.operators import tiles
 from scalewright.operators.derivatives import derivatives
+from scalewright.queries import QUERIES
 from scalewright.sources import corner_areas, hull_areas
 
 
@@ -338,3 +339,11 @@ def test_nearest_equals_ranked_edges(spark, points):
     want = edges.withColumn("rank", F.row_number().over(by)).filter("rank <= 4")
     columns = ["t", *(f"t_{c}" for c in keys), "rank", *(f"s_{c}" for c in keys), "d"]
     assert sorted(map(tuple, points.nearest(df, 4, reach, batch=["t"]).select(*columns).collect())) == sorted(map(tuple, want.select(*columns).collect()))
+
+
+def test_node_flux_does_not_join_all_pairs(spark, tmp_path):
+    n = 1500
+    rows = spark.range(n).select(F.col("id").alias("s_suppkey"), (F.col("id") % 25).cast("int").alias("s_nationkey"), (F.pmod(F.col("id") * 104729, F.lit(1099800)) / 100 - 999).alias("s_acctbal"))
+    rows.write.parquet(str(tmp_path / "supplier.parquet"))
+    made, got = _joined_rows(QUERIES["pi_nodes"](spark, str(tmp_path)))
+    assert len(got) == n and made < n * n / 2
