@@ -246,16 +246,21 @@ def as_points(grid: Grid) -> Points:
 
 
 def _ball(df, space, kernel, scale, exprs, batch, strategy, active, edges=None):
-    """Join by distance, weights by kernel and measure."""
+    """Join by distance, weights by kernel and measure; a top-hat on Cartesian points is summed by blocks instead."""
     if isinstance(space, Grid):
         df = df.withColumns({f"_c{d}": space.coord(d) for d in range(space.rank)} | {"_area": space.measure()})
         space = as_points(space)
     keys = list(space.keys)
     values, on = _masked(df, exprs, active)
-    if edges is None:
-        edges = space.edges(df, kernel.radius(scale), batch=batch)
-    source = df.select(*batch, *(F.col(k).alias(f"s_{k}") for k in keys), space.measure().alias("_area"), on.alias("_m"), *values)
-    joined = edges.join(source, [*batch, *(f"s_{k}" for k in keys)])
+    carried = [space.measure().alias("_area"), on.alias("_m"), *values]
+    names = ["_area", "_m", *(f"_e{n}" for n in range(len(values)))]
+    if edges is None:  # Values come along with the pairs: to join them by key afterwards would shuffle every pair.
+        rows = df.select(*dict.fromkeys([*batch, *keys, *(c for c in space.coords if c not in names)]), *carried)
+        if isinstance(kernel, TopHat) and not space.spherical:
+            return _finish(tiles.ball_sums(rows, space, kernel.radius(scale), len(values), batch=batch, active=active), [*batch, *keys], list(exprs), strategy, active)
+        joined = space.edges(rows, kernel.radius(scale), batch=batch, carry=names)
+    else:
+        joined = edges.join(df.select(*batch, *(F.col(k).alias(f"s_{k}") for k in keys), *carried), [*batch, *(f"s_{k}" for k in keys)])
     own = F.lit(True)
     for k in keys:
         own = own & (F.col(f"t_{k}") == F.col(f"s_{k}"))

@@ -19,11 +19,14 @@ from pyspark.sql import types as T
 
 from ..functions.kernels import Kernel, TopHat, check_scale
 from ..sources.grids import Grid
+from ..sources.points import Points
 
 #: Cells of a tile without its margin, about; a tile never has fewer rows than its margin.
 TILE_CELLS = 500_000
 #: Cells of a tile with its margin that one task may hold.
 MAX_CELLS = 1 << 24
+#: Pairs of points whose distances are taken together, at least one target's; they should fit in a core's cache.
+PAIRS = 1 << 17
 
 
 def fits(grid: Grid, kernel: Kernel, scale: float) -> bool:
@@ -164,3 +167,55 @@ def tiled_filter(df: DataFrame, grid: Grid, kernel: Kernel, scale: float, exprs:
         return pa.Table.from_arrays(columns, names=[f.name for f in fields])
 
     return dealt.groupBy(*batch, "_tile").applyInArrow(run, T.StructType(fields))
+
+
+def within(targets: np.ndarray, sources: np.ndarray, values: np.ndarray, reach: float) -> np.ndarray:
+    """Sums of the values of the sources within ``reach`` of each target, by straight distance."""
+    order, back = np.argsort(sources[:, 0], kind="stable"), np.argsort(targets[:, 0], kind="stable")
+    sources, values, targets = sources[order], values[order], targets[back]
+    finite = np.isfinite(values).all(axis=1)
+    sound = np.where(finite[:, None], values, 0.0)
+    out = np.zeros((len(targets), values.shape[1]))
+    step = max(1, min(128, PAIRS // max(1, len(sources))))
+    for i in range(0, len(targets), step):
+        part = targets[i : i + step]
+        wide = reach * (1 + 1e-6) + 1e-12 * max(abs(part[0, 0]), abs(part[-1, 0]))
+        low, high = np.searchsorted(sources[:, 0], part[0, 0] - wide), np.searchsorted(sources[:, 0], part[-1, 0] + wide, "right")
+        square = np.zeros((len(part), high - low))
+        for d in range(sources.shape[1]):
+            gap = sources[low:high, d] - part[:, d, None]
+            gap *= gap
+            square += gap
+        near = np.sqrt(square, out=square) <= reach
+        sums = near.astype(float) @ sound[low:high]
+        for k in low + np.flatnonzero(~finite[low:high]):
+            sums[near[:, k - low]] += values[k]
+        out[back[i : i + step]] = sums
+    return out
+
+
+def ball_sums(rows: DataFrame, space: Points, reach: float, count: int, *, batch: Sequence[str] = (), active: str | None = None) -> DataFrame:
+    """Sums over the ball around each Cartesian point, equally weighted by distance: keys, _e*, _all, _on and _here.
+
+    ``rows`` hold keys, coordinates, a measure _area, a mask _m and ``count`` values _e*. A
+    task takes a cube's points and those around at once, so pairs are not rows.
+    """
+    names = ["_area", "_m", *(f"_e{n}" for n in range(count))]
+    dealt = space.blocks(rows, reach, batch=batch, carry=names)
+    keys, cells = [*batch, *space.keys], [*batch, *(f"b{d}" for d in range(space.rank))]
+    sums = [*(f"_e{n}" for n in range(count)), "_all", "_on"]
+    kinds = {f.name: f.dataType for f in dealt.schema}
+    schema = T.StructType([*(T.StructField(c, kinds[c]) for c in keys), T.StructField("_here", T.BooleanType()), *(T.StructField(c, T.DoubleType()) for c in sums)])
+
+    def run(table: pa.Table) -> pa.Table:
+        own = table.filter(table.column("_own"))
+        if not len(own):
+            return pa.Table.from_pylist([], schema=pa.schema([*(table.schema.field(c) for c in keys), ("_here", pa.bool_()), *((c, pa.float64()) for c in sums)]))
+        place = lambda t: np.column_stack([t.column(f"x{d}").to_numpy() for d in range(space.rank)])
+        area = table.column("_area").fill_null(0.0).to_numpy()
+        values = [area * table.column(f"_e{n}").fill_null(0.0).to_numpy() for n in range(count)]
+        mask = table.column("_m").fill_null(False).to_numpy()
+        got = within(place(own), place(table), np.column_stack([*values, area, np.where(mask, area, 0.0)]), reach)
+        return pa.Table.from_arrays([*(own.column(c) for c in keys), own.column("_m"), *(pa.array(got[:, n]) for n in range(len(sums)))], names=[*keys, "_here", *sums])
+
+    return dealt.groupBy(*cells).applyInArrow(run, schema).groupBy(*keys).agg(F.max("_here").alias("_here"), *(F.sum(c).alias(c) for c in sums))

@@ -69,6 +69,10 @@ class Points:
         """Rows of sources (s) or targets (t): keys, coordinates and ``more`` with the side before their names."""
         return df.select(*batch, *(F.col(k).alias(f"{side}_{k}") for k in self.keys), *(F.col(c).cast("double").alias(f"{side}{d}") for d, c in enumerate(self.coords)), *more)
 
+    def _dealt(self, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+        """Rows dealt by keys over twice as many tasks as there are cores: a small file would be one task, and the work is in its pairs."""
+        return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
     def _images(self, source: DataFrame, reach: float) -> DataFrame:
         for d, p in enumerate(self.period or ()):
             if p is not None and not self.spherical:
@@ -102,7 +106,7 @@ class Points:
         """
         cube = self._cube(reach)
         source = self._images(self._side(df, "s", batch, carry), reach)
-        target = self._side(df if targets is None else targets, "t", batch)
+        target = self._dealt(self._side(df if targets is None else targets, "t", batch), [*batch, *(f"t_{k}" for k in self.keys)])
         source = source.withColumns({f"b{k}": F.floor(x / cube) for k, x in enumerate(replace_coords(self, "s")._flat())})
         own = replace_coords(self, "t")._flat()
         around = F.explode(F.array(*(F.struct(*(F.lit(s).alias(f"o{k}") for k, s in enumerate(shift))) for shift in product((-1, 0, 1), repeat=len(own)))))
@@ -111,6 +115,22 @@ class Points:
         joined = target.join(source, [*batch, *(f"b{k}" for k in range(len(own)))])
         return self._within(joined, F.lit(reach), batch, carry)
 
+    def blocks(self, df: DataFrame, reach: float, *, batch: Sequence[str] = (), carry: Sequence[str] = ()) -> DataFrame:
+        """Rows by cubes (b0..) as wide as ``reach``: each in its own cube, where ``_own`` is true, and in those around.
+
+        So a cube's rows hold all that are within reach of its own ones. Coordinates are
+        x0.., keys and ``carry`` keep their names. Points with coordinates that are null or not finite are left out.
+        """
+        if self.spherical:
+            raise ValueError("blocks serve Cartesian points")
+        cube, dims = self._cube(reach), range(self.rank)
+        rows = self._side(df, "s", batch, carry)
+        rows = rows.filter(reduce(lambda a, b: a & b, [F.abs(f"s{k}") < math.inf for k in dims] + [F.col(c).isNotNull() for c in batch]))
+        rows = self._images(rows.withColumns({f"h{k}": F.col(f"s{k}") for k in dims}), reach)
+        around = F.explode(F.array(*(F.struct(*(F.lit(s).alias(f"o{k}") for k, s in enumerate(shift))) for shift in product((-1, 0, 1), repeat=self.rank))))
+        own = reduce(lambda a, b: a & b, ((F.col(f"s{k}") == F.col(f"h{k}")) & (F.col(f"o.o{k}") == 0) for k in dims))
+        return rows.withColumn("o", around).select(*batch, *((F.floor(F.col(f"s{k}") / cube) + F.col(f"o.o{k}")).alias(f"b{k}") for k in dims), own.alias("_own"), *(F.col(f"s_{k}").alias(k) for k in self.keys), *(F.col(f"s{k}").alias(f"x{k}") for k in dims), *carry)
+
     def nearest(self, df: DataFrame, k: int, reach: float, *, batch: Sequence[str] = ()) -> DataFrame:
         """The k nearest others of each point within ``reach``, with their rank; ties go to smaller keys.
 
@@ -142,14 +162,14 @@ class Points:
 
         # Beyond 2^44 cubes from the origin rounding would count: there levels are coarser.
         sound = (F.col("_fine") == 1) | reduce(lambda a, b: a & b, (F.abs(F.col(y) * F.col("_fine")) < float(1 << 44) for y in at))
-        counted = in_cells(placed(source.filter("_whole"), "s").withColumn("_fine", levels).filter(sound))
+        counted = in_cells(placed(self._dealt(source.filter("_whole"), [*batch, *spot]), "s").withColumn("_fine", levels).filter(sound))
         full = counted.select(*batch, *cells, *(f"s_{c}" for c in keys)).distinct().groupBy(*batch, *cells).count().filter(F.col("count") > k).drop("count")
         tried = in_cells(target.select(*batch, *at).distinct().withColumn("_fine", levels).filter(sound))
         finest = tried.join(full, [*batch, *cells]).groupBy(*batch, *at).agg(F.max("_fine").alias("_fine"))
 
         target = in_cells(target.join(finest, [*batch, *at], "left").withColumn("_fine", F.coalesce("_fine", F.lit(1))))
         around = F.explode(F.array(*(F.struct(*(F.lit(s).alias(f"o{m}") for m, s in enumerate(shift))) for shift in product(range(-2, 3), repeat=len(dims)))))
-        target = target.withColumn("_o", around).withColumns({f"_b{m}": F.col(f"_b{m}") + F.col(f"_o.o{m}") for m in dims})
+        target = self._dealt(target, [*batch, *(f"t_{c}" for c in keys)]).withColumn("_o", around).withColumns({f"_b{m}": F.col(f"_b{m}") + F.col(f"_o.o{m}") for m in dims})
         gaps = [F.greatest(F.col(f"_b{m}") - F.col(y) * F.col("_fine"), F.col(y) * F.col("_fine") - F.col(f"_b{m}") - 1, F.lit(0.0)) for m, y in enumerate(at)]
         target = target.filter(reduce(lambda a, b: a + b, (g * g for g in gaps)) <= apart * apart).drop("_o", *at)
         source = in_cells(placed(self._images(source.drop("_whole"), reach), "s").withColumn("_fine", levels)).drop(*at)

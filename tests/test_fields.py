@@ -347,3 +347,27 @@ def test_node_flux_does_not_join_all_pairs(spark, tmp_path):
     rows.write.parquet(str(tmp_path / "supplier.parquet"))
     made, got = _joined_rows(QUERIES["pi_nodes"](spark, str(tmp_path)))
     assert len(got) == n and made < n * n / 2
+
+
+@pytest.mark.parametrize("period", [None, (40.0, None)], ids=str)
+@pytest.mark.parametrize("strategy", ["zerofill", "deformable"])
+def test_top_hat_on_nodes_joins_no_pairs(spark, period, strategy):
+    """Sums by blocks give what a direct sum gives: seams, masks, gaps, repeated rows and values that are null or not finite."""
+    rng = np.random.default_rng(8)
+    at = rng.uniform(-30, 30, (300, 2)) if period is None else rng.uniform(0, 40, (300, 2))
+    rows = [(n % 290, float(x), float(y), None if n % 41 == 0 else math.inf if n == 7 else float(n % 9), float(n % 4), n % 6 > 0) for n, (x, y) in enumerate(at)]
+    df = spark.createDataFrame([*rows, (900, None, 1.0, 1.0, 1.0, True), (901, math.nan, 1.0, 1.0, 1.0, True), (902, 9000.0, 1.0, 5.0, 1.0, True)], "node long, x double, y double, f double, area double, on boolean")
+    made, got = _joined_rows(filter_field(df, Points(period=period), TopHat(), 12.0, "f", strategy=strategy, active="on"))
+    want = {}
+    for n, x, y, _, _, on in [*rows, (902, 9000.0, 1.0, 5.0, 1.0, True)]:
+        top, bottom, here = want.get(n, (0.0, 0.0, False))
+        for _, a, b, f, area, live in [*rows, (902, 9000.0, 1.0, 5.0, 1.0, True)]:
+            for turn in (-1, 0, 1) if period else (0,):
+                if math.sqrt((a + turn * 40.0 - x) ** 2 + (b - y) ** 2) <= 6.0:
+                    top += area * f if live and f is not None else 0.0
+                    bottom += area if live or strategy == "zerofill" else 0.0
+        want[n] = (top, bottom, here or on)
+    assert made == 0 and {r.node for r in got} == set(want)
+    for r in got:
+        top, bottom, here = want[r.node]
+        assert r.f == pytest.approx(top / bottom if here and bottom else 0.0)
