@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import numpy as np
@@ -18,21 +18,34 @@ CACHED_WORDS = 600_000
 #: Characters that Python's split() takes as white space and the tokenizer does not.
 _ODD = re.compile("[\x1c-\x1f]").search
 
-#: A character that is a pretoken and a token by itself.
-_STOP = "\x02"
+#: Characters by which byte-level tokenizers write those bytes that have no mark of their own.
+_BYTES = dict(zip([*range(0x21), *range(0x7F, 0xA1), 0xAD], range(0x100, 0x144), strict=True))
 #: Letters that lower to one letter each and are in composed form, then marks.
 _SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,|!?;:%$#&*]*)").fullmatch
 
 SCHEMA = "doc_id long, start long, length long, doc_tokens long, ids binary"
 
 
+class _Memory(dict):
+    """Results of a function by argument, each made when first asked for."""
+
+    def __init__(self, make: Callable[[str], bytes]) -> None:
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key: str) -> bytes:
+        out = self[key] = self.make(key)
+        return out
+
+
 class WordEncoder:
     """Ids of texts by a tokenizer that lowers case and whose pretokens never span white space.
 
     Such a tokenizer gives a text the joined ids of its white-space separated words, so
     each distinct word is encoded once and remembered. A word of Latin letters with
     marks behind is two pretokens, the letters in lower case and the marks, which are
-    remembered by themselves. New ones are encoded together, between stops.
+    remembered by themselves. The letters are already normal and one pretoken, so their
+    bytes go to the tokenizer's merges at once; all else takes its whole path.
     """
 
     def __init__(self, definition: str) -> None:
@@ -43,63 +56,32 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
-        (self.stop,) = self.tokenizer.encode(_STOP, add_special_tokens=False).ids
-        self.words: dict[str, bytes] = {}
-        self.stems: dict[str, bytes] = {}
+        self.merged = self.tokenizer.model.tokenize
+        self.packed = [n.to_bytes(4, "little") for n in range(self.tokenizer.get_vocab_size())]
+        self.words, self.stems, self.marks = _Memory(self.word), _Memory(self.stem), _Memory(self.whole)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def encoded(self, words: list[str]) -> Iterator[bytes]:
-        for i in range(0, len(words), 2048):
-            part = words[i : i + 2048]
-            ids = np.array(self.tokenizer.encode(f" {_STOP} ".join(part), add_special_tokens=False).ids, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.stop), len(ids)).tolist()
-            data, begin = ids.tobytes(), 0
-            for end in ends:
-                yield data[4 * begin : 4 * end]
-                begin = end + 1
-
-    def learn(self, words: set[str]) -> None:
-        if len(self.stems) > CACHED_WORDS:
-            self.stems.clear()
-        simple, new, stems = [], set(), self.stems
-        for word in words:
-            if m := _SIMPLE(word):
-                stem, marks = m[1].lower(), m[2]
-                simple.append((word, stem, marks))
-                if stem not in stems:
-                    new.add(stem)
-                if marks and marks not in stems:
-                    new.add(marks)
-            elif _STOP in word:
-                self.words[word] = self.whole(word)
-            else:
-                simple.append((word, word, ""))
-                if word not in stems:
-                    new.add(word)
-        order = list(new)
-        stems.update(zip(order, self.encoded(order), strict=True))
-        for word, stem, marks in simple:
-            self.words[word] = stems[stem] + stems[marks] if marks else stems[stem]
+    def stem(self, letters: str) -> bytes:
+        """Ids of a word of lower-case letters, whose bytes the merges take as characters."""
+        text = letters if letters.isascii() else letters.encode().decode("latin-1").translate(_BYTES)
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.merged(text)])
+
+    def word(self, word: str) -> bytes:
+        m = _SIMPLE(word)
+        if m is None:
+            return self.whole(word)
+        letters, marks = m.groups()
+        return self.stems[letters.lower()] + self.marks[marks] if marks else self.stems[letters.lower()]
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.words) > CACHED_WORDS:
-            self.words.clear()
-        known, coded, missing, new = self.words, [], [], set()
-        for n, t in enumerate(texts):
-            words = [] if _ODD(t) else t.split()
-            ids = list(map(known.get, words))
-            coded.append(ids if words else [self.whole(t)])
-            if None in ids:
-                gaps = [(i, w) for i, w in enumerate(words) if ids[i] is None]
-                missing.append((n, gaps))
-                new.update(w for _, w in gaps)
-        self.learn(new)
-        for n, gaps in missing:
-            for i, w in gaps:
-                coded[n][i] = known[w]
-        return [b"".join(ids) for ids in coded]
+        for known in (self.words, self.stems, self.marks):
+            if len(known) > CACHED_WORDS:
+                known.clear()
+        known = self.words.__getitem__
+        return [self.whole(t) if _ODD(t) else b"".join(map(known, t.split())) for t in texts]
 
 
 @cache
